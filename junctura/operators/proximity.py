@@ -342,3 +342,19 @@ def k_nearest(points: DataFrame, radius: float, k: int, *, pid: str, x: str = "x
         pair.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
         .select(F.col("pid_").alias(pid), "qid", *[f"q_{c}" for c in carry], F.sqrt("d2").alias("dist"), "pos")
     )
+
+
+def decayed_sums(points: DataFrame, radius: float, bandwidth: float, weights: dict[str, str], *, sid: str,
+                 x: str = "x", y: str = "y") -> DataFrame:
+    """Gaussian-weighted sums of the neighbours' columns, self excluded, with the
+    neighbour count. Points at one coordinate share one distance, so their values
+    are added up before the join; a point then takes its own share back out."""
+    spots = points.groupBy(F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy")).agg(
+        F.count("*").alias("_n"), *[F.sum(F.col(c).cast("double")).alias(f"_s_{o}") for o, c in weights.items()])
+    centers = spots.select(F.col("qx").alias("_cx"), F.col("qy").alias("_cy"))
+    met = pairs_within(centers, spots, radius, px="_cx", py="_cy", qx="qx", qy="qy", place_cols=["_n", *[f"_s_{o}" for o in weights]])
+    kernel = F.exp(-0.5 * F.col("d2") / (bandwidth * bandwidth))
+    at = met.groupBy("_cx", "_cy").agg(F.sum("_n").alias("_n"), *[F.sum(kernel * F.col(f"_s_{o}")).alias(f"_s_{o}") for o in weights])
+    j = points.join(at, (F.col(x).cast("double") == F.col("_cx")) & (F.col(y).cast("double") == F.col("_cy")))
+    return j.select(*points.columns, *[(F.col(f"_s_{o}") - F.col(c)).alias(o) for o, c in weights.items()],
+                    (F.col("_n") - 1).alias("n_neighbors"))

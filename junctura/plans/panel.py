@@ -59,9 +59,10 @@ def eligible(panel: DataFrame, p: Params, mode: str = "city") -> DataFrame:
 
 
 def with_labels(panel: DataFrame) -> DataFrame:
+    """Binary readouts; ``y_primary`` is the evaluation operating point (y is a coordinate)."""
     return panel.withColumns({
         "y_ge1": (F.col("KSI_label") >= 1).cast("int"), "y_ge2": (F.col("KSI_label") >= 2).cast("int"),
-        "y": (F.col("KSI_label") >= 2).cast("int")})
+        "y_primary": (F.col("KSI_label") >= 2).cast("int")})
 
 
 def full_panel(events: DataFrame, sites: DataFrame, p: Params, sid: str = "site_id",
