@@ -135,11 +135,18 @@ def claims(stated: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
         "match", F.when(F.col("found").isNull(), "REVIEW").when(F.abs(F.col("stated") - F.col("found")) <= tolerance, "YES").otherwise("NO"))
 
 
+def valid_json(c: str) -> Column:
+    """One complete JSON value and nothing after it: inside brackets it must parse
+    to a list of exactly one item."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(c), F.lit("]")))
+    return F.coalesce(F.size(wrapped.cast("array<variant>")) == 1, F.lit(False))
+
+
 def export_violations(panel: DataFrame, json_cols: list[str], nid: str = "node_id") -> DataFrame:
     """(check, n_bad): district outside 0..9, unreadable JSON, repeated node id."""
     rows = panel.agg(
         F.count_if(~F.coalesce(F.col("council_district").between(0, 9), F.lit(False))).alias("district"),
-        *[F.count_if(F.try_parse_json(c).isNull()).alias(c) for c in json_cols])
+        *[F.count_if(~valid_json(c)).alias(c) for c in json_cols])
     dup = panel.groupBy(nid).count().agg(F.count_if(F.col("count") > 1).alias("repeated_id"))
     names = ["district", *json_cols, "repeated_id"]
     return rows.crossJoin(dup).select(F.explode(F.array(*[

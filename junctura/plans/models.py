@@ -28,10 +28,10 @@ def frequency_score(crashes: Column) -> Column:
 
 
 def _pipe(features: list[str], estimator, scaled: bool = True) -> Pipeline:
-    stages = [VectorAssembler(inputCols=features, outputCol="raw_x", handleInvalid="keep")]
+    stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep")]
     if scaled:
-        stages.append(StandardScaler(inputCol="raw_x", outputCol="x", withMean=True, withStd=True))
-    estimator = estimator.copy().setFeaturesCol("x" if scaled else "raw_x")
+        stages.append(StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True, withStd=True))
+    estimator = estimator.copy().setFeaturesCol("scaled_features" if scaled else "raw_features")
     return Pipeline(stages=[*stages, estimator])
 
 
@@ -103,8 +103,8 @@ def choose_by_blocks(df: DataFrame, features: list[str], label: str, fold: str,
                      grid: tuple[float, ...] = (1e-3, 1e-1)) -> DataFrame:
     """Grid search over block folds: (reg_param, cv_metric), smaller is better."""
     g = tweedie_glm(label, power)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw_x", handleInvalid="keep"),
-                            StandardScaler(inputCol="raw_x", outputCol="x", withMean=True), g.setFeaturesCol("x")])
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep"),
+                            StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True), g.setFeaturesCol("scaled_features")])
     maps = ParamGridBuilder().addGrid(g.regParam, list(grid)).build()
     k = df.agg(F.max(fold)).first()[0] + 1
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, foldCol=fold, numFolds=int(k), parallelism=2,
@@ -116,8 +116,8 @@ def choose_by_blocks(df: DataFrame, features: list[str], label: str, fold: str,
 
 def choose_binary(df: DataFrame, features: list[str], label: str, fold: str, grid: tuple[float, ...] = (0.1, 1.0)) -> DataFrame:
     lr = logistic(label)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw_x", handleInvalid="keep"),
-                            StandardScaler(inputCol="raw_x", outputCol="x", withMean=True), lr.setFeaturesCol("x")])
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep"),
+                            StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True), lr.setFeaturesCol("scaled_features")])
     maps = ParamGridBuilder().addGrid(lr.regParam, list(grid)).build()
     k = df.agg(F.max(fold)).first()[0] + 1
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, foldCol=fold, numFolds=int(k),

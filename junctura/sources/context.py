@@ -8,16 +8,17 @@ from junctura.sources import schemas as S
 from junctura.sources.events import map_columns, read_text_csv, read_zipped_csv
 
 
-def read_points_geojson(spark: SparkSession, path) -> DataFrame:
-    """(lon, lat, props) of every point feature."""
-    f = spark.read.schema(S.GEOJSON_POINTS).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+def read_points_geojson(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    """(lon, lat, props) of every point feature. ``multi_line=False`` reads one
+    document per line, which splits across tasks; a pretty-printed file does not."""
+    f = spark.read.schema(S.GEOJSON_POINTS).option("multiLine", multi_line).json(path).select(F.explode("features").alias("f"))
     return f.where("f.geometry.type = 'Point'").select(
         F.get("f.geometry.coordinates", 0).alias("lon"), F.get("f.geometry.coordinates", 1).alias("lat"), F.col("f.properties").alias("props"))
 
 
-def read_polygons_geojson(spark: SparkSession, path, id_prop: str) -> DataFrame:
+def read_polygons_geojson(spark: SparkSession, path, id_prop: str, multi_line: bool = True) -> DataFrame:
     """(poly, ring, seq, x, y, props) of every polygon vertex."""
-    f = spark.read.schema(S.GEOJSON_POLYGONS).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    f = spark.read.schema(S.GEOJSON_POLYGONS).option("multiLine", multi_line).json(path).select(F.explode("features").alias("f"))
     f = f.where("f.geometry.type = 'Polygon'")
     r = f.select(F.col(f"f.properties.{id_prop}").try_cast("bigint").alias("poly"), F.col("f.properties").alias("props"),
                  F.posexplode("f.geometry.coordinates").alias("ring", "pts"))
@@ -25,8 +26,8 @@ def read_polygons_geojson(spark: SparkSession, path, id_prop: str) -> DataFrame:
         "poly", "ring", "seq", F.get("p", 0).alias("x"), F.get("p", 1).alias("y"), "props")
 
 
-def osm_elements(spark: SparkSession, path) -> DataFrame:
-    return spark.read.schema(S.OSM_ELEMENTS).option("multiLine", True).json(path).select(F.explode("elements").alias("e")).select("e.*")
+def osm_elements(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    return spark.read.schema(S.OSM_ELEMENTS).option("multiLine", multi_line).json(path).select(F.explode("elements").alias("e")).select("e.*")
 
 
 def element_points(elements: DataFrame) -> DataFrame:

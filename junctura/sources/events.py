@@ -21,7 +21,7 @@ def read_text_csv(spark: SparkSession, path, columns: list[str], encoding: str =
 def snapshot_paths(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, snap) of dated snapshot files, the date taken from the folder name."""
     f = spark.read.format("binaryFile").load(pattern).select("path")
-    return f.withColumn("snap", F.regexp_extract("path", r"(\d{8})[^\d]", 1))
+    return f.withColumn("snap", F.regexp_extract("path", r"[/=](\d{8})/[^/]*$", 1))
 
 
 def latest(df: DataFrame, snap: str) -> DataFrame:

@@ -41,3 +41,11 @@ def manifest(spark: SparkSession, pattern: str, source: str) -> DataFrame:
     f = spark.read.format("binaryFile").load(pattern)
     return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"),
                     F.col("length").alias("bytes"), F.lit(source).alias("source"))
+
+
+def write_graph_edges(edges: DataFrame, path: str) -> None:
+    """GraphML-shaped edge files: one well-formed document per task."""
+    keys = [c for c in edges.columns if c not in ("src", "dst")]
+    data = F.array(*[F.struct(F.lit(k).alias("_key"), F.coalesce(F.col(k).cast("string"), F.lit("")).alias("_VALUE")) for k in keys])
+    edges.select(F.col("src").alias("_source"), F.col("dst").alias("_target"), data.alias("data")).write.mode("overwrite").format("xml").option(
+        "rootTag", "graph").option("rowTag", "edge").save(path)
