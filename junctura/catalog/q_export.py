@@ -10,6 +10,7 @@ from junctura.functions import text as T
 from junctura.operators import tiers
 from junctura.operators.ranking import rank_and_percentile, ranked
 from junctura.plans import export as X, history as H, panel as L
+from junctura.session import stage
 
 _RA = "row_number() OVER (ORDER BY score_a DESC, site_id)"
 _TIERS = """kn AS (SELECT site_id, count(*) FILTER (severity<=2 AND date BETWEEN '1995-01-01' AND '1999-12-31') AS kh, count(*) FILTER (date<'2000-01-01') AS ch FROM se GROUP BY 1 HAVING kh>=1),
@@ -95,7 +96,8 @@ _T2 = _CSE + ", t5 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (
 
 
 def label_rows(s, d):
-    return labelled(s, d).select("site_id", F.posexplode("top_features").alias("pos", "f")).select("site_id", (F.col("pos") + 1).alias("pos"), "f.*")
+    t = stage(labelled(s, d), "labelled")
+    return t.select("site_id", F.posexplode("top_features").alias("pos", "f")).select("site_id", (F.col("pos") + 1).alias("pos"), "f.*")
 
 
 @query("t2_m14_top_contributions", sql("cand ev", "SELECT site_id, pos::INT AS pos, feature_name, round(c,6) AS value, display_label FROM t5", _T2))

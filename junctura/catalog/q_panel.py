@@ -6,9 +6,10 @@ from junctura.catalog import query, views as V
 from junctura.catalog.views import sql
 from junctura.config import TABLE_PARAMS as P
 from junctura.functions import records as R
-from junctura.operators import components, tiers
+from junctura.operators import tiers
 from junctura.operators.ranking import ranked
 from junctura.plans import history as H, models as M, panel as L
+from junctura.session import stage
 
 
 def assigned(s, d, surface=True):
@@ -52,7 +53,7 @@ def _(s, d):
 
 @query("p10_candidates_legacy", sql("panel", """SELECT site_id, KSI_feat, crashes_feat FROM panel WHERE KSI_feat<2 AND KSI_feat<=(SELECT quantile_cont(KSI_feat,0.9) FROM panel)"""))
 def _(s, d):
-    return L.eligible(panel(s, d), P, "ksi_legacy").select("site_id", "KSI_feat", "crashes_feat")
+    return L.eligible(stage(panel(s, d), "panel"), P, "ksi_legacy").select("site_id", "KSI_feat", "crashes_feat")
 
 
 @query("a13_exact_percentile", sql("panel sites", "SELECT round((SELECT quantile_cont(crashes_feat,0.9) FROM panel),6)::DOUBLE AS p90_crashes, round(quantile_cont(acctbal,0.37),6) AS p37_balance FROM sites"))
@@ -82,7 +83,7 @@ _INTS = ["crashes_72mo", "crashes_36mo", "ped_crashes_72mo", "bike_crashes_72mo"
 def candidate_events(s, d):
     """Events snapped to candidates only: an event at a screened-out site may move
     to a candidate nearby."""
-    c = candidates(s, d)
+    c = stage(candidates(s, d), "candidates")
     return c, L.snap(V.events(s, d), c.select("site_id", "x", "y"), P.buffer_m)
 
 
@@ -150,7 +151,7 @@ def _(s, d):
   (SELECT segment, count(*) AS n_nodes, count(*) FILTER (is_surface) AS n_surface, sum(crashes_feat)::BIGINT AS crashes_feat, sum(KSI_feat)::BIGINT AS KSI_feat FROM panel GROUP BY 1) a LEFT JOIN
   (SELECT segment, count(*) AS n_candidates, count(*) FILTER (KSI_label=0) AS label_0, count(*) FILTER (KSI_label=1) AS label_1, count(*) FILTER (KSI_label>=2) AS label_2p FROM cand GROUP BY 1) b USING (segment)"""))
 def _(s, d):
-    p = panel(s, d)
+    p = stage(panel(s, d), "panel")
     return L.scope_summary(p, L.with_labels(L.eligible(p, P)), F.col("segment"))
 
 
@@ -257,7 +258,7 @@ def _(s, d):
 @query("a27_feature_dictionary", sql("cand ev", """SELECT 'crashes_72mo' AS feature_name, 0.0::DOUBLE AS missing_rate, round(var_samp(coalesce(crashes_72mo,0)),6) AS variance, 'history' AS source_table FROM cand LEFT JOIN cnt USING (site_id)
   UNION ALL SELECT 'ksi_72mo', NULL, 0.0, 'N/A'""", _CSE))
 def _(s, d):
-    f = features(s, d)
+    f = stage(features(s, d), "features")
     a = H.feature_dictionary(f, ["crashes_72mo"], "events", "feature", "1999-12-31", [("ksi_72mo", "constant-zero by eligibility")])
     b = H.feature_dictionary(f, ["crashes_72mo"], "history", "feature", "1999-12-31")
     return H.upsert_dictionary(a, b).select("feature_name", "missing_rate", F.round("variance", 6).alias("variance"), "source_table")

@@ -95,16 +95,13 @@ def nearest_within(points: DataFrame, places: DataFrame, radius: float, *,
         best = _pick_in_cell(points, spots, radius, pxc, pyc)
     else:
         best = _pick_by_refinement(points, spots, radius, pxc, pyc, pid, levels)
-    hit = F.col("_b").isNotNull() & (F.col("_b.d2") <= r2)
-    if how == "inner":
-        best = best.where(hit)
-    keep = [c for c in points.columns]
-    return best.select(
-        *keep,
-        F.when(hit, F.col("_b.who.id")).alias(out),
-        *[F.when(hit, F.col(f"_b.who.{c}")).alias(c) for c in carry],
-        F.when(hit, F.sqrt(F.col("_b.d2"))).alias("dist"),
-    )
+    # A generator, not a filter on the picked struct: a filter would be pushed down
+    # and evaluate the pick a second time.
+    gen = F.explode if how == "inner" else F.explode_outer
+    near = F.filter(F.array("_b"), lambda b: b["d2"] <= r2)
+    return best.select(*points.columns, gen(near).alias("_b")).select(
+        *points.columns, F.col("_b.who.id").alias(out), *[F.col(f"_b.who.{c}").alias(c) for c in carry],
+        F.sqrt("_b.d2").alias("dist"))
 
 
 def _cell_rows(spots: DataFrame, radius: float) -> DataFrame:
@@ -228,27 +225,25 @@ def radius_totals(centers: DataFrame, items: DataFrame, radius: float, *, cid: s
     again = [F.sum(n).alias(n) for n in sums] + [F.max(n).alias(n) for n in maxima]
     boxes = spots.groupBy(cell_of(F.col("qx"), fine).alias("kx"), cell_of(F.col("qy"), fine).alias("ky")).agg(
         F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1"), *again)
-    rows = (
-        boxes.withColumn("gx", cell_of(F.col("x0"), radius)).withColumn("gy", cell_of(F.col("y0"), radius))
-        .groupBy("gx", "gy").agg(F.collect_list(F.struct("kx", "ky", "x0", "x1", "y0", "y1", *names)).alias("boxes"))
-    )
+    rows = boxes.withColumn("gx", cell_of(F.col("x0"), radius)).withColumn("gy", cell_of(F.col("y0"), radius))
+    rows = rows.withColumnsRenamed({n: f"_b_{n}" for n in names})
     r2 = float(radius) ** 2
     c = centers.select(F.col(cid), F.col(cx).cast("double").alias("_px"), F.col(cy).cast("double").alias("_py"))
     px, py = F.col("_px"), F.col("_py")
-    met = spread(c, "_px", "_py", radius).join(rows, (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")))
-    hit = (
-        met.select(cid, "_px", "_py", F.explode(F.filter("boxes", lambda b: _low2(px, py, b) <= r2)).alias("b"))
-        .withColumn("whole", _high2(px, py, F.col("b")) <= r2)
+    box = {k: F.col(k) for k in ("x0", "x1", "y0", "y1")}
+    met = (
+        spread(c, "_px", "_py", radius).join(rows, (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")))
+        .where(_low2(px, py, box) <= r2).withColumn("_whole", _high2(px, py, box) <= r2)
+        # Only rim boxes get a key, so only they meet their coordinates below.
+        .withColumn("_rx", F.when(~F.col("_whole"), F.col("kx")))
+        .select(cid, "_px", "_py", "_whole", "_rx", F.col("ky").alias("_ry"), *[f"_b_{n}" for n in names])
     )
-    inside = hit.where("whole").select(cid, *[F.col(f"b.{n}").alias(n) for n in names])
     leaf = spots.withColumn("kx", cell_of(F.col("qx"), fine)).withColumn("ky", cell_of(F.col("qy"), fine))
-    rim = (
-        hit.where("NOT whole").select(cid, "_px", "_py", F.col("b.kx").alias("kx"), F.col("b.ky").alias("ky"))
-        .join(leaf, ["kx", "ky"])
-        .where(planar2(px, py, F.col("qx"), F.col("qy")) <= r2)
-        .select(cid, *names)
-    )
-    return inside.unionByName(rim).groupBy(cid).agg(*again)
+    both = met.join(leaf, (F.col("_rx") == F.col("kx")) & (F.col("_ry") == F.col("ky")), "left")
+    inside = planar2(px, py, F.col("qx"), F.col("qy")) <= r2
+    both = both.where(F.col("_whole") | inside)
+    pick = lambda n: F.when(F.col("_whole"), F.col(f"_b_{n}")).otherwise(F.col(n))
+    return both.groupBy(cid).agg(*[F.sum(pick(n)).alias(n) for n in sums], *[F.max(pick(n)).alias(n) for n in maxima])
 
 
 def within_flag(centers: DataFrame, items: DataFrame, radius: float, *, cid: str, flag: str,
@@ -291,57 +286,79 @@ def nearest_any(points: DataFrame, places: DataFrame, start: float, *, px: str =
     return done.withColumnRenamed("_q", qid)
 
 
-def k_nearest(points: DataFrame, radius: float, k: int, *, pid: str, x: str = "x", y: str = "y",
-              carry: list[str] = ()) -> DataFrame:
+def k_nearest(points: DataFrame, radius: float, k: int, *, pid: str, x: str = "x", y: str = "y") -> DataFrame:
     """Up to k other points within the radius, nearest first (ties: lowest id).
 
-    The k-th distance is bounded first: sub-cells carry counts, so the smallest
-    ring of whole sub-cells that already holds k others limits which sub-cells
-    are opened. A crowded block never emits all its pairs."""
-    fine = radius / SPLIT
-    r2 = float(radius) ** 2
-    base = points.select(F.col(pid).alias("qid"), F.col(x).cast("double").alias("qx"),
-                         F.col(y).cast("double").alias("qy"), *[F.col(c).alias(f"q_{c}") for c in carry])
-    base = base.withColumn("kx", cell_of(F.col("qx"), fine)).withColumn("ky", cell_of(F.col("qy"), fine))
-    boxes = base.groupBy("kx", "ky").agg(
-        F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1"),
-        F.count("*").alias("n"))
+    The first ring is sized from the mean density to hold a few times k points and
+    doubles until the radius. A point whose k-th neighbour lies inside the ring is
+    done; only the rest go on. Where a cell is crowded, sub-cells with counts bound
+    the k-th distance before any is opened, so a block never emits all its pairs.
+    """
+    base = points.select(F.col(pid).alias("qid"), F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy"))
+    base = base.where("qx IS NOT NULL AND qy IS NOT NULL")
+    # Of the copies at one coordinate only the k + 1 lowest ids can be chosen.
+    copies = Window.partitionBy("qx", "qy").orderBy("qid")
+    kept = stage(base.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n"), "knn")
+    m = kept.agg(F.count("*").alias("n"), F.min("qx").alias("a"), F.max("qx").alias("b"), F.min("qy").alias("c"), F.max("qy").alias("d")).first()
+    area = max((m["b"] - m["a"]) * (m["d"] - m["c"]), 1e-9) if m["n"] else 1.0
+    r = min(radius, max(math.sqrt(4.0 * (k + 1) * area / (math.pi * max(m["n"], 1))), radius / 64))
+    todo, done = base.withColumnsRenamed({"qid": "pid_", "qx": "_px", "qy": "_py"}), None
+    while True:
+        last = r >= radius
+        tried = stage(_ring(todo, kept, r, k), "ring")
+        fin = tried if last else tried.where(F.size("near") >= k)
+        done = fin if done is None else done.unionByName(fin)
+        if last:
+            break
+        todo = tried.where(F.size("near") < k).select("pid_", "_px", "_py")
+        if todo.isEmpty():
+            break
+        r = min(radius, 2 * r)
+    return done.select(F.col("pid_").alias(pid), F.posexplode("near").alias("_p", "_q")).select(
+        pid, F.col("_q.qid").alias("qid"), F.sqrt("_q.d2").alias("dist"), (F.col("_p") + 1).alias("pos"))
+
+
+def _ring(todo: DataFrame, kept: DataFrame, r: float, k: int) -> DataFrame:
+    """(pid_, _px, _py, near): the k nearest others within r as an array."""
+    r2 = float(r) ** 2
+    px, py = F.col("_px"), F.col("_py")
+    spots = kept.select("qid", "qx", "qy")
+    if _levels_needed(spots, r) == 0:
+        rows = spread(spots, "qx", "qy", r).groupBy("cx", "cy").agg(F.collect_list(F.struct("qid", "qx", "qy")).alias("_near"))
+        keyed = todo.withColumn("cx", cell_of(px, r)).withColumn("cy", cell_of(py, r)).join(rows, ["cx", "cy"], "left")
+        cand = F.filter(F.transform("_near", lambda q: F.struct(planar2(px, py, q["qx"], q["qy"]).alias("d2"), q["qid"].alias("qid"))),
+                        lambda q: (q["d2"] <= r2) & (q["qid"] != F.col("pid_")))
+        near = F.slice(F.array_sort(cand), 1, k)
+        return keyed.select("pid_", "_px", "_py", F.coalesce(near, F.array().cast("array<struct<d2:double,qid:bigint>>")).alias("near"))
+    fine = r / SPLIT
+    b = spots.withColumn("kx", cell_of(F.col("qx"), fine)).withColumn("ky", cell_of(F.col("qy"), fine))
+    boxes = b.groupBy("kx", "ky").agg(F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1"),
+                                      F.count("*").alias("n"))
     rows = (
-        boxes.withColumn("gx", cell_of(F.col("x0"), radius)).withColumn("gy", cell_of(F.col("y0"), radius))
+        boxes.withColumn("gx", cell_of(F.col("x0"), r)).withColumn("gy", cell_of(F.col("y0"), r))
         .groupBy("gx", "gy").agg(F.collect_list(F.struct("kx", "ky", "x0", "x1", "y0", "y1", "n")).alias("boxes"))
     )
-    c = base.select("qid", "qx", "qy").withColumnsRenamed({"qid": "pid_", "qx": "_px", "qy": "_py"})
-    px, py = F.col("_px"), F.col("_py")
     met = (
-        spread(c, "_px", "_py", radius).join(rows, (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")))
+        spread(todo, "_px", "_py", r).join(rows, (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")))
         .groupBy("pid_", "_px", "_py").agg(F.flatten(F.collect_list("boxes")).alias("boxes"))
     )
     # Farthest-corner distances ascending with running counts: the first that
     # reaches k + 1 (self included) bounds the k-th neighbour.
-    ordered = F.array_sort(F.transform("boxes", lambda b: F.struct(_high2(px, py, b).alias("u"), b["n"].alias("n"))))
+    ordered = F.array_sort(F.transform("boxes", lambda q: F.struct(_high2(px, py, q).alias("u"), q["n"].alias("n"))))
     bound = F.aggregate(
         ordered, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(r2).alias("u")),
-        lambda s, b: F.struct((s["n"] + b["n"]).alias("n"),
-                              F.when((s["n"] <= k) & (s["n"] + b["n"] > k), F.least(F.lit(r2), b["u"]))
-                              .otherwise(s["u"]).alias("u")),
+        lambda s, q: F.struct((s["n"] + q["n"]).alias("n"),
+                              F.when((s["n"] <= k) & (s["n"] + q["n"] > k), F.least(F.lit(r2), q["u"])).otherwise(s["u"]).alias("u")),
         lambda s: s["u"])
-    opened = (
-        met.withColumn("_ub", bound)
-        .withColumn("_c", F.explode(F.filter("boxes", lambda b: _low2(px, py, b) <= F.col("_ub"))))
-        .select("pid_", "_px", "_py", "_ub", F.col("_c.kx").alias("kx"), F.col("_c.ky").alias("ky"))
-    )
-    # Of the copies at one coordinate only the k + 1 lowest ids can be chosen.
-    copies = Window.partitionBy("qx", "qy").orderBy("qid")
-    base = base.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n")
-    pair = (
-        opened.join(base, ["kx", "ky"]).where(F.col("pid_") != F.col("qid"))
-        .withColumn("d2", planar2(px, py, F.col("qx"), F.col("qy"))).where(F.col("d2") <= F.col("_ub"))
-    )
+    opened = met.withColumn("_ub", bound).withColumn("_c", F.explode(F.filter("boxes", lambda q: _low2(px, py, q) <= F.col("_ub")))).select(
+        "pid_", "_px", "_py", "_ub", F.col("_c.kx").alias("kx"), F.col("_c.ky").alias("ky"))
+    pair = opened.join(b, ["kx", "ky"]).where(F.col("pid_") != F.col("qid")).withColumn(
+        "d2", planar2(px, py, F.col("qx"), F.col("qy"))).where(F.col("d2") <= F.col("_ub"))
     w = Window.partitionBy("pid_").orderBy("d2", "qid")
-    return (
-        pair.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
-        .select(F.col("pid_").alias(pid), "qid", *[f"q_{c}" for c in carry], F.sqrt("d2").alias("dist"), "pos")
-    )
+    best = pair.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= k).groupBy("pid_").agg(
+        F.array_sort(F.collect_list(F.struct("d2", "qid"))).alias("near"))
+    return todo.join(best, "pid_", "left").select(
+        "pid_", "_px", "_py", F.coalesce("near", F.array().cast("array<struct<d2:double,qid:bigint>>")).alias("near"))
 
 
 def decayed_sums(points: DataFrame, radius: float, bandwidth: float, weights: dict[str, str], *, sid: str,

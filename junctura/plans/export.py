@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from junctura.functions.geo import point_key
+from junctura.functions.text import lookup
 
 # Label templates as (format, scale), printf style.
 LABELS = {
@@ -92,11 +93,9 @@ PATTERN_ORDER = ("ped", "school", "bike", "left", "night", "broadside", "speed",
 
 def display_label(name: Column, value: Column) -> Column:
     """Label of a feature value; unknown features fall back to "name: value"."""
-    out = None
-    for k, (f, s) in LABELS.items():
-        c = F.format_string(f, value * s)
-        out = F.when(name == k, c) if out is None else out.when(name == k, c)
-    return out.otherwise(F.format_string("%s: %.2f", name, value))
+    fmt = lookup({k: v[0] for k, v in LABELS.items()}, name)
+    scale = lookup({k: v[1] for k, v in LABELS.items()}, name)
+    return F.coalesce(F.when(fmt.isNotNull(), F.call_function("format_string", fmt, value * scale)), F.format_string("%s: %.2f", name, value))
 
 
 def top_contributions(df: DataFrame, contributions: dict[str, Column], raw: dict[str, Column], sid: str, k: int = 5) -> DataFrame:
@@ -158,7 +157,9 @@ def site_patterns(labels: DataFrame, schools: DataFrame | None = None, sid: str
         item = item if least is None else F.when(n >= least, item)
         hit = c.rlike(f"(?i){rx}")
         e = F.when(hit, item) if e is None else e.when(hit, item)
-    one = labels.select(sid, e.alias("r")).where("r IS NOT NULL").select(sid, "r.*")
+    # Labels repeat across sites: each distinct one is tested against the rules once.
+    ruled = labels.select("display_label").distinct().withColumn("r", e).where("r IS NOT NULL")
+    one = labels.select(sid, "display_label").join(ruled, "display_label").select(sid, "r.*")
     if schools is not None:
         one = one.unionByName(schools.where(F.col("school_m") <= SCHOOL_M).select(
             sid, F.lit("school").alias("key"), F.lit("Near a school").alias("pattern"), F.lit(98).alias("priority")))

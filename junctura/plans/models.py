@@ -38,7 +38,7 @@ def _pipe(features: list[str], estimator, scaled: bool = True) -> Pipeline:
 def tweedie_glm(label: str, power: float = 1.3, offset: str | None = None) -> GeneralizedLinearRegression:
     """Count regression with a log link; the offset turns it into a rate model."""
     g = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=label,
-                                    regParam=1e-3, maxIter=50, predictionCol="prediction")
+                                    regParam=1e-3, maxIter=25, predictionCol="prediction")
     return g.setOffsetCol(offset) if offset else g
 
 
