@@ -6,6 +6,7 @@ from junctura.catalog import query, views as V
 from junctura.catalog.views import bits_sql, sql
 from junctura.operators import evaluation as E, folds, ranking as K, resampling as B, tiers
 from junctura.plans import models as M
+from junctura.session import attach
 
 _RA = "row_number() OVER (ORDER BY score_a DESC, site_id)"
 
@@ -184,7 +185,7 @@ def _(s, d):
     b = B.recall_interval(dr, "site_id", "rb", 200).select(F.col("hi").alias("bhi"))
     v = E.verdict({"random_point": F.col("a"), "spatial_point": F.col("a"), "random_lo": F.col("alo"), "spatial_lo": F.col("alo"),
                    "base_random_hi": F.col("bhi"), "base_spatial_hi": F.col("bhi")})
-    return a.crossJoin(b).select(v.alias("verdict"), (F.col("alo") > F.col("bhi")).alias("separated"))
+    return attach(a, b).select(v.alias("verdict"), (F.col("alo") > F.col("bhi")).alias("separated"))
 
 
 @query("m1_persistence_and_frequency", sql("scored", "SELECT site_id, round(label+score_b/100,6) AS persistence, label::DOUBLE AS frequency FROM scored"))
@@ -212,7 +213,7 @@ def _(s, d):
     e = t.agg(F.sum("label").alias("events"))
     top = K.top_k(t.select("site_id", "score_a", "label"), "score_a", "site_id", 500).agg(F.sum("label").alias("h"))
     cost = F.col("f") * FATAL_COST + (1 - F.col("f")) * SEVERE_COST
-    return f.crossJoin(e).crossJoin(top).select(F.round("f", 4).alias("fatal_share"), "events", F.round(F.col("events") * cost).alias("harm_usd"),
+    return attach(attach(f, e), top).select(F.round("f", 4).alias("fatal_share"), "events", F.round(F.col("events") * cost).alias("harm_usd"),
                                                 F.round(F.col("h") * cost * 0.3).alias("prevented_usd"))
 
 

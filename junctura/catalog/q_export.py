@@ -10,7 +10,7 @@ from junctura.functions import text as T
 from junctura.operators import tiers
 from junctura.operators.ranking import rank_and_percentile, ranked
 from junctura.plans import export as X, history as H, panel as L
-from junctura.session import stage
+from junctura.session import attach, stage
 
 _RA = "row_number() OVER (ORDER BY score_a DESC, site_id)"
 _TIERS = """kn AS (SELECT site_id, count(*) FILTER (severity<=2 AND date BETWEEN '1995-01-01' AND '1999-12-31') AS kh, count(*) FILTER (date<'2000-01-01') AS ch FROM se GROUP BY 1 HAVING kh>=1),
@@ -52,7 +52,7 @@ def _(s, d):
     r = ranked(t.select("site_id", "score_a", (F.col("hit") == 1).alias("pos")), [("score_a", True), ("site_id", False)])
     c = tiers.catch_table(r, "rank", "pos", (500,)).select(F.col("caught").alias("caught_500"))
     n = t.agg(F.count("*").alias("candidates"))
-    return n.crossJoin(comp).crossJoin(c).select(F.to_json(F.struct(
+    return attach(attach(n, comp), c).select(F.to_json(F.struct(
         F.lit("combined").alias("list"), F.lit(1000).alias("top_n"), "candidates", "known", "screen", "predicted", "caught_500")).alias("meta"))
 
 

@@ -9,7 +9,7 @@ from junctura.functions import records as R
 from junctura.operators import tiers
 from junctura.operators.ranking import ranked
 from junctura.plans import history as H, models as M, panel as L
-from junctura.session import stage
+from junctura.session import attach, stage
 
 
 def assigned(s, d, surface=True):
@@ -60,7 +60,7 @@ def _(s, d):
 def _(s, d):
     from junctura.operators.ranking import global_quantile
     a = global_quantile(panel(s, d), "crashes_feat", 0.9).select(F.round("q_value", 6).alias("p90_crashes"))
-    return a.crossJoin(global_quantile(V.sites(s, d), "acctbal", 0.37).select(F.round("q_value", 6).alias("p37_balance")))
+    return attach(a, global_quantile(V.sites(s, d), "acctbal", 0.37).select(F.round("q_value", 6).alias("p37_balance")))
 
 
 _COUNTS = """SELECT site_id, count(*) FILTER (w72) AS crashes_72mo, count(*) FILTER (date>='1997-01-01') AS crashes_36mo, count(*) FILTER (w72 AND ped='Y') AS ped_crashes_72mo,

@@ -6,7 +6,7 @@ from junctura.catalog import query, views as V
 from junctura.catalog.views import sql
 from junctura.functions import geo as G
 from junctura.operators import components as C, folds, polygons as P, proximity as X
-from junctura.session import stage
+from junctura.session import attach, stage
 
 D2 = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)"
 
@@ -197,7 +197,7 @@ def _(s, d):
     t = V.sites(s, d)
     mean = t.agg(F.avg("lat").alias("lat0"))
     x, y = G.equirect_xy(F.col("lon"), F.col("lat"), F.col("lat0"))
-    return t.crossJoin(F.broadcast(mean)).select("site_id", F.round(x, 3).alias("mx"), F.round(y, 3).alias("my"))
+    return attach(t, mean).select("site_id", F.round(x, 3).alias("mx"), F.round(y, 3).alias("my"))
 
 
 @query("p18_projection_and_zone", sql("sites", """SELECT site_id, CASE WHEN lat>=0 THEN 'EPSG:326' ELSE 'EPSG:327' END||lpad((floor((lon+180)/6)+1)::INT::VARCHAR,2,'0') AS zone,

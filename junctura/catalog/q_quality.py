@@ -10,6 +10,7 @@ from junctura.functions import records as R
 from junctura.operators import ranking as K, tiers
 from junctura.plans import audits as Q, history as H, panel as L
 from junctura.sources import events as E
+from junctura.session import attach
 
 _CAN = """cn AS MATERIALIZED (SELECT CASE_ID AS crash_id, try_cast(COLLISION_DATE AS DATE) AS date, POINT_Y::DOUBLE AS lat, POINT_X::DOUBLE AS lon, try_cast(COLLISION_SEVERITY AS INT) AS severity FROM crash_text)"""
 
@@ -124,7 +125,7 @@ def _(s, d):
 def _(s, d):
     r = K.ranked(V.scored(s, d).select("site_id", "score_a", (F.col("hit") == 1).alias("pos")), [("score_a", True), ("site_id", False)])
     drops = Q.catch_monotone(tiers.catch_table(r, "rank", "pos")).agg(F.count("*").alias("catch_drops"))
-    return Q.rank_gaps(r).crossJoin(drops)
+    return attach(Q.rank_gaps(r), drops)
 
 
 @query("q10_ksi_guard", sql("ev", "SELECT severity_scheme, count(*) AS n FROM (SELECT CASE WHEN event_id%3=0 THEN 'fatal_only' ELSE 'ksi' END AS severity_scheme FROM ev) WHERE severity_scheme<>'ksi' GROUP BY 1"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from junctura.operators.ranking import mid_ranks, ranked, score_groups
+from junctura.session import attach
 
 
 def recall_precision_at(df: DataFrame, score: str, sid: str, y: str, ks: tuple[int, ...]) -> DataFrame:
@@ -15,7 +16,7 @@ def recall_precision_at(df: DataFrame, score: str, sid: str, y: str, ks: tuple[i
     top = top.withColumn("pos", F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(sid))))
     per = top.select("pos", y, F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     hit = per.groupBy("k").agg(F.sum(F.when(F.col("pos") <= F.col("k"), F.col(y)).otherwise(0)).alias("hits"))
-    return hit.crossJoin(F.broadcast(tot)).select(
+    return attach(hit, tot).select(
         "k", "hits", (F.col("hits") / F.greatest(F.col("n_pos"), F.lit(1))).alias("recall"),
         (F.col("hits") / F.least(F.col("k"), F.col("n"))).alias("precision"))
 
@@ -25,7 +26,7 @@ def auprc_auroc(df: DataFrame, score: str, y: str) -> DataFrame:
     g = score_groups(df, score, [F.sum(y).cast("bigint").alias("p"), F.count("*").alias("n")],
                      desc=True, totals={"cp": "p", "cn": "n"})
     tot = g.agg(F.sum("p").alias("np"), F.sum("n").alias("nn"))
-    x = g.crossJoin(F.broadcast(tot))
+    x = attach(g, tot)
     neg, cneg = F.col("n") - F.col("p"), F.col("cn") - F.col("cp")
     # Negatives below this score count fully, negatives tied with it count half.
     below = (F.col("nn") - F.col("np")) - cneg
@@ -47,7 +48,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def weighted_corr(df: DataFrame, a: Column, b: Column, w: Column, out: str) -> DataFrame:
     m = df.agg(F.sum(w).alias("n"), (F.sum(a * w) / F.sum(w)).alias("ma"), (F.sum(b * w) / F.sum(w)).alias("mb"))
-    x = df.crossJoin(F.broadcast(m))
+    x = attach(df, m)
     da, db = a - F.col("ma"), b - F.col("mb")
     return x.agg(F.coalesce(
         F.sum(da * db * w) / F.nullif(F.sqrt(F.sum(da * da * w) * F.sum(db * db * w)), F.lit(0.0)),
@@ -71,7 +72,7 @@ def tweedie_deviance(y: Column, pred: Column, p: float) -> Column:
 def count_metrics(df: DataFrame, y: str, pred: str, p: float = 1.3) -> DataFrame:
     dev = df.agg(tweedie_deviance(F.col(y), F.col(pred), p).alias("tweedie_deviance"),
                  tweedie_deviance(F.col(y), F.col(pred), 1).alias("poisson_deviance"))
-    return dev.crossJoin(F.broadcast(spearman(df, pred, y)))
+    return attach(dev, spearman(df, pred, y))
 
 
 def decile_calibration(df: DataFrame, pred: str, y: str, sid: str) -> DataFrame:
@@ -81,7 +82,7 @@ def decile_calibration(df: DataFrame, pred: str, y: str, sid: str) -> DataFrame:
     n = df.agg(F.greatest(F.floor(F.count("*") / 10), F.lit(1)).alias("_size"))
     d = (F.least(F.floor((F.col("rn") - 1) / F.col("_size")), F.lit(9)) + 1).cast("int")
     return (
-        r.crossJoin(F.broadcast(n)).groupBy(d.alias("decile"))
+        attach(r, n).groupBy(d.alias("decile"))
         .agg(F.avg(pred).alias("mean_pred"), F.avg(F.col(y).cast("double")).alias("mean_actual"),
              F.count("*").alias("n"))
     )
@@ -100,7 +101,7 @@ def recall_table(df: DataFrame, score: str, sid: str, label: str, thresholds: tu
                                for t in thresholds for k in ks])).alias("g")
     hits = top.select("pos", label, grid).groupBy("g.threshold", "g.k").agg(
         F.count_if((F.col("pos") <= F.col("g.k")) & (F.col(label) >= F.col("g.threshold"))).alias("hits"))
-    x = hits.crossJoin(F.broadcast(n))
+    x = attach(hits, n)
     npos = F.coalesce(*[F.when(F.col("threshold") == t, F.col(f"p{t}")) for t in thresholds])
     nev = F.coalesce(*[F.when(F.col("threshold") == t, F.col(f"e{t}")) for t in thresholds])
     recall = F.col("hits") / F.nullif(npos, F.lit(0))

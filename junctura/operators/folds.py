@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from junctura.operators.proximity import cell_of
 from junctura.operators.ranking import ranked
@@ -16,7 +16,7 @@ def stratified_folds(df: DataFrame, sid: str, stratum: str, k: int, seed: int, o
     h = df.select(sid, stratum).withColumn("_h", hash_int(F.lit(seed), F.col(sid)))
     r = ranked(h, [(stratum, False), ("_h", False), (sid, False)], "_r")
     first = r.groupBy(stratum).agg(F.min("_r").alias("_f"))
-    dealt = r.join(F.broadcast(first), stratum).select(sid, ((F.col("_r") - F.col("_f")) % k).cast("int").alias(out))
+    dealt = r.join(first, stratum).select(sid, ((F.col("_r") - F.col("_f")) % k).cast("int").alias(out))
     return df.join(dealt, sid)
 
 

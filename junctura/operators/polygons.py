@@ -9,19 +9,21 @@ no point x edge rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from junctura.functions.geo import segment_nearest
 from junctura.operators.proximity import cell_of
 
 
 def edges_from_vertices(vertices: DataFrame, poly: str = "poly", ring: str = "ring", seq: str = "seq") -> DataFrame:
-    """Consecutive vertices to edges; an unclosed ring is closed to its start.
-    A ring is one polygon outline, so the window partition is bounded by it."""
-    w = Window.partitionBy(poly, ring).orderBy(seq)
-    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w))
-    e = vertices.select(F.col(poly).alias("poly"), F.col("x").alias("x1"), F.col("y").alias("y1"),
-                        nxt("x").alias("x2"), nxt("y").alias("y2"))
+    """Consecutive vertices (``seq`` 0, 1, ...) to edges; an unclosed ring is closed
+    to its start. The next vertex comes from an equality join on the position, so
+    an outline of any length is spread over tasks."""
+    v = vertices.select(F.col(poly).alias("poly"), F.col(ring).alias("ring"), F.col(seq).cast("bigint").alias("seq"), "x", "y")
+    nxt = v.select("poly", "ring", (F.col("seq") - 1).alias("seq"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    top = v.where("seq = 0").select("poly", "ring", F.col("x").alias("fx"), F.col("y").alias("fy"))
+    e = v.join(nxt, ["poly", "ring", "seq"], "left").join(top, ["poly", "ring"]).select(
+        "poly", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce("nx", "fx").alias("x2"), F.coalesce("ny", "fy").alias("y2"))
     return e.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 

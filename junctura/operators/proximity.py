@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from junctura.functions.geo import planar2
-from junctura.session import stage
+from junctura.session import attach, stage
 
 CELL_LIMIT = 256      # coordinates folded into one cell row
 SPLIT = 8             # sub-cells per side at each refinement
@@ -262,8 +262,7 @@ def nearest_any(points: DataFrame, places: DataFrame, start: float, *, px: str =
     retry at 2r. A hit inside the ring is final, so the answer is exact; each
     round only carries what is left. The ring stops at the extent of the data."""
     ext = (
-        points.agg(F.min(px).alias("a"), F.max(px).alias("b"), F.min(py).alias("c"), F.max(py).alias("d"))
-        .crossJoin(places.agg(F.min(qx).alias("e"), F.max(qx).alias("f"), F.min(qy).alias("g"), F.max(qy).alias("h")))
+        attach(points.agg(F.min(px).alias("a"), F.max(px).alias("b"), F.min(py).alias("c"), F.max(py).alias("d")), places.agg(F.min(qx).alias("e"), F.max(qx).alias("f"), F.min(qy).alias("g"), F.max(qy).alias("h")))
         .first()
     )
     if ext["a"] is None or ext["e"] is None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from junctura.session import stage
+from junctura.session import attach, stage
 
 Key = tuple[str, bool]  # column, descending
 
@@ -49,7 +49,7 @@ def ranked(df: DataFrame, keys: list[Key], out: str = "rank") -> DataFrame:
 
 def with_total(df: DataFrame, out: str = "n_total") -> DataFrame:
     """Attach the row count (a one-row broadcast)."""
-    return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(out))))
+    return attach(df, df.agg(F.count("*").alias(out)))
 
 
 def rank_and_percentile(df: DataFrame, score: str, sid: str) -> DataFrame:
@@ -96,7 +96,7 @@ def global_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
                      desc=False, totals={"_cum": "_n"})
     n = g.agg(F.sum("_n").alias("_tot"))
     pos = (F.col("_tot") - 1) * F.lit(float(q))
-    x = g.crossJoin(F.broadcast(n)).withColumn("_lo", F.floor(pos)).withColumn("_hi", F.ceil(pos))
+    x = attach(g, n).withColumn("_lo", F.floor(pos)).withColumn("_hi", F.ceil(pos))
     has = lambda at: (F.col("_cum") - F.col("_n") <= F.col(at)) & (F.col(at) < F.col("_cum"))
     return x.agg(
         F.max(F.when(has("_lo"), F.col(col).cast("double"))).alias("a"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from junctura.operators.ranking import ranked
+from junctura.session import attach
 
 
 def hash_int(*parts: Column) -> Column:
@@ -74,7 +75,7 @@ def draws_of_positives(df: DataFrame, sid: str, y: str, b: int, rank_cols: list[
     join, so the size is b x positives."""
     pos = ranked(df.where(F.col(y) >= 1).select(sid, *rank_cols), [(sid, False)], "_i")
     n = pos.agg(F.count("*").alias("n_pos"))
-    d = replicates(pos.select(F.col("_i").alias("i")), b).crossJoin(F.broadcast(n))
+    d = attach(replicates(pos.select(F.col("_i").alias("i")), b), n)
     d = d.withColumn("_i", hash_int(F.lit("pd"), F.col("b"), F.col("i")) % F.col("n_pos") + 1)
     return d.join(pos, "_i").select("b", "i", sid, "n_pos", *rank_cols)
 

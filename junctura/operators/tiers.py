@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from junctura.config import CATCH_KS, STRATA
 from junctura.operators.ranking import ranked
+from junctura.session import attach
 
 SOURCES = ("known", "screen", "predicted")
 
@@ -72,8 +73,8 @@ def tier_lift(sites: DataFrame, catch: DataFrame, n_candidates: DataFrame, rank:
     """Each site with its shortlist (smallest k >= rank), the catch there and the
     lift, withheld under ``min_events``. The catch table has one row per shortlist
     size, so it is folded into one broadcast row."""
-    one = catch.agg(F.array_sort(F.collect_list(F.struct("k", "caught", "total"))).alias("_t")).crossJoin(n_candidates)
-    x = sites.crossJoin(F.broadcast(one)).withColumn("_p", F.try_element_at(
+    one = attach(catch.agg(F.array_sort(F.collect_list(F.struct("k", "caught", "total"))).alias("_t")), n_candidates)
+    x = attach(sites, one).withColumn("_p", F.try_element_at(
         F.filter("_t", lambda c: c["k"] >= F.col(rank)), F.lit(1)))
     lift = (F.col("_p.caught") / F.col("_p.k")) / F.nullif(F.col("_p.total") / F.col("n_candidates"), F.lit(0.0))
     return x.select(*sites.columns, F.col("_p.k").alias("k"), F.col("_p.caught").alias("caught"),

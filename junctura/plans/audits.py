@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from junctura.config import Windows
 from junctura.functions import records as R
+from junctura.session import attach
 
 REQUIRED = ("crash_id", "date", "lat", "lon", "severity")
 MIN_COVERAGE, MAX_DUPLICATES, MIN_DECIMALS = 0.80, 0.20, 4
@@ -33,7 +34,7 @@ def leakage(feature: DataFrame, label: DataFrame, w: Windows, eid: str = "event_
     la = label.agg(F.count_if((d < F.lit(w.label_start)) | (d > F.lit(w.label_end))).alias("A3"),
                    F.count_if(d < F.lit(w.cutoff)).alias("A5"))
     both = feature.select(eid).join(label.select(eid), eid, "left_semi").distinct().agg(F.count("*").alias("A4"))
-    one = f.crossJoin(la).crossJoin(both)
+    one = attach(attach(f, la), both)
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("n_bad"))
                                           for c in ("A1", "A2", "A3", "A4", "A5")])).alias("r")).select("r.*")
 
@@ -69,7 +70,7 @@ def contract_stats(df: DataFrame) -> DataFrame:
                   F.count_if(~F.coalesce(R.valid_severity(F.col("severity")), F.lit(False))).alias("n_bad_severity"))
     at = df.where(ok).groupBy("lat", "lon").agg(F.count("*").alias("k"))
     dup = at.agg(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("d"), F.sum("k").alias("g"), F.max("k").alias("max_at_one_coord"))
-    x = base.crossJoin(dup)
+    x = attach(base, dup)
     cov = F.round(1 - F.col("n_bad_coords") / F.nullif(F.col("n_raw"), F.lit(0)), 4)
     share = F.round(F.coalesce(F.col("d") / F.nullif(F.col("g"), F.lit(0)), F.lit(0.0)), 4)
     return x.select("n_raw", "n_bad_coords", cov.alias("coord_coverage"), "n_bad_dates", "n_bad_severity",
@@ -111,7 +112,7 @@ def compare_snapshots(a: DataFrame, b: DataFrame, cid: str, max_pct: float = 2.0
     ia = a.where(F.col(cid).isNotNull()).select(cid).distinct().withColumn("_a", F.lit(1))
     ib = b.where(F.col(cid).isNotNull()).select(cid).distinct().withColumn("_b", F.lit(1))
     d = ia.join(ib, cid, "full").agg(F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"))
-    x = a.agg(F.count("*").alias("rows_a")).crossJoin(b.agg(F.count("*").alias("rows_b"))).crossJoin(d)
+    x = attach(attach(a.agg(F.count("*").alias("rows_a")), b.agg(F.count("*").alias("rows_b"))), d)
     pct = F.round(F.abs(F.col("rows_a") - F.col("rows_b")) / F.nullif(F.col("rows_a"), F.lit(0)) * 100, 4)
     return x.withColumn("pct_diff", pct).withColumn("decision", F.when(F.col("pct_diff") <= max_pct, "accept").otherwise("defer"))
 
@@ -149,7 +150,7 @@ def export_violations(panel: DataFrame, json_cols: list[str], nid: str = "node_i
         *[F.count_if(~valid_json(c)).alias(c) for c in json_cols])
     dup = panel.groupBy(nid).count().agg(F.count_if(F.col("count") > 1).alias("repeated_id"))
     names = ["district", *json_cols, "repeated_id"]
-    return rows.crossJoin(dup).select(F.explode(F.array(*[
+    return attach(rows, dup).select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("check"), F.col(n).alias("n_bad")) for n in names])).alias("r")).select("r.*")
 
 

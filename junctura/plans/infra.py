@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from junctura.functions import text as T
 from junctura.operators.proximity import nearest_within, radius_totals, within_flag
-from junctura.operators.ranking import global_quantile, group_medians
+from junctura.operators.ranking import global_quantile, group_medians, ranked
+from junctura.session import attach, stage
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -96,10 +97,10 @@ def traffic_exposure(sites: DataFrame, counts: DataFrame, radius: float, sid: st
     best = radius_totals(sites, counts, radius, cid=sid, sums={}, maxima={"aadt": F.col("total").cast("double")})
     x = sites.select(sid, group).join(best, sid, "left").withColumn("aadt_missing", F.col("aadt").isNull().cast("int"))
     gm = group_medians(x, group, "aadt", "_gm")
-    x = x.join(F.broadcast(gm), x[group].eqNullSafe(gm[group]), "left").drop(gm[group])
+    x = x.join(gm, x[group].eqNullSafe(gm[group]), "left").drop(gm[group])
     x = x.withColumn("aadt", F.coalesce("aadt", "_gm")).drop("_gm")
     med = global_quantile(x, "aadt", 0.5)
-    x = x.crossJoin(F.broadcast(med)).withColumn("aadt", F.coalesce("aadt", "q_value")).drop("q_value")
+    x = attach(x, med).withColumn("aadt", F.coalesce("aadt", "q_value")).drop("q_value")
     return x.withColumn("log_aadt", F.log1p("aadt"))
 
 
@@ -127,14 +128,32 @@ def sample_raster(sites: DataFrame, raster: DataFrame, x0: float, y0: float, res
         sid, "elev", "slope_pct", F.col("slope_pct").isNull().cast("int").alias("slope_pct_missing"))
 
 
+PATH_WINDOW_ROWS = 100_000  # above this a path is measured in chunks
+PATH_CHUNK = 1_000
+
+
 def path_lengths(vertices: DataFrame, path: str = "path_id", seq: str = "seq") -> DataFrame:
-    """Vertices with ``step`` to the next and ``cum`` length so far. A path is one
-    road or route, so a partition is bounded by its length."""
-    w = Window.partitionBy(path).orderBy(seq)
-    step = F.sqrt(F.pow(F.lead("x").over(w) - F.col("x"), 2) + F.pow(F.lead("y").over(w) - F.col("y"), 2))
-    v = vertices.withColumns({"step": step, "nx": F.lead("x").over(w), "ny": F.lead("y").over(w)})
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return v.withColumn("cum", F.coalesce(F.sum("step").over(before), F.lit(0.0)))
+    """Vertices with the next vertex (``nx``, ``ny``), the ``step`` to it and the
+    length ``cum`` so far. Ordinary paths use one window. If any path is longer than
+    PATH_WINDOW_ROWS, positions come from the distributed order, the next vertex
+    from an equality join, and lengths are summed per chunk and then over chunks."""
+    longest = vertices.groupBy(path).count().agg(F.max("count").alias("m")).first()["m"] or 0
+    size = F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))
+    if longest <= PATH_WINDOW_ROWS:
+        w = Window.partitionBy(path).orderBy(seq)
+        v = vertices.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).withColumn("step", size)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        return v.withColumn("cum", F.coalesce(F.sum("step").over(before), F.lit(0.0)))
+    at = ranked(vertices, [(path, False), (seq, False)], "_i")
+    nxt = at.select(path, (F.col("_i") - 1).alias("_i"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    first = at.groupBy(path).agg(F.min("_i").alias("_f"))
+    v = at.join(nxt, [path, "_i"], "left").join(first, path).withColumn("step", size)
+    v = stage(v.withColumn("_c", F.floor((F.col("_i") - F.col("_f")) / PATH_CHUNK)), "path")
+    before = Window.partitionBy(path).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    base = v.groupBy(path, "_c").agg(F.sum("step").alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)))
+    local = Window.partitionBy(path, "_c").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    v = v.withColumn("_l", F.coalesce(F.sum("step").over(local), F.lit(0.0)))
+    return v.join(base.drop("_s"), [path, "_c"]).withColumn("cum", F.col("_l") + F.col("_b")).drop("_l", "_b", "_c", "_i", "_f")
 
 
 def path_midpoints(vertices: DataFrame, path: str = "path_id", seq: str = "seq") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from junctura.operators.evaluation import grouped_auprc, grouped_recall, grouped_spearman, spearman
-from junctura.session import stage
+from junctura.session import attach, stage
 
 
 def persistence_score(crashes: Column, slope: Column) -> Column:
@@ -63,7 +63,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     n = df.agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_p"))
     w = F.when(F.col(label) == 1, F.col("_n") / (2 * F.greatest("_p", F.lit(1.0)))).otherwise(
         F.col("_n") / (2 * F.greatest(F.col("_n") - F.col("_p"), F.lit(1.0))))
-    return df.crossJoin(F.broadcast(n)).withColumn("class_weight", w).drop("_n", "_p")
+    return attach(df, n).withColumn("class_weight", w).drop("_n", "_p")
 
 
 def _score_col(model_output: DataFrame) -> Column:

@@ -8,6 +8,7 @@ from junctura.config import Params
 from junctura.functions.records import is_ksi
 from junctura.operators.proximity import nearest_within, pairs_within
 from junctura.operators.ranking import global_quantile
+from junctura.session import attach
 
 
 def closed(col: str, start, end) -> Column:
@@ -53,7 +54,7 @@ def eligible(panel: DataFrame, p: Params, mode: str = "city") -> DataFrame:
         return panel.where(F.col("crashes_feat") < p.screen_min)
     if mode == "ksi_legacy":
         cut = global_quantile(panel, "KSI_feat", 1 - p.legacy_top_share)
-        return (panel.crossJoin(F.broadcast(cut))
+        return (attach(panel, cut)
                 .where((F.col("KSI_feat") < p.legacy_max_ksi) & (F.col("KSI_feat") <= F.col("q_value"))).drop("q_value"))
     raise ValueError(f"unknown candidate screen: {mode!r}")
 
@@ -92,7 +93,7 @@ def buffer_sweep(events: DataFrame, sites: DataFrame, p: Params, sid: str = "sit
     rows = F.explode(F.array(*[
         F.struct(F.lit(float(r)).alias("radius_m"), F.lit(round(r / (1200.0 / 3937.0), 2)).alias("buf_ft"),
                  *[F.col(f"r{i}_{v}").alias(f"d{v}") for v in (1, 2, 3)]) for i, r in enumerate(p.sweep_radii_m)])).alias("s")
-    return one.crossJoin(total).select("n_candidates", rows).select(
+    return attach(one, total).select("n_candidates", rows).select(
         "s.radius_m", "s.buf_ft", "n_candidates",
         (F.col("s.d1") + F.col("s.d2") + F.col("s.d3")).alias("positives_ge1"),
         (F.col("s.d2") + F.col("s.d3")).alias("positives_ge2"),

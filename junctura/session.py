@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _RUN = f"junctura-{uuid.uuid4().hex}"
 
@@ -72,3 +72,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row, as a scalar subquery: it is
+    computed once and enters the plan as a literal, so there is no join. More than
+    one row is an error at run time."""
+    value = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return df.withColumn("_s", value).select(*df.columns, "_s.*")

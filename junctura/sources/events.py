@@ -25,9 +25,9 @@ def snapshot_paths(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def latest(df: DataFrame, snap: str) -> DataFrame:
-    """Rows of the newest snapshot (one-row broadcast of the newest date)."""
-    top = df.agg(F.max(snap).alias("_m"))
-    return df.crossJoin(F.broadcast(top)).where(F.col(snap) == F.col("_m")).drop("_m")
+    """Rows of the newest snapshot. The newest date is a scalar subquery, so a
+    partitioned source prunes its folders by it."""
+    return df.where(F.col(snap) == df.agg(F.max(snap)).scalar())
 
 
 def first_wins(df: DataFrame, key: str, priority: list[Column]) -> DataFrame:
@@ -204,7 +204,7 @@ def read_zipped_csv(spark: SparkSession, pattern: str, member: str, encoding: st
                     with zf.open(names[0]) as fh:
                         rows = []
                         for r in csv.DictReader(io.TextIOWrapper(fh, encoding=encoding, newline="")):
-                            rows.append((path, [(k.lstrip("﻿"), v) for k, v in r.items() if k]))
+                            rows.append((path, {k.lstrip("\ufeff"): v for k, v in r.items() if k}))
                             if len(rows) >= batch:
                                 yield pd.DataFrame(rows, columns=["path", "row"])
                                 rows = []
