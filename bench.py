@@ -17,9 +17,9 @@ from junctura.session import build_session  # noqa: E402
 
 HEADLINE = [
     "flagship_rank_below_screen", "j1_nearest_within_buffer", "j1_nearest_refined_grid", "j3_radius_counts", "j10_decayed_neighbour_sums",
-    "j11_merge_near_duplicates", "j12_point_in_polygon", "j25_k_nearest_sites", "j27_sites_along_paths", "a1_j14_p9_panel_counts",
+    "j11_a12_f12_merge_near_duplicates", "j12_point_in_polygon", "j25_k_nearest_sites", "j27_sites_along_paths", "a1_j14_p9_panel_counts",
     "a2_a3_a6_j17_history_counts", "a4_a7_a8_a9_w4_w5_trend", "a10_node_road_attributes", "a18_year_history", "a31_w6_w7_inspection_stats",
-    "a36_intersection_labels", "j20_w10_traffic_legs", "j21_reports_by_site", "w1_rank_and_percentile", "e2_auprc_auroc", "e4_spearman",
+    "a36_f7_f8_intersection_labels", "j20_w10_traffic_legs", "j21_reports_by_site", "w1_rank_and_percentile", "e2_auprc_auroc", "e4_spearman",
     "e5_bootstrap_intervals", "e7_paired_delta", "e9_a38_fold_averages", "w9_j15_combined_list", "t2_m14_top_contributions",
     "k3_p16_feature_lines", "q4_a15_contract", "s5_p1_p8_state_extract", "m8_m4_out_of_fold_tweedie",
 ]

@@ -33,7 +33,7 @@ def _(s, d):
     return p.groupBy(*p.columns).agg(F.count("*").alias("n"))
 
 
-@query("f1_f4_street_keys", sql("counts_text", f"""SELECT DISTINCT location, street, {key_sql('street')} AS road, array_to_string(list_transform(string_split(limits,' & '), lambda t: {key_sql('t')}),' / ') AS crosses, year(date::DATE)::INT AS yr
+@query("f1_f2_f4_street_keys", sql("counts_text", f"""SELECT DISTINCT location, street, {key_sql('street')} AS road, array_to_string(list_transform(string_split(limits,' & '), lambda t: {key_sql('t')}),' / ') AS crosses, year(date::DATE)::INT AS yr
   FROM (SELECT DISTINCT pc.*, location FROM (SELECT DISTINCT location, date FROM counts_text) c JOIN pc0 pc USING (location, date) WHERE street IS NOT NULL)""",
   _PARSED.replace("pc AS", "pc0 AS").replace("coalesce(floor(try_cast(adt_total AS DOUBLE)),0)::BIGINT AS total, date, lat::DOUBLE AS lat, lng::DOUBLE AS lng", "location, date")))
 def _(s, d):

@@ -58,7 +58,7 @@ def _(s, d):
     return E.auprc_auroc(V.scored(s, d), "score_a", "hit").select(F.round("auprc", 6).alias("auprc"), F.round("auroc", 6).alias("auroc"))
 
 
-@query("e3_deviances", sql("scored", """SELECT round(avg(2*(pow(y,0.7)/(-0.3*0.7)-y*pow(m,-0.3)/(-0.3)+pow(m,0.7)/0.7)),6) AS tweedie, round(avg(2*(y*ln(y/m+1e-10)-(y-m))),6) AS poisson,
+@query("e3_f17_deviances", sql("scored", """SELECT round(avg(2*(pow(y,0.7)/(-0.3*0.7)-y*pow(m,-0.3)/(-0.3)+pow(m,0.7)/0.7)),6) AS tweedie, round(avg(2*(y*ln(y/m+1e-10)-(y-m))),6) AS poisson,
   round(avg(2*(ln(m/(y+1)+1e-10)+(y+1)/m-1)),6) AS gamma FROM (SELECT label::DOUBLE AS y, greatest(score_b,1e-6::DOUBLE) AS m FROM scored)"""))
 def _(s, d):
     y, m = F.col("label"), F.col("score_b")

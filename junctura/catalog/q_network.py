@@ -74,7 +74,7 @@ _LAB = """SELECT site_id, CASE WHEN k>=2 THEN list_sort(nms[1:2])[1]||' & '||lis
   LEFT JOIN (SELECT site_id, arg_min(descr, (-c, descr)) AS w FROM (SELECT site_id, descr, count(*) AS c FROM mem JOIN inc2 USING (node) WHERE nm IS NULL GROUP BY 1,2) GROUP BY 1) USING (site_id))"""
 
 
-@query("a36_intersection_labels", sql("both_edges", _LAB, _INC + """, inc2 AS (SELECT node, CASE WHEN nm IN (SELECT nm FROM inc WHERE nm IS NOT NULL GROUP BY 1 HAVING count(DISTINCT node)>95) THEN NULL ELSE nm END AS nm, descr FROM inc),
+@query("a36_f7_f8_intersection_labels", sql("both_edges", _LAB, _INC + """, inc2 AS (SELECT node, CASE WHEN nm IN (SELECT nm FROM inc WHERE nm IS NOT NULL GROUP BY 1 HAVING count(DISTINCT node)>95) THEN NULL ELSE nm END AS nm, descr FROM inc),
   mem AS (SELECT o_orderkey//2 AS site_id, o_orderkey*2 AS node FROM orders)"""))
 def _(s, d):
     mem = V.table(s, d, "orders").select(F.floor(F.col("o_orderkey") / 2).alias("site_id"), (F.col("o_orderkey") * 2).alias("node"))

@@ -108,7 +108,7 @@ def _(s, d):
         "site_id", F.round("pressure", 6).alias("pressure"), "n_neighbors")
 
 
-@query("j11_merge_near_duplicates", sql("sites", """SELECT root AS site_id, round(avg(x),6) AS x, round(avg(y),6) AS y, count(*) AS member_count,
+@query("j11_a12_f12_merge_near_duplicates", sql("sites", """SELECT root AS site_id, round(avg(x),6) AS x, round(avg(y),6) AS y, count(*) AS member_count,
   string_agg(site_id::VARCHAR, ',' ORDER BY site_id) AS members, bool_or(is_freeway) AS is_freeway, bool_or(is_trunk) AND NOT bool_or(is_freeway) AS is_trunk_borderline,
   NOT bool_or(is_freeway) AS is_surface, md5(printf('%.1f',avg(x))||','||printf('%.1f',avg(y))) AS site_key
   FROM sites JOIN (SELECT id, min(r) AS root FROM reach GROUP BY 1) ON id=site_id GROUP BY root""",
