@@ -5,7 +5,6 @@ A filter has a power of two of bits, ``bits_per_key`` for each key but at most
 whatever the size of the corpus. Tasks send the bits they set as sorted 16-bit places
 within chunks of 65,536 bits; the chunks are merged on the executors."""
 
-from __future__ import annotations
 
 from dataclasses import dataclass
 
@@ -86,7 +85,7 @@ def _pieces(twice: bool, bits: int):
 
 
 def _merged(twice: bool):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         seen = np.zeros(1 << CHUNK_BITS, dtype=bool)
         again = np.zeros(1 << CHUNK_BITS, dtype=bool)
         for once, two in zip(frame["once"], frame["twice"]):
@@ -121,3 +120,10 @@ def without_ids(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     flagged = docs.withColumn("__maybe", F.coalesce(f.holds(F.xxhash64("doc_id")), F.lit(False)) & F.col("doc_id").isNotNull())
     gone = flagged.where("__maybe").join(ids.select("doc_id"), "doc_id", "left_anti")
     return flagged.where("not __maybe").select(*docs.columns).unionByName(gone.select(*docs.columns))
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (unique doc_id and more columns),
+    with those columns: only rows that a filter lets through are joined."""
+    f = build(ids.select(F.xxhash64("doc_id").alias("__with_id")), "__with_id", n)
+    return docs.where(f.holds(F.xxhash64("doc_id"))).join(ids, "doc_id")
