@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from junctura.llm import exact_dedup, license_scan, mixing, packing, quality, toxicity, url_filter
+from junctura.llm import exact_dedup, license_scan, line_dedup, minhash_dedup, mixing, packing, quality, toxicity, url_filter
 from junctura.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity_grammar")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_minhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op7_fuzzy_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(table(spark, sf_dir, "documents"))
