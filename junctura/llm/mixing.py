@@ -120,3 +120,15 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share_percent: int
         "last", ~F.col("extra") & F.coalesce((F.col("q") == F.col("b_q")) & F.col("doc_id").eqNullSafe(F.col("b_id")), F.lit(False)))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("extra") | F.col("last"), 1).otherwise(0)).otherwise(0).cast("int")
     return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix takes them: a document taken twice has two rows, one not taken
+    none. Rows that repeat an id with as many words in the same source are taken alike,
+    as often as the one of them that is taken most."""
+    key = ["doc_id", "source", "size"]
+    taken = mix(docs, **how).groupBy(*key).agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = staged(taken.select(*[F.col(c).alias(f"__{c}") for c in (*key, "copies")]), "taken")
+    size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (size == F.col("__size"))
+    return docs.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from junctura.llm import exact_dedup, license_scan, line_dedup, minhash_dedup, mixing, packing, quality, toxicity, url_filter
+import corpus_pipeline
+from junctura.llm import exact_dedup, license_scan, line_dedup, minhash_dedup, mixing, packing, pii, quality, toxicity, url_filter
 from junctura.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_fuzzy_line_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op1_weak_supervision_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
