@@ -37,8 +37,7 @@ def _(s, d):
   ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.node) AS rn FROM sites a LEFT JOIN road_nodes b ON abs(a.x-b.x)<=60 AND abs(a.y-b.y)<=60 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=3600) WHERE rn=1) n LEFT JOIN attr ON attr.node=n.node""", _ATTR))
 def _(s, d):
     g = I.geometry_features(V.sites(s, d).select("site_id", "x", "y"), V.road_nodes(s, d), V.road_edges(s, d), 60.0)
-    return _r(g).withColumn("lane_count_missing", F.when(F.col("edge_count").isNotNull(), F.col("lane_count_missing")).otherwise(1)).withColumn(
-        "intersection_type", F.coalesce("intersection_type", F.lit(5)))
+    return _r(g)
 
 
 @query("j7_speed_from_dated_ways", sql("controls sites", """SELECT site_id, coalesce(k,cur)::DOUBLE AS speed_limit, 0 AS speed_limit_vintage, (coalesce(k,cur) IS NULL)::INT AS speed_limit_missing FROM (

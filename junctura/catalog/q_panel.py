@@ -174,11 +174,11 @@ def _(s, d):
     return V.crash_text(s, d).groupBy(R.severity_group(F.col("COLLISION_SEVERITY")).alias("grp")).agg(F.count("*").alias("n"))
 
 
-@query("p22_exposure_proxy", sql("sites", "SELECT site_id, coalesce(v,0)::DOUBLE AS aadt_proxy, (v IS NULL)::INT AS aadt_missing, round(ln(1+coalesce(v,0)),6) AS log_aadt FROM (SELECT site_id, CASE WHEN site_id%4<>0 THEN acctbal END AS v FROM sites) WHERE coalesce(v,0)>-1"))
+@query("p22_exposure_proxy", sql("sites", "SELECT site_id, coalesce(v,0)::DOUBLE AS aadt_proxy, (v IS NULL)::INT AS aadt_missing, round(CASE WHEN coalesce(v,0)>-1 THEN ln(1+coalesce(v,0)) END,6) AS log_aadt FROM (SELECT site_id, CASE WHEN site_id%4<>0 THEN acctbal END AS v FROM sites)"))
 def _(s, d):
     from junctura.plans.infra import exposure_proxy
     v = V.sites(s, d).select("site_id", F.when(F.col("site_id") % 4 != 0, F.col("acctbal")).alias("speed_limit"))
-    v = v.where(F.coalesce("speed_limit", F.lit(0.0)) > -1).withColumn("speed_limit_missing", F.col("speed_limit").isNull().cast("int"))
+    v = v.withColumn("speed_limit_missing", F.col("speed_limit").isNull().cast("int"))
     return exposure_proxy(v).withColumn("log_aadt", F.round("log_aadt", 6))
 
 

@@ -139,13 +139,12 @@ def _(s, d):
     return P.clip_edges(V.road_edges(s, d).select("src", "dst"), kept, "node").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query("j34_buffered_region", sql("sites site_poly region_edges", """SELECT DISTINCT s.site_id FROM sites s JOIN site_poly p USING (site_id) WHERE poly IN (0,7,12) OR EXISTS (
-  SELECT 1 FROM region_edges e WHERE e.poly IN (0,7,12) AND
+@query("j34_buffered_region", sql("sites site_poly region_edges", """SELECT DISTINCT s.site_id FROM sites s JOIN site_poly p USING (site_id) WHERE poly >= 0 OR EXISTS (
+  SELECT 1 FROM region_edges e WHERE
    pow(s.x-(e.x1+greatest(0,least(1,((s.x-e.x1)*(e.x2-e.x1)+(s.y-e.y1)*(e.y2-e.y1))/(pow(e.x2-e.x1,2)+pow(e.y2-e.y1,2))))*(e.x2-e.x1)),2)
   +pow(s.y-(e.y1+greatest(0,least(1,((s.x-e.x1)*(e.x2-e.x1)+(s.y-e.y1)*(e.y2-e.y1))/(pow(e.x2-e.x1,2)+pow(e.y2-e.y1,2))))*(e.y2-e.y1)),2)<=1000000.0)"""))
 def _(s, d):
-    # Regions are the solitary ones, so "inside any" equals "lowest containing id is one of them".
-    e = P.edges_from_vertices(V.regions(s, d).where("poly IN (0, 7, 12)"))
+    e = P.edges_from_vertices(V.regions(s, d))
     return P.within_buffered_region(V.sites(s, d).select("site_id", "x", "y"), e, 1000.0, 1000.0, pid="site_id").select("site_id")
 
 

@@ -28,6 +28,31 @@ def _(s, d):
     return E.load_crashes(crash_csv(s, d))
 
 
+@query("s1_extracts_with_other_headers", sql("crash_text", "SELECT * FROM ld", _LOAD))
+def _(s, d):
+    # two extracts of one layout: the second has its columns in reverse and lacks none
+    path, t = scratch_path(s, "extracts"), V.crash_text(s, d)
+    old = F.substring("COLLISION_DATE", 1, 4) < "1998"
+    sinks.write_csv(t.where(old), f"{path}/a")
+    sinks.write_csv(t.where(~F.coalesce(old, F.lit(False))).select(*reversed(t.columns)), f"{path}/b")
+    return E.load_crashes(E.read_text_csv(s, [f"{path}/a", f"{path}/b"], CRASH_TEXT_COLS))
+
+
+@query("s10_geojson_multipolygons", sql("region_edges", """SELECT g::BIGINT AS poly, count(*) AS n_vertices, count(DISTINCT poly) AS n_parts, round(min(least(x1,x2)),3) AS x0, round(max(greatest(y1,y2)),3) AS y1
+  FROM (SELECT *, poly//5 AS g FROM region_edges) GROUP BY g"""))
+def _(s, d):
+    # five regions each as the parts of one feature
+    v = V.regions(s, d)
+    ring = v.groupBy("poly").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.array(p["x"], p["y"])).alias("pts"))
+    parts = ring.groupBy(F.floor(F.col("poly") / 5).alias("g")).agg(F.collect_list(F.array("pts")).alias("parts"))
+    feat = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("MultiPolygon").alias("type"), F.col("parts").alias("coordinates")).alias("geometry"),
+                    F.struct(F.col("g").cast("string").alias("poly")).alias("properties"))
+    path = scratch_path(s, "multipolygons")
+    parts.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feat).alias("features"))).alias("value")).write.text(path)
+    r = C.read_polygons_geojson(s, path, "poly", multi_line=False)
+    return r.groupBy("poly").agg(F.count("*").alias("n_vertices"), F.count_distinct("ring").alias("n_parts"), F.round(F.min("x"), 3).alias("x0"), F.round(F.max("y"), 3).alias("y1"))
+
+
 @query("s1_coordinate_provenance", sql("crash_text", "SELECT count(*) AS n_raw, count(POINT_X) AS n_point_xy, count(LATITUDE) AS n_lat_lon, count(*) FILTER (STATE_HWY_IND='Y') AS n_state_hwy FROM crash_text"))
 def _(s, d):
     return E.provenance(V.crash_text(s, d))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from junctura.functions.geo import planar2, stable_site_id
 from junctura.operators.proximity import cell_of
-from junctura.session import stage
+from junctura.session import discard, stage
 
 
 def radius_links(nodes: DataFrame, radius: float, nid: str, x: str, y: str) -> tuple[DataFrame, DataFrame]:
@@ -57,13 +57,14 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     with the logarithm of the size, not with the longest chain. Each round is
     written to the shared folder, so a lost executor repeats one round."""
     edges = stage(links.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "links")
-    mark = None
     for _ in range(max_rounds):
-        edges = stage(_star(_star(edges, True), False), "star")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
-        if mark == tuple(now):
+        new = stage(_star(_star(edges, True), False), "star")
+        # both are sets of distinct edges, so no edge on one side only means no change
+        same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
+        discard(edges)
+        edges = new
+        if same:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(now)
     raise RuntimeError("components did not settle")
 
 

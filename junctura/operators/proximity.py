@@ -6,11 +6,11 @@ unexploded (they are the large side and sit in exactly one cell); the places are
 folded into one bounded row per cell, so a point meets one row, and the best
 match is picked inside that row without another shuffle of the points.
 
-Density is handled by refinement, never by dropping candidates. Places sharing a
-coordinate collapse first. If a cell would still hold more than ``CELL_LIMIT``
-coordinates, the join runs over nested sub-cells that carry bounding boxes: a
-sub-cell is opened only when its nearest possible point can beat the best
-distance already guaranteed by another one. A hot point cell (a third of all
+Density is handled by refinement, never by dropping candidates, and cell by cell.
+Places sharing a coordinate collapse first. Only the points of cells whose block
+still holds more than ``CELL_LIMIT`` coordinates go through nested sub-cells that
+carry bounding boxes, cut until none is crowded: a sub-cell is opened only when its
+nearest possible point can beat the best distance already guaranteed by another one. A hot point cell (a third of all
 events in one block) is split by adaptive skew handling, since the other side is
 one row per cell and cheap to replicate.
 """
@@ -26,7 +26,6 @@ from junctura.session import attach, stage
 
 CELL_LIMIT = 256      # coordinates folded into one cell row
 SPLIT = 8             # sub-cells per side at each refinement
-MAX_LEVELS = 4
 _NINE = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
@@ -62,8 +61,9 @@ def distinct_places(places: DataFrame, pid: str, x: str, y: str, value: list[str
 def _levels_needed(spots: DataFrame, radius: float) -> int:
     """How often a cell must be split until none holds more than CELL_LIMIT
     coordinates. One count per level over the place side; the driver reads one
-    number each time."""
-    for level in range(MAX_LEVELS):
+    number each time. Coordinates are distinct, so the splits come to an end."""
+    level = 0
+    while True:
         size = radius / SPLIT**level
         top = (
             spots.groupBy(cell_of(F.col("qx"), size).alias("a"), cell_of(F.col("qy"), size).alias("b"))
@@ -71,7 +71,14 @@ def _levels_needed(spots: DataFrame, radius: float) -> int:
         )
         if top is None or top <= CELL_LIMIT:
             return level
-    return MAX_LEVELS
+        level += 1
+
+
+def crowded_cells(spots: DataFrame, radius: float) -> DataFrame:
+    """(cx, cy) of the cells whose 3x3 block holds more than CELL_LIMIT coordinates."""
+    per = spots.groupBy(cell_of(F.col("qx"), radius).alias("ax"), cell_of(F.col("qy"), radius).alias("ay")).agg(F.count("*").alias("_n"))
+    around = per.withColumn("_o", _offsets(_NINE)).select((F.col("ax") + F.col("_o.dx")).alias("cx"), (F.col("ay") + F.col("_o.dy")).alias("cy"), "_n")
+    return around.groupBy("cx", "cy").agg(F.sum("_n").alias("_n")).where(F.col("_n") > CELL_LIMIT).select("cx", "cy")
 
 
 def nearest_within(points: DataFrame, places: DataFrame, radius: float, *,
@@ -87,11 +94,11 @@ def nearest_within(points: DataFrame, places: DataFrame, radius: float, *,
     out = out or qid
     src = places.select(F.col(qid), F.col(qx).alias("_qx"), F.col(qy).alias("_qy"), *carry)
     spots = distinct_places(src, qid, "_qx", "_qy", list(carry))
-    if levels is None:
-        levels = _levels_needed(spots, radius)
     r2 = float(radius) ** 2
     pxc, pyc = F.col(px).cast("double"), F.col(py).cast("double")
-    if levels == 0:
+    if levels is None:
+        best = _pick_by_cell(points, spots, radius, pxc, pyc, pid)
+    elif levels == 0:
         best = _pick_in_cell(points, spots, radius, pxc, pyc)
     else:
         best = _pick_by_refinement(points, spots, radius, pxc, pyc, pid, levels)
@@ -104,14 +111,30 @@ def nearest_within(points: DataFrame, places: DataFrame, radius: float, *,
         F.sqrt("_b.d2").alias("dist"))
 
 
-def _cell_rows(spots: DataFrame, radius: float) -> DataFrame:
-    """One row per cell with every coordinate of the 3x3 block around it."""
-    return spread(spots, "qx", "qy", radius).groupBy("cx", "cy").agg(
-        F.collect_list(F.struct("qx", "qy", "who")).alias("_near"))
-
-
-def _pick_in_cell(points: DataFrame, spots: DataFrame, radius: float, px: Column, py: Column) -> DataFrame:
-    rows = _cell_rows(spots, radius)
+def _pick_by_cell(points: DataFrame, spots: DataFrame, radius: float, px: Column, py: Column, pid: str) -> DataFrame:
+    """Points of crowded cells by refinement, all others by one join. The crowded
+    cells are a small table; where it is empty the refinement is not planned."""
+    crowded = stage(crowded_cells(spots, radius), "crowded")
+    if crowded.isEmpty():
+        return _pick_in_cell(points, spots, radius, px, py)
+    keyed = points.withColumn("cx", cell_of(px, radius)).withColumn("cy", cell_of(py, radius))
+    there = spread(spots, "qx", "qy", radius)
+    calm = _pick_in_cell(keyed.join(crowded, ["cx", "cy"], "left_anti").select(*points.columns),
+                         spots, radius, px, py, there.join(crowded, ["cx", "cy"], "left_anti"))
+    # every coordinate that a crowded cell can see, once
+    dense = there.join(crowded, ["cx", "cy"], "left_semi").select("qx", "qy", "who").dropDuplicates(["qx", "qy"])
+    dense = stage(dense, "dense")
+    busy = _pick_by_refinement(keyed.join(crowded, ["cx", "cy"], "left_semi").select(*points.columns),
+                               dense, radius, px, py, pid, _levels_needed(dense, radius))
+    cols = [*points.columns, "_b"]
+    return calm.select(*cols).union(busy.select(*cols))
+
+
+def _pick_in_cell(points: DataFrame, spots: DataFrame, radius: float, px: Column, py: Column,
+                  there: DataFrame | None = None) -> DataFrame:
+    """One row per cell with every coordinate of the 3x3 block around it (``there``)."""
+    there = spread(spots, "qx", "qy", radius) if there is None else there
+    rows = there.groupBy("cx", "cy").agg(F.collect_list(F.struct("qx", "qy", "who")).alias("_near"))
     keyed = points.withColumn("cx", cell_of(px, radius)).withColumn("cy", cell_of(py, radius))
     return keyed.join(rows, ["cx", "cy"], "left").withColumn(
         "_b",
@@ -168,10 +191,12 @@ def _pick_by_refinement(points: DataFrame, spots: DataFrame, radius: float, px:
     leaf = spots.withColumn("kx", cell_of(F.col("qx"), sizes[-1])).withColumn("ky", cell_of(F.col("qy"), sizes[-1]))
     best = (
         cand.join(leaf, ["kx", "ky"])
-        .groupBy(pid).agg(F.min(F.struct(
+        .groupBy(F.col(pid).alias("_id"), "_px", "_py").agg(F.min(F.struct(
             planar2(F.col("_px"), F.col("_py"), F.col("qx"), F.col("qy")).alias("d2"), F.col("who"))).alias("_b"))
     )
-    return points.join(best, pid, "left")
+    # ids may repeat at other coordinates, so the way back is by both
+    same = F.col(pid).eqNullSafe(F.col("_id")) & (px == F.col("_px")) & (py == F.col("_py"))
+    return points.join(best, same, "left").drop("_id", "_px", "_py")
 
 
 def _open(cand: DataFrame, pid: str, r2: float) -> DataFrame:

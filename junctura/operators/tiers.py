@@ -19,13 +19,21 @@ def check_tier(df: DataFrame, sid: str, cols: list[str]) -> DataFrame:
     return df.groupBy(sid).count().where("count > 1")
 
 
+def require_unique(df: DataFrame, sid: str, cols: list[str], name: str) -> DataFrame:
+    """``df``, or an error that names some of the ids that it repeats."""
+    again = [r[sid] for r in check_tier(df, sid, cols).orderBy(sid).limit(5).collect()]
+    if again:
+        raise ValueError(f"{name}: ids occur more than once, e.g. {again}")
+    return df
+
+
 def combined_list(known: DataFrame, screen: DataFrame, predicted: DataFrame, n: int, sid: str) -> DataFrame:
     """Known sites, then screened, then predicted; one row per site, cut at n. A
     site takes the highest tier that admits it and keeps the attributes of all."""
     if n < 0:
         raise ValueError("n must be >= 0")
-    for df, cols in ((known, ["ksi_history", "crashes_history"]), (screen, ["screen_count"]), (predicted, ["model_rank"])):
-        check_tier(df, sid, cols)
+    for df, cols, name in zip((known, screen, predicted), (["ksi_history", "crashes_history"], ["screen_count"], ["model_rank"]), SOURCES):
+        require_unique(df, sid, cols, name)
     k = known.select(sid, "ksi_history", "crashes_history", F.lit(True).alias("_k"))
     s = screen.select(sid, "screen_count", F.lit(True).alias("_s"))
     p = predicted.select(sid, F.col("model_rank").cast("bigint").alias("model_rank"))
@@ -97,7 +105,11 @@ def matched_controls(treated: DataFrame, pool: DataFrame, used: DataFrame, *, si
     Exposure is bucketed by powers of two, so the x0.5..x2 band is an equality on
     neighbouring buckets; unknown exposure has its own bucket that meets all. Rows
     are cut to the n best per treated site by a limited window before the shuffle.
+    A treated site whose rank is in no stratum has no peers: that is an error.
     """
+    outside = [r[sid] for r in treated.where(stratum("rank").isNull()).select(sid).limit(5).collect()]
+    if outside:
+        raise ValueError(f"treated sites have ranks in no stratum, e.g. {outside}")
     taken = used.select(sid).union(treated.select(sid)).distinct()
     free = pool.join(taken, sid, "left_anti").withColumn("_st", stratum("rank"))
     oct_ = F.floor(F.log2(F.col("entering").cast("double"))).cast("int")

@@ -52,9 +52,12 @@ def node_classes(edges: DataFrame) -> DataFrame:
 
 
 def geometry_features(sites: DataFrame, nodes: DataFrame, edges: DataFrame, radius: float, sid: str = "site_id") -> DataFrame:
-    """Nearest graph node of each site, then that node's road attributes."""
+    """Nearest graph node of each site, then that node's road attributes. A site
+    without a node or a node without edges has an unknown lane count and type 5."""
     near = nearest_within(sites, nodes, radius, pid=sid, qid="node", how="left").select(sid, "node")
-    return near.join(node_attributes(edges), "node", "left")
+    g = near.join(node_attributes(edges), "node", "left")
+    return g.withColumn("lane_count_missing", F.when(F.col("edge_count").isNotNull(), F.col("lane_count_missing")).otherwise(1)).withColumn(
+        "intersection_type", F.coalesce("intersection_type", F.lit(5)))
 
 
 def control_features(sites: DataFrame, signals: DataFrame, stops: DataFrame, sid: str = "site_id",

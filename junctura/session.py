@@ -34,11 +34,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir when the cluster
-    names one; a temporary folder only where it is unset (local runs, tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir. Only a local master,
+    where all tasks share one disk, falls back to a temporary folder."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -71,7 +73,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged copy that nothing reads any more."""
+    path = getattr(df, "_staged_at", None)
+    if path:
+        _drop(df.sparkSession, path)
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:

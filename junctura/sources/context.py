@@ -9,19 +9,24 @@ from junctura.sources.events import map_columns, read_text_csv, read_zipped_csv
 
 
 def read_points_geojson(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
-    """(lon, lat, props) of every point feature. ``multi_line=False`` reads one
+    """(lon, lat, props) of every point, also of each point of a multi-point feature. ``multi_line=False`` reads one
     document per line, which splits across tasks; a pretty-printed file does not."""
-    f = spark.read.schema(S.GEOJSON_POINTS).option("multiLine", multi_line).json(path).select(F.explode("features").alias("f"))
-    return f.where("f.geometry.type = 'Point'").select(
-        F.get("f.geometry.coordinates", 0).alias("lon"), F.get("f.geometry.coordinates", 1).alias("lat"), F.col("f.properties").alias("props"))
+    f = spark.read.schema(S.GEOJSON_FEATURES).option("multiLine", multi_line).json(path).select(F.explode("features").alias("f"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    points = F.when(kind == "Point", F.array(F.from_json(text, "array<double>"))).when(kind == "MultiPoint", F.from_json(text, "array<array<double>>"))
+    return f.select(F.explode(points).alias("p"), F.col("f.properties").alias("props")).select(
+        F.get("p", 0).alias("lon"), F.get("p", 1).alias("lat"), "props")
 
 
 def read_polygons_geojson(spark: SparkSession, path, id_prop: str, multi_line: bool = True) -> DataFrame:
-    """(poly, ring, seq, x, y, props) of every polygon vertex."""
-    f = spark.read.schema(S.GEOJSON_POLYGONS).option("multiLine", multi_line).json(path).select(F.explode("features").alias("f"))
-    f = f.where("f.geometry.type = 'Polygon'")
+    """(poly, ring, seq, x, y, props) of every polygon vertex. The rings of all parts of
+    a multi-part polygon are numbered through: inside is inside an odd number of rings."""
+    f = spark.read.schema(S.GEOJSON_FEATURES).option("multiLine", multi_line).json(path).select(F.explode("features").alias("f"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    rings = F.when(kind == "Polygon", F.from_json(text, "array<array<array<double>>>")).when(
+        kind == "MultiPolygon", F.flatten(F.from_json(text, "array<array<array<array<double>>>>")))
     r = f.select(F.col(f"f.properties.{id_prop}").try_cast("bigint").alias("poly"), F.col("f.properties").alias("props"),
-                 F.posexplode("f.geometry.coordinates").alias("ring", "pts"))
+                 F.posexplode(rings).alias("ring", "pts"))
     return r.select("poly", "props", "ring", F.posexplode("pts").alias("seq", "p")).select(
         "poly", "ring", "seq", F.get("p", 0).alias("x"), F.get("p", 1).alias("y"), "props")
 

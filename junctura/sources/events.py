@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -11,11 +12,21 @@ from junctura.sources import schemas as S
 
 
 def read_text_csv(spark: SparkSession, path, columns: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header, every value kept as text; columns the file lacks are null.
-    The header decides positions, so column order may differ between files."""
-    raw = spark.read.option("header", True).option("encoding", encoding).option("inferSchema", False).csv(path)
-    have = {c.upper(): c for c in raw.columns}
-    return raw.select(*[(F.col(f"`{have[c.upper()]}`") if c.upper() in have else F.lit(None)).cast("string").alias(c) for c in columns])
+    """CSV with headers, every value kept as text; columns a file lacks are null. Each
+    file's own header decides its positions: files with one header are read together,
+    and the groups are united by name."""
+    reader = spark.read.option("header", True).option("encoding", encoding).option("inferSchema", False)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in sorted(spark.read.text(path).inputFiles()):
+        f = unquote(f)
+        by_header.setdefault(tuple(reader.csv(f).columns), []).append(f)
+    out = None
+    for header, files in by_header.items():
+        have = {c.upper(): c for c in header}
+        part = reader.csv(files).select(
+            *[(F.col(f"`{have[c.upper()]}`") if c.upper() in have else F.lit(None)).cast("string").alias(c) for c in columns])
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns)) if out is None else out
 
 
 def snapshot_paths(spark: SparkSession, pattern: str) -> DataFrame:

@@ -161,3 +161,14 @@ def test_small_rules(spark):
     got = {x.display_label: (x.plain, x.matched) for x in X.plain_language(lab).collect()}
     assert got["0.4 years since last crash"][0] == "A crash within the past year" and got["72 km/h speed limit"][0] == "45 mph speed limit"
     assert got["2.0 years since last crash"][0] == "The last crash was about 2 years ago" and got["novel label"] == ("novel label", False)
+
+
+def test_repeated_tier_ids_and_ranks_outside_the_strata_are_errors(spark):
+    known = spark.createDataFrame([(1, 2, 3), (1, 2, 3)], "site_id bigint, ksi_history bigint, crashes_history bigint")
+    screen = spark.createDataFrame([(2, 9)], "site_id bigint, screen_count bigint")
+    predicted = spark.createDataFrame([(3, 1)], "site_id bigint, model_rank bigint")
+    with pytest.raises(ValueError, match="known"):
+        tiers.combined_list(known, screen, predicted, 5, "site_id")
+    sites = spark.createDataFrame([(1, 10_500, "signal", 100, 1), (2, 5, "signal", 100, 1)], "site_id bigint, rank int, control string, entering int, council_district int")
+    with pytest.raises(ValueError, match="stratum"):
+        tiers.matched_controls(sites.where("site_id = 1"), sites, sites.where("false"), sid="site_id")

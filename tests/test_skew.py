@@ -47,6 +47,16 @@ def test_nearest_equals_brute_force(data, levels, monkeypatch):
     assert got == want
 
 
+def test_only_crowded_cells_are_refined_and_ids_may_repeat(data, spark, monkeypatch):
+    ev, si, e, s = data
+    monkeypatch.setattr(X, "CELL_LIMIT", 20)
+    cells = X.crowded_cells(X.distinct_places(s, "site_id", "x", "y").select("qx", "qy"), 76.2)
+    assert 0 < cells.count() <= 25  # the block's own cell and those that see it, out of hundreds
+    p = spark.createDataFrame([(1, 500.0, 500.0), (1, 900.0, 900.0), (1, 505.0, 505.0)], "event_id bigint, x double, y double")
+    got = {(r.x, r.y): r.site_id for r in X.nearest_within(p, s, 400.0, how="left").collect()}
+    assert got == {(a[1], a[2]): min((d2(a, b), b[0]) for b in si)[1] for a in [(1, 500.0, 500.0), (1, 900.0, 900.0), (1, 505.0, 505.0)]}
+
+
 def test_radius_totals_equal_brute_force(data):
     ev, si, e, s = data
     got = {r.site_id: (r.n, r.top) for r in X.radius_totals(s, e, 150.0, cid="site_id", sums={"n": F.lit(1)}, maxima={"top": F.col("event_id")}).collect()}

@@ -1,6 +1,7 @@
 import io
 import json
 import zipfile
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -43,6 +44,24 @@ def test_csv_header_order_and_missing_columns(spark, tmp_path):
     assert (r.CASE_ID, r.SEVERITY, r.OTHER) == ("007", "1", None)
 
 
+def test_csv_files_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n2,1\n")
+    (tmp_path / "c d.csv").write_text("a\n9\n")
+    r = E.read_text_csv(spark, str(tmp_path), ["a", "b"]).collect()
+    assert sorted((x.a, x.b) for x in r if x.b) == [("1", "2"), ("1", "2")] and [x.a for x in r if x.b is None] == ["9"]
+
+
+def test_multi_part_features(spark, tmp_path):
+    square = lambda x: [[[x, 0], [x + 1, 0], [x + 1, 1], [x, 1], [x, 0]]]
+    feats = [("MultiPolygon", [square(0), square(5)], 1), ("Polygon", square(9), 2), ("MultiPoint", [[1, 2], [3, 4]], 3), ("Point", [5, 6], 4)]
+    path = tmp_path / "f.json"
+    path.write_text(json.dumps({"features": [{"geometry": {"type": t, "coordinates": c}, "properties": {"id": str(i)}} for t, c, i in feats]}))
+    rings = Counter((r.poly, r.ring) for r in C.read_polygons_geojson(spark, str(path), "id").collect())
+    assert rings == {(1, 0): 5, (1, 1): 5, (2, 0): 5}
+    assert sorted((r.lon, r.lat) for r in C.read_points_geojson(spark, str(path)).collect()) == [(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)]
+
+
 def test_first_listed_snapshot_wins(spark):
     a = spark.createDataFrame([(1, "a"), (2, "a")], "id int, v string")
     b = spark.createDataFrame([(2, "b"), (3, "b")], "id int, v string")
