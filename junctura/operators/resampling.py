@@ -6,6 +6,8 @@ same sample. Where only the positives matter, only the positives are replicated.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from junctura.operators.ranking import ranked
@@ -17,9 +19,17 @@ def hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
 
 
-# Cumulative Poisson(1) probabilities for 0..8.
-POISSON1 = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-            0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402)
+def _cumulative(bits: int) -> tuple[float, ...]:
+    """Cumulative Poisson(1) probabilities as far as a draw of so many bits can tell."""
+    out, total, k = [], 0.0, 0
+    while 1.0 - total >= 2.0**-bits:
+        total += math.exp(-1.0) / math.factorial(k)
+        out.append(total)
+        k += 1
+    return tuple(out)
+
+
+POISSON1 = _cumulative(32)
 
 
 def poisson_weight(u: Column) -> Column:
