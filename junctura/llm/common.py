@@ -15,11 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: A staged table that is known to be small is written by few tasks.
+ROWS_PER_TASK, LEAST_TASKS = 50_000, 12
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write to the shared folder (``spark.checkpoint.dir``) and read back: the copy
-    outlives lost executors and ends the lineage."""
+    outlives lost executors and ends the lineage. ``rows``, where a bound is known,
+    keeps the number of writing tasks in proportion to them."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    kept = df if rows is None else df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_PER_TASK)))
+    kept.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

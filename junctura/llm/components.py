@@ -24,13 +24,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     neighbours."""
     e = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges")
-    while not _settled(e):
+    n = 2 * e.count()  # no step has more rows: an edge becomes at most one edge
+    while n and not _settled(e):
         both = e.union(e.select("v", "u"))
-        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "low")
-        large = staged(both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct(), "large")
-        low2 = staged(large.groupBy("u").agg(F.min("v").alias("low")), "low")
+        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "low", n)
+        large = staged(both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")), "large", n)
+        low2 = staged(large.groupBy("u").agg(F.min("v").alias("low")), "low", n)
         small = large.join(low2, "u").where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
-        new = staged(small.union(low2.select("u", F.col("low").alias("v"))).distinct(), "edges")
+        new = staged(small.union(low2.select("u", F.col("low").alias("v"))).distinct(), "edges", n)
         release(e, low, large, low2)
         e = new
     roots = e.select(F.col("v").alias("node")).distinct()

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from junctura.llm import bloom
 from junctura.llm.common import staged, text_of
-from junctura.llm.components import components
-from junctura.llm.stars import star_links
+from junctura.llm.stars import star_components
 
 SHINGLE = 5
 BANDS, ROWS = 21, 6
@@ -108,10 +107,10 @@ def near_groups(docs: DataFrame, *, width: int = SHINGLE, bands: int = BANDS, ro
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
 
     Texts with equal shingle sets are one class with its lowest id. The classes' band
-    keys make buckets. In each bucket one member, the lowest by a hash of the round, is
-    the centre of a star: it is compared with every member that is not yet in its
-    component, on the full sets, so a bucket of n members costs n pairs a round and never
-    their square. The next round takes new centres for what is still apart, until a round
+    keys make buckets. In each bucket a few members, the lowest by hashes of the round,
+    are the centres of stars: each is compared with the members that are not yet in its
+    component, on the full sets, so a bucket of n members costs a few n pairs a round and
+    never their square. The next round takes new centres for what is still apart, until a round
     finds no link. Links and components live in tables; none come to the driver.
 
     A text without words has no shingles, links with nothing and stays. A null id links
@@ -126,7 +125,7 @@ def near_groups(docs: DataFrame, *, width: int = SHINGLE, bands: int = BANDS, ro
     banded = classes.select("id", "n", F.explode("keys").alias("key"))
     shared = staged(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
     members = staged(banded.join(shared, "key"), "members")
-    links = None
+    comp = None
     if not members.isEmpty():
         ids = staged(members.select(F.col("id").alias("doc_id")).distinct(), "ids")
         sets = staged(bloom.with_ids(texts, ids, ids.count()).select("doc_id", "text").mapInArrow(_sets(width), f"id {kind}, shingles array<long>"), "sets")
@@ -139,10 +138,9 @@ def near_groups(docs: DataFrame, *, width: int = SHINGLE, bands: int = BANDS, ro
             return b.where(100 * both >= percent * (F.size("cs") + F.size("ms") - both)).select("center", "member")
 
         fits = 100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
-        links = star_links(members, confirmed, fits)
+        comp = star_components(members, confirmed, fits)
     node = classes.select("same", "id")
-    if links is not None:
-        comp = staged(components(links, "center", "member"), "components")
+    if comp is not None:
         node = node.join(comp, node["id"] == comp["node"], "left").select("same", F.coalesce("component", "id").alias("id"))
     node = staged(node, "nodes")
     known = F.col("doc_id").isNotNull() & F.col("same").isNotNull()

@@ -9,19 +9,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from junctura.llm.common import release, staged
 from junctura.llm.components import components
 
-#: Rounds of new centres before a round without a new link ends the search.
-MIN_ROUNDS = 3
+#: Centres of a bucket in one round.
+CENTRES = 3
 
 
-def star_links(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], fits: Column, min_rounds: int = MIN_ROUNDS) -> DataFrame | None:
-    """Confirmed links (center, member) of the buckets ``members`` (key, id, n); None
-    without any. ``confirmed`` keeps the pairs (center, member) that are alike; ``fits``
-    is a cheap test on the sizes ``n`` and ``cn``.
+def star_components(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], fits: Column, centres: int = CENTRES) -> DataFrame:
+    """(node, component) of the ids that links within the buckets ``members`` (key, id, n)
+    join; ids without a link have no row. ``confirmed`` keeps the pairs (center, member)
+    that are alike; ``fits`` is a cheap test on the sizes ``n`` and ``cn``.
 
-    Each round the member of a bucket with the lowest hash of that round is its centre
-    and is paired with the members that are in other components: as many pairs as
-    members, however large the bucket."""
-    links = tried = comp = None
+    Each round the members of a bucket with the lowest hashes of that round are its
+    centres; each is paired with the members that are in other components: at most
+    ``centres`` pairs for a member, however large the bucket. What is still apart gets
+    new centres in the next round, until a round finds no link."""
+    tried = comp = None
     turn = 0
     while True:
         if comp is None:
@@ -29,23 +30,34 @@ def star_links(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame],
         else:
             at = members.join(comp, members["id"] == comp["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
             at = staged(at, "placed")
-        centre = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("c")
-        apart = staged(at.groupBy("key").agg(centre, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(
-            "key", F.col("c.id").alias("center"), F.col("c.n").alias("cn"), F.col("c.comp").alias("ccomp")), "centres")
+        lows = [F.min(F.struct(F.xxhash64("id", F.lit(turn * centres + i)).alias("h"), "id", "n", "comp")) for i in range(centres)]
+        apart = at.groupBy("key").agg(F.array(*lows).alias("cs"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        apart = staged(apart.select("key", F.explode(F.array_distinct(F.transform("cs", lambda c: F.struct(c["id"].alias("id"), c["n"].alias("n"), c["comp"].alias("comp"))))).alias("c"))
+                       .select("key", F.col("c.id").alias("center"), F.col("c.n").alias("cn"), F.col("c.comp").alias("ccomp")), "centres")
         pairs = at.join(apart, "key").where((F.col("comp") != F.col("ccomp")) & fits).select("center", F.col("id").alias("member")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["center", "member"], "left_anti")
         pairs = staged(pairs, "pairs")
-        new = staged(confirmed(pairs).distinct(), "links")
-        release(apart, *([at] if comp is not None else []))
+        links = staged(confirmed(pairs).distinct(), "links", pairs.count())
+        if comp is not None:
+            release(at)
+        release(apart)
+        if links.isEmpty():
+            return comp if comp is not None else components(links, "center", "member")
         back = pairs.union(pairs.select(F.col("member").alias("center"), F.col("center").alias("member")))
         tried = back if tried is None else tried.union(back)
         turn += 1
-        if new.isEmpty():
-            if turn >= min_rounds:
-                return links
+        if comp is None:
+            comp = staged(components(links, "center", "member"), "components")
             continue
-        links = new if links is None else links.union(new)
-        old, comp = comp, staged(components(links, "center", "member"), "components")
-        if old is not None:
-            release(old)
+        # later rounds join whole components: only their labels meet
+        label = comp.select(F.col("node").alias("id"), "component")
+        over = links.join(label.withColumnRenamed("id", "center").withColumnRenamed("component", "x"), "center", "left").join(
+            label.withColumnRenamed("id", "member").withColumnRenamed("component", "y"), "member", "left").select(
+            F.coalesce("x", "center").alias("a"), F.coalesce("y", "member").alias("b"))
+        merged = staged(components(over, "a", "b"), "merged")
+        moved = comp.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
+            "node", F.coalesce("to", "component").alias("component"))
+        fresh = merged.join(comp, "node", "left_anti").select("node", "component")
+        old, comp = comp, staged(moved.union(fresh), "components")
+        release(old, merged)
