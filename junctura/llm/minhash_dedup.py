@@ -131,11 +131,15 @@ def near_groups(docs: DataFrame, *, width: int = SHINGLE, bands: int = BANDS, ro
         sets = staged(bloom.with_ids(texts, ids, ids.count()).select("doc_id", "text").mapInArrow(_sets(width), f"id {kind}, shingles array<long>"), "sets")
 
         def confirmed(pairs: DataFrame) -> DataFrame:
-            # centres first: their sets then travel to the members, which are many and even
-            a = pairs.join(sets.select(F.col("id").alias("center"), F.col("shingles").alias("cs")), "center")
-            b = a.join(sets.select(F.col("id").alias("member"), F.col("shingles").alias("ms")), "member")
-            both = F.size(F.array_intersect("cs", "ms"))
-            return b.where(100 * both >= percent * (F.size("cs") + F.size("ms") - both)).select("center", "member")
+            # only sets of this round's pairs are shuffled; centres first, so that their sets
+            # travel to the members, which are many and even
+            ids = pairs.select(F.xxhash64("center").alias("h")).union(pairs.select(F.xxhash64("member"))).distinct()
+            near = sets.where(bloom.build(ids, "h", 2 * pairs.count()).holds(F.xxhash64("id")))
+            a = pairs.join(near.select(F.col("id").alias("center"), F.col("shingles").alias("cs")), "center")
+            b = a.join(near.select(F.col("id").alias("member"), F.col("shingles").alias("ms")), "member")
+            both = F.array(F.size(F.array_intersect("cs", "ms")))  # bound once for both of its uses
+            alike = F.exists(both, lambda n: 100 * n >= percent * (F.size("cs") + F.size("ms") - n))
+            return b.where(alike).select("center", "member")
 
         fits = 100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
         comp = star_components(members, confirmed, fits)

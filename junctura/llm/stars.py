@@ -9,28 +9,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from junctura.llm.common import release, staged
 from junctura.llm.components import components
 
-#: Centres of a bucket in one round.
-CENTRES = 3
+#: Centres of a bucket in the first round, and in later ones, when little is still apart.
+CENTRES, MORE_CENTRES = 3, 8
 
 
-def star_components(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], fits: Column, centres: int = CENTRES) -> DataFrame:
+def star_components(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], fits: Column, centres: int = CENTRES,
+                    tolerance: float = 0.0) -> DataFrame:
     """(node, component) of the ids that links within the buckets ``members`` (key, id, n)
     join; ids without a link have no row. ``confirmed`` keeps the pairs (center, member)
     that are alike; ``fits`` is a cheap test on the sizes ``n`` and ``cn``.
 
     Each round the members of a bucket with the lowest hashes of that round are its
-    centres; each is paired with the members that are in other components: at most
-    ``centres`` pairs for a member, however large the bucket. What is still apart gets
-    new centres in the next round, until a round finds no link."""
+    centres; each is paired with the members that are in other components: a few pairs
+    for a member, however large the bucket. What is still apart gets
+    new centres in the next round, until a round adds no link, or no more than the share
+    ``tolerance`` of the links found before: where buckets hold many unrelated groups,
+    ever later rounds would each find a few."""
     tried = comp = None
-    turn = 0
+    turn = found = 0
     while True:
         if comp is None:
             at = members.withColumn("comp", F.col("id"))
         else:
             at = members.join(comp, members["id"] == comp["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
             at = staged(at, "placed")
-        lows = [F.min(F.struct(F.xxhash64("id", F.lit(turn * centres + i)).alias("h"), "id", "n", "comp")) for i in range(centres)]
+        hashes = range(centres) if turn == 0 else range(turn * MORE_CENTRES, (turn + 1) * MORE_CENTRES)
+        lows = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", "n", "comp")) for i in hashes]
         apart = at.groupBy("key").agg(F.array(*lows).alias("cs"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         apart = staged(apart.select("key", F.explode(F.array_distinct(F.transform("cs", lambda c: F.struct(c["id"].alias("id"), c["n"].alias("n"), c["comp"].alias("comp"))))).alias("c"))
                        .select("key", F.col("c.id").alias("center"), F.col("c.n").alias("cn"), F.col("c.comp").alias("ccomp")), "centres")
@@ -38,17 +42,18 @@ def star_components(members: DataFrame, confirmed: Callable[[DataFrame], DataFra
         if tried is not None:
             pairs = pairs.join(tried, ["center", "member"], "left_anti")
         pairs = staged(pairs, "pairs")
-        links = staged(confirmed(pairs).distinct(), "links", pairs.count())
+        links = staged(confirmed(pairs).distinct(), "links")
         if comp is not None:
             release(at)
         release(apart)
-        if links.isEmpty():
+        new = links.count()
+        if new == 0:
             return comp if comp is not None else components(links, "center", "member")
         back = pairs.union(pairs.select(F.col("member").alias("center"), F.col("center").alias("member")))
         tried = back if tried is None else tried.union(back)
         turn += 1
         if comp is None:
-            comp = staged(components(links, "center", "member"), "components")
+            comp, found = staged(components(links, "center", "member"), "components"), new
             continue
         # later rounds join whole components: only their labels meet
         label = comp.select(F.col("node").alias("id"), "component")
@@ -61,3 +66,6 @@ def star_components(members: DataFrame, confirmed: Callable[[DataFrame], DataFra
         fresh = merged.join(comp, "node", "left_anti").select("node", "component")
         old, comp = comp, staged(moved.union(fresh), "components")
         release(old, merged)
+        if new <= tolerance * found:
+            return comp
+        found += new
