@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from junctura.llm.common import release, staged
 from junctura.llm.components import components
 
-#: Centres of a bucket in the first round, and in later ones, when little is still apart.
-CENTRES, MORE_CENTRES = 3, 8
+#: Centres of a bucket in the first round and in later ones.
+CENTRES, MORE_CENTRES = 3, 3
 
 
 def star_components(members: DataFrame, confirmed: Callable[[DataFrame], DataFrame], fits: Column, centres: int = CENTRES,
