@@ -111,7 +111,9 @@ def near_groups(docs: DataFrame, *, width: int = SHINGLE, bands: int = BANDS, ro
     are the centres of stars: each is compared with the members that are not yet in its
     component, on the full sets, so a bucket of n members costs a few n pairs a round and
     never their square. The next round takes new centres for what is still apart, until a round
-    finds no link. Links and components live in tables; none come to the driver.
+    finds no link or a few rounds are over. Buckets that are then not one component are finished exactly, large ones
+    by the rarest shingles of their members. Links and components live in tables; none come
+    to the driver.
 
     A text without words has no shingles, links with nothing and stays. A null id links
     with nothing, stays and has no component. Rows that repeat an id are one node: a
@@ -142,7 +144,7 @@ def near_groups(docs: DataFrame, *, width: int = SHINGLE, bands: int = BANDS, ro
             return b.where(alike).select("center", "member")
 
         fits = 100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
-        comp = star_components(members, confirmed, fits)
+        comp = star_components(members, confirmed, fits, lambda ids: sets.join(ids, "id").select("id", F.col("shingles").alias("tokens")), percent)
     node = classes.select("same", "id")
     if comp is not None:
         node = node.join(comp, node["id"] == comp["node"], "left").select("same", F.coalesce("component", "id").alias("id"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from junctura.llm import exact_dedup, license_scan, line_dedup, minhash_dedup, mixing, packing, pii, quality, toxicity, url_filter
 from junctura.llm.components import components
+from junctura.llm.stars import star_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = ("The old mill by the river was sold in spring to a family from the north who wanted to grind their own flour "
@@ -312,6 +313,29 @@ def test_line_groups_match_brute_force(spark):
         assert clean[i] == (None if t is None else "\n".join(l for k, l in enumerate(t.split("\n")) if want.get((i, k), (i, k)) == (i, k)))
 
 
+def test_pairs_in_a_large_bucket_of_unrelated_lines_are_all_found(spark):
+    rows = []
+    for i in range(60):  # all meet in one bucket; each has one partner
+        base = " ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest()[:9] for k in range(8))
+        rows += [(2 * i, base), (2 * i + 1, base[:-3] + "xyz")]
+    want = line_components(rows)
+    assert sum(want[x] != x for x in want) == 60
+    texts = spark.createDataFrame([(i, t, len({t[j:j + 5] for j in range(len(t) - 4)})) for i, t in rows], "id long, line string, n int")
+    members = texts.select(F.lit(1).alias("key"), "id", "n")
+
+    def confirmed(pairs):
+        a = pairs.join(texts.select(F.col("id").alias("center"), F.col("line").alias("a")), "center")
+        b = a.join(texts.select(F.col("id").alias("member"), F.col("line").alias("b")), "member")
+        return b.where(line_dedup._alike(F.col("a"), F.col("b"), 80)).select("center", "member")
+
+    def tokens(ids):
+        return texts.join(ids, "id").select("id", F.transform(line_dedup._all_shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("tokens"))
+
+    fits = 100 * F.least("n", "cn") >= 80 * F.greatest("n", "cn")
+    got = {r["node"]: r["component"] for r in star_components(members, confirmed, fits, tokens, 80, centres=1, tolerance=line_dedup.TOLERANCE).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == {i: want[(i, 0)][0] for i, _ in rows}
+
+
 def test_line_dedup_plan_has_no_python(spark):
     plan = line_dedup.signatures(docs_of(spark, [(1, prose(1), "s")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
