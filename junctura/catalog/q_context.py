@@ -113,7 +113,7 @@ def treated_and_pool(s, d):
   CASE WHEN segment<>'MACHINERY' THEN segment END AS control, CASE WHEN site_id%5<>0 THEN site_id%40*1000+500 END AS entering, row_number() OVER (ORDER BY score_a DESC, site_id) AS rank FROM scored))"""))
 def _(s, d):
     t, pool, used = treated_and_pool(s, d)
-    return tiers.matched_controls(t, pool, used, sid="site_id")
+    return tiers.matched_controls(t.where(tiers.stratum("rank").isNotNull()), pool, used, sid="site_id")  # the SQL has no rows for others
 
 
 @query("k8_point_context", sql("reports_text sites", f"""SELECT printf('%.6f,%.6f',lat,lon) AS point_key, n_reports, last FROM (SELECT lat, lon, {pair_sql('ka','kb')} AS pair FROM (SELECT lat, lon, {key_sql("split_part(name,' & ',1)")} AS ka,

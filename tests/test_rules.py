@@ -172,3 +172,16 @@ def test_repeated_tier_ids_and_ranks_outside_the_strata_are_errors(spark):
     sites = spark.createDataFrame([(1, 10_500, "signal", 100, 1), (2, 5, "signal", 100, 1)], "site_id bigint, rank int, control string, entering int, council_district int")
     with pytest.raises(ValueError, match="stratum"):
         tiers.matched_controls(sites.where("site_id = 1"), sites, sites.where("false"), sid="site_id")
+
+
+def test_matched_controls_query_runs_past_the_last_stratum(spark, monkeypatch):
+    from junctura import catalog
+    from junctura.catalog import views as V
+    catalog.load_all()
+    n = 10_200
+    sites = spark.range(n).select(F.col("id").alias("site_id"), (-F.col("id")).alias("score_a"), (F.col("id") % 7).cast("int").alias("council_district"),
+                                  F.lit("BUILDING").alias("segment"))
+    monkeypatch.setattr(V, "scored", lambda s, d: sites)
+    got = catalog.QUERIES["j29_f15_matched_controls"](spark, "").collect()
+    treated = {r.treated_id for r in got}
+    assert max(treated) < 10_000 and max(treated) > 9_000 and all(i % 50 == 7 for i in treated)
