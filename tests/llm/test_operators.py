@@ -442,6 +442,23 @@ def test_empty_and_null_tables_of_lines_and_urls(spark):
     assert url_filter.judge(one, rules.where("false")).first()["verdict"] == "allow"
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+    rows = []
+    for g, far in enumerate((20, 20, 40, 40)):
+        w = prose(g + 300, 110).split()
+        rows.append((2 * g, " ".join(w)))
+        w[10] = f"edit{g}a"
+        w[30] = f"edit{g}b"
+        if far > 20:
+            w[60] = f"edit{g}c"
+        rows.append((2 * g + 1, " ".join(w)))
+    want, _ = jaccard_components(rows, 80)
+    assert sum(want[i] != i for i in want) == 2 and jaccard_components(rows, 85)[0] == {i: i for i in want}
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, [(i, t, "s") for i, t in rows]), "").collect()}
+    assert left == {i for i in want if want[i] == i}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="bundled tables absent")
 def test_pipeline_stages_decide(spark):
     import corpus_pipeline
