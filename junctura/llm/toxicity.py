@@ -40,7 +40,6 @@ MIN_PURITY = 0.97
 MAX_STEMS = 2_000
 HELD_OUT = 1
 
-_BLANKS = bytes(b if b >= 128 or chr(b).isalnum() or b == 39 else 32 for b in range(256))
 _CLAUSES = re.compile(r"[.!?;:\n]+")
 _TOKENS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
@@ -62,7 +61,8 @@ class Grammar:
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
         self.lengths = sorted({len(s) for s in stems})
-        self.heads = frozenset(s.encode()[:4] for s in stems) | frozenset(w.encode()[:4] for w in THREAT)
+        self.head = min(len(w) for w in (*stems, *THREAT))
+        self.heads = frozenset(w[:self.head] for w in (*stems, *THREAT))
 
     def look_up(self, word: str) -> tuple[str, float]:
         for n in self.lengths:
@@ -97,7 +97,7 @@ class Grammar:
     def text(self, text: str) -> float:
         """Sum over the clauses of a whole text."""
         low = text.lower()
-        if not self.heads.intersection({w[:4] for w in low.encode("utf-8", "surrogatepass").translate(_BLANKS).split()}):
+        if self.heads.isdisjoint([w[:self.head] for w in _TOKENS.findall(low)]):  # the words of all clauses
             return 0.0
         return sum(self.clause(_TOKENS.findall(c)) for c in _CLAUSES.split(low))
 

@@ -369,6 +369,13 @@ def test_grammar_reads_clauses():
     assert g.text("I will kill you") == toxicity.THREAT_WEIGHT and g.text("they kill time") == 0.0
 
 
+def test_grammar_reads_words_after_any_sign():
+    g = toxicity.Grammar({"idio": 4.0})
+    for text in ("¡idiota!", "«idiot»", "'idiot'", "l’idiot", "“idiot”", "so\u2014idiot", "an\u00a0idiot", "4idiot"):
+        assert g.text(text) == 4.0, text
+    assert g.text("«kill» you") == toxicity.THREAT_WEIGHT
+
+
 # ---- 9: mixing
 
 def test_mix_meets_targets_with_skew(spark):
