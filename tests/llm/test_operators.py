@@ -172,6 +172,25 @@ def test_near_groups_match_brute_force(spark):
     assert left == {i for i in want if want[i] == i}
 
 
+def test_hot_bucket_of_boilerplate_is_finished(spark):
+    boiler, rows = prose(1, 300), []
+    for i in range(80):  # 75 % boilerplate, and pairs whose own parts are alike
+        own = [f"own{i}w{j}" for j in range(100)]
+        rows.append((2 * i, f"{boiler} {' '.join(own)}"))
+        own[50] = f"edit{i}"
+        rows.append((2 * i + 1, f"{boiler} {' '.join(own)}"))
+    want, _ = jaccard_components(rows, 85)
+    assert sum(want[i] != i for i in want) == 80
+    # one band of one row: a bucket or two hold most documents
+    got = as_dict(minhash_dedup.near_groups(docs_of(spark, [(i, t, "s") for i, t in rows]), bands=1, rows=1))
+    lowest = {}
+    shingler, signer = minhash_dedup.Shingler(), minhash_dedup.Signer(1, 1)
+    keys = {i: signer.of(shingler.of(t))[0] for i, t in rows}
+    for i in want:
+        lowest[i] = want[i] if keys[i] == keys[want[i]] else i
+    assert {i: r["component_id"] for i, r in got.items()} == lowest and max(Counter(keys.values()).values()) > 50
+
+
 def test_components_of_chains_stars_and_structs(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(20, 60)] + [(1, 1), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
