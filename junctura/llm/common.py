@@ -19,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_PER_TASK, LEAST_TASKS = 50_000, 12
 
 
-def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None, partition_by: str | None = None) -> DataFrame:
     """Write to the shared folder (``spark.checkpoint.dir``) and read back: the copy
     outlives lost executors and ends the lineage. ``rows``, where a bound is known,
-    keeps the number of writing tasks in proportion to them."""
+    keeps the number of writing tasks in proportion to them. ``partition_by`` names the
+    last column, by whose values the files are laid out."""
     path = scratch_path(df.sparkSession, name)
     kept = df if rows is None else df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_PER_TASK)))
-    kept.write.parquet(path)
+    (kept.write.partitionBy(partition_by) if partition_by else kept.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
