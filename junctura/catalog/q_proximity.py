@@ -47,15 +47,11 @@ def _(s, d):
     sites = V.sites(s, d)
     feat = ev.where("date BETWEEN DATE'1995-01-01' AND DATE'1999-12-31' AND NOT (state_hwy <=> 'Y')")
     hot = snap(ev.select("event_id", "x", "y"), surface_only(sites), 76.2).groupBy("site_id").count().where("count >= 5")
-    hots = sites.join(hot, "site_id", "left_semi")
-    a = X.radius_totals(sites, feat, 150.0, cid="site_id", sums={"nbr_crashes_150m": F.lit(1)})
-    b = X.radius_totals(sites, feat, 400.0, cid="site_id", sums={"nbr_crashes_400m": F.lit(1), "nbr_ksi_400m": (F.col("severity") <= 2).cast("int")})
-    n = X.radius_totals(sites, sites, 400.0, cid="site_id", sums={"m": F.lit(1)})
-    o = X.radius_totals(sites, hots, 400.0, cid="site_id", sums={"n_hotspots_400m": F.lit(1)})
-    x = sites.select("site_id")
-    for t in (a, b, n, o):
-        x = x.join(t, "site_id", "left")
-    x = x.fillna(0)
+    marked = sites.join(hot.select("site_id", F.lit(1).alias("hot")), "site_id", "left")
+    near = X.radius_totals(sites, feat, 400.0, cid="site_id", radii={"nbr_crashes_150m": 150.0}, sums={
+        "nbr_crashes_150m": F.lit(1), "nbr_crashes_400m": F.lit(1), "nbr_ksi_400m": (F.col("severity") <= 2).cast("int")})
+    around = X.radius_totals(sites, marked, 400.0, cid="site_id", sums={"m": F.lit(1), "n_hotspots_400m": F.coalesce("hot", F.lit(0))})
+    x = sites.select("site_id").join(near, "site_id", "left").join(around, "site_id", "left").fillna(0)
     return x.withColumn("node_density_400m", F.col("m") - 1).drop("m")
 
 

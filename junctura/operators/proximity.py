@@ -18,7 +18,11 @@ one row per cell and cheap to replicate.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from junctura.functions.geo import planar2
@@ -26,6 +30,7 @@ from junctura.session import attach, stage
 
 CELL_LIMIT = 256      # coordinates folded into one cell row
 SPLIT = 8             # sub-cells per side at each refinement
+LEAF = 64             # coordinates of a box that is read as one row
 _NINE = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
@@ -230,45 +235,89 @@ def pairs_within(points: DataFrame, places: DataFrame, radius: float, *,
 
 def radius_totals(centers: DataFrame, items: DataFrame, radius: float, *, cid: str,
                   cx: str = "x", cy: str = "y", ix: str = "x", iy: str = "y",
-                  sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:
+                  sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None,
+                  radii: dict[str, float] | None = None, leaf: int = LEAF) -> DataFrame:
     """Sums (default: a count ``n``) and maxima of the items within ``radius`` of
-    each center, for centers with at least one.
-
-    Items are added up per coordinate and per sub-cell before the join. A
-    sub-cell wholly inside the circle contributes its total; only sub-cells on
-    the rim are opened. The work per center follows the rim, not the crowd.
+    each center, for centers with at least one. ``radii`` gives single names a smaller
+    radius; all share one join.
+
+    Items are added up per coordinate and per box before the join. A box wholly
+    inside a circle contributes its total, one outside nothing. On the rim a box of at most
+    ``leaf`` coordinates is read as one row; a fuller one is opened into its sub-boxes,
+    level by level, until each is whole, outside or small. The work per center follows
+    its rim and the depth of the boxes, not how many items crowd there.
     """
     sums = {"n": F.lit(1)} if sums is None and not maxima else (sums or {})
     maxima = maxima or {}
-    fine = radius / SPLIT
-    adds = [F.sum(e).alias(n) for n, e in sums.items()] + [F.max(e).alias(n) for n, e in maxima.items()]
     names = [*sums, *maxima]
-    spots = (
-        items.where(F.col(ix).isNotNull() & F.col(iy).isNotNull())
-        .groupBy(F.col(ix).cast("double").alias("qx"), F.col(iy).cast("double").alias("qy")).agg(*adds)
-    )
-    again = [F.sum(n).alias(n) for n in sums] + [F.max(n).alias(n) for n in maxima]
-    boxes = spots.groupBy(cell_of(F.col("qx"), fine).alias("kx"), cell_of(F.col("qy"), fine).alias("ky")).agg(
-        F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1"), *again)
-    rows = boxes.withColumn("gx", cell_of(F.col("x0"), radius)).withColumn("gy", cell_of(F.col("y0"), radius))
-    rows = rows.withColumnsRenamed({n: f"_b_{n}" for n in names})
-    r2 = float(radius) ** 2
+    reach = {n: float((radii or {}).get(n, radius)) for n in names}
+    rs = sorted({*reach.values(), float(radius)})
+    fold = {**{n: F.sum for n in sums}, **{n: F.max for n in maxima}}
+    items_at = items.where(F.col(ix).isNotNull() & F.col(iy).isNotNull())
+    spots = items_at.groupBy(F.col(ix).cast("double").alias("qx"), F.col(iy).cast("double").alias("qy")).agg(
+        *[fold[n]({**sums, **maxima}[n]).alias(n) for n in names])
+    kinds = {f.name: f.dataType for f in spots.schema}
     c = centers.select(F.col(cid), F.col(cx).cast("double").alias("_px"), F.col(cy).cast("double").alias("_py"))
     px, py = F.col("_px"), F.col("_py")
     box = {k: F.col(k) for k in ("x0", "x1", "y0", "y1")}
-    met = (
-        spread(c, "_px", "_py", radius).join(rows, (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")))
-        .where(_low2(px, py, box) <= r2).withColumn("_whole", _high2(px, py, box) <= r2)
-        # Only rim boxes get a key, so only they meet their coordinates below.
-        .withColumn("_rx", F.when(~F.col("_whole"), F.col("kx")))
-        .select(cid, "_px", "_py", "_whole", "_rx", F.col("ky").alias("_ry"), *[f"_b_{n}" for n in names])
-    )
-    leaf = spots.withColumn("kx", cell_of(F.col("qx"), fine)).withColumn("ky", cell_of(F.col("qy"), fine))
-    both = met.join(leaf, (F.col("_rx") == F.col("kx")) & (F.col("_ry") == F.col("ky")), "left")
-    inside = planar2(px, py, F.col("qx"), F.col("qy")) <= r2
-    both = both.where(F.col("_whole") | inside)
-    pick = lambda n: F.when(F.col("_whole"), F.col(f"_b_{n}")).otherwise(F.col(n))
-    return both.groupBy(cid).agg(*[F.sum(pick(n)).alias(n) for n in sums], *[F.max(pick(n)).alias(n) for n in maxima])
+    rim = lambda i: F.col(f"_o{i}") & (F.col("_lo") <= rs[i] ** 2) & (F.col("_hi") > rs[i] ** 2)
+
+    def boxed(at: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+        at = at.withColumn("kx", cell_of(F.col("qx"), size)).withColumn("ky", cell_of(F.col("qy"), size))
+        up = [k for k in ("ux", "uy") if k in at.columns]
+        per = at.groupBy(*up, "kx", "ky").agg(F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1"),
+                                              F.count("*").alias("_c"), *[fold[n](n).alias(f"_b_{n}") for n in names])
+        return at, stage(per, "boxes")
+
+    def measured(met: DataFrame) -> DataFrame:
+        return met.withColumn("_lo", _low2(px, py, box)).withColumn("_hi", _high2(px, py, box)).where(F.col("_lo") <= rs[-1] ** 2)
+
+    size = radius / SPLIT
+    at, boxes = boxed(spots, size)
+    rows = boxes.withColumn("gx", cell_of(F.col("x0"), radius)).withColumn("gy", cell_of(F.col("y0"), radius))
+    met = spread(c, "_px", "_py", radius).join(rows, (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")))
+    met = measured(met.select(cid, "_px", "_py", *boxes.columns, *[F.lit(True).alias(f"_o{i}") for i in range(len(rs))]))
+    parts = []
+    while True:
+        keys = [k for k in ("ux", "uy") if k in at.columns] + ["kx", "ky"]
+        crowded = stage(boxes.where(F.col("_c") > leaf).select(*keys), "crowded")
+        done = crowded.isEmpty()
+        small = at if done else at.join(crowded, keys, "left_anti")
+        arrays = small.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.collect_list(F.struct("qx", "qy", *names)).alias("_in"))  # at most ``leaf``
+        # only rim boxes get a key, so only they meet their coordinates
+        on_rim = F.lit(False)
+        for i in range(len(rs)):
+            on_rim = on_rim | rim(i)
+        keyed = met.withColumn("_rx", F.when(on_rim & (F.col("_c") <= leaf), F.col("kx")))
+        link = F.col("_rx") == F.col("_kx")
+        for k in keys:
+            link = link & (F.col(k) == F.col(f"_{k}")) if k != "kx" else link
+        both = keyed.join(arrays, link, "left")
+
+        def part(n: str) -> Column:
+            i = rs.index(reach[n])
+            near = F.filter("_in", lambda q: planar2(px, py, q["qx"], q["qy"]) <= rs[i] ** 2)
+            add = F.lit(0).cast(kinds[n])
+            values = (F.array_max(F.transform(near, lambda q: q[n])) if n in maxima
+                      else F.aggregate(near, add, lambda a, q: (a + F.coalesce(q[n], add)).cast(kinds[n])))
+            return F.when(F.col(f"_o{i}") & (F.col("_hi") <= rs[i] ** 2), F.col(f"_b_{n}")).when(rim(i) & F.col("_in").isNotNull(), values)
+
+        last = len(rs) - 1
+        hits = F.when(F.col(f"_o{last}") & (F.col("_hi") <= rs[last] ** 2), 1).when(
+            rim(last) & F.exists("_in", lambda q: planar2(px, py, q["qx"], q["qy"]) <= rs[last] ** 2), 1)
+        parts.append(both.select(cid, hits.alias("_hit"), *[part(n).alias(n) for n in names]))
+        if done:
+            break
+        parent = at.join(crowded, keys, "left_semi").withColumn("ux", F.col("kx")).withColumn("uy", F.col("ky"))
+        size /= SPLIT
+        edge = stage(met.where((F.col("_c") > leaf) & on_rim).select(cid, "_px", "_py", F.col("kx").alias("ux"), F.col("ky").alias("uy"),
+                                                                      *[rim(i).alias(f"_o{i}") for i in range(len(rs))]), "rim")
+        at, boxes = boxed(parent.select("qx", "qy", *names, "ux", "uy"), size)
+        met = measured(edge.join(boxes, ["ux", "uy"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(cid).agg(F.max("_hit").alias("_hit"), *[fold[n](n).alias(n) for n in names]).where("_hit = 1").drop("_hit")
 
 
 def within_flag(centers: DataFrame, items: DataFrame, radius: float, *, cid: str, flag: str,
@@ -342,60 +391,134 @@ def k_nearest(points: DataFrame, radius: float, k: int, *, pid: str, x: str = "x
         pid, F.col("_q.qid").alias("qid"), F.sqrt("_q.d2").alias("dist"), (F.col("_p") + 1).alias("pos"))
 
 
+_NONE_NEAR = "array<struct<d2:double,qid:bigint>>"
+
+
 def _ring(todo: DataFrame, kept: DataFrame, r: float, k: int) -> DataFrame:
-    """(pid_, _px, _py, near): the k nearest others within r as an array."""
-    r2 = float(r) ** 2
+    """(pid_, _px, _py, near): the k nearest others within r as an array. Points whose
+    block of nine cells is crowded go through nested boxes, all others meet one row."""
     px, py = F.col("_px"), F.col("_py")
     spots = kept.select("qid", "qx", "qy")
-    if _levels_needed(spots, r) == 0:
-        rows = spread(spots, "qx", "qy", r).groupBy("cx", "cy").agg(F.collect_list(F.struct("qid", "qx", "qy")).alias("_near"))
-        keyed = todo.withColumn("cx", cell_of(px, r)).withColumn("cy", cell_of(py, r)).join(rows, ["cx", "cy"], "left")
-        cand = F.filter(F.transform("_near", lambda q: F.struct(planar2(px, py, q["qx"], q["qy"]).alias("d2"), q["qid"].alias("qid"))),
-                        lambda q: (q["d2"] <= r2) & (q["qid"] != F.col("pid_")))
-        near = F.slice(F.array_sort(cand), 1, k)
-        return keyed.select("pid_", "_px", "_py", F.coalesce(near, F.array().cast("array<struct<d2:double,qid:bigint>>")).alias("near"))
-    fine = r / SPLIT
-    b = spots.withColumn("kx", cell_of(F.col("qx"), fine)).withColumn("ky", cell_of(F.col("qy"), fine))
-    boxes = b.groupBy("kx", "ky").agg(F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1"),
-                                      F.count("*").alias("n"))
-    rows = (
-        boxes.withColumn("gx", cell_of(F.col("x0"), r)).withColumn("gy", cell_of(F.col("y0"), r))
-        .groupBy("gx", "gy").agg(F.collect_list(F.struct("kx", "ky", "x0", "x1", "y0", "y1", "n")).alias("boxes"))
-    )
-    met = (
-        spread(todo, "_px", "_py", r).join(rows, (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")))
-        .groupBy("pid_", "_px", "_py").agg(F.flatten(F.collect_list("boxes")).alias("boxes"))
-    )
-    # Farthest-corner distances ascending with running counts: the first that
-    # reaches k + 1 (self included) bounds the k-th neighbour.
-    ordered = F.array_sort(F.transform("boxes", lambda q: F.struct(_high2(px, py, q).alias("u"), q["n"].alias("n"))))
-    bound = F.aggregate(
-        ordered, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(r2).alias("u")),
-        lambda s, q: F.struct((s["n"] + q["n"]).alias("n"),
-                              F.when((s["n"] <= k) & (s["n"] + q["n"] > k), F.least(F.lit(r2), q["u"])).otherwise(s["u"]).alias("u")),
-        lambda s: s["u"])
-    opened = met.withColumn("_ub", bound).withColumn("_c", F.explode(F.filter("boxes", lambda q: _low2(px, py, q) <= F.col("_ub")))).select(
-        "pid_", "_px", "_py", "_ub", F.col("_c.kx").alias("kx"), F.col("_c.ky").alias("ky"))
-    pair = opened.join(b, ["kx", "ky"]).where(F.col("pid_") != F.col("qid")).withColumn(
-        "d2", planar2(px, py, F.col("qx"), F.col("qy"))).where(F.col("d2") <= F.col("_ub"))
-    w = Window.partitionBy("pid_").orderBy("d2", "qid")
-    best = pair.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= k).groupBy("pid_").agg(
-        F.array_sort(F.collect_list(F.struct("d2", "qid"))).alias("near"))
-    return todo.join(best, "pid_", "left").select(
-        "pid_", "_px", "_py", F.coalesce("near", F.array().cast("array<struct<d2:double,qid:bigint>>")).alias("near"))
+    there = spread(spots, "qx", "qy", r)
+    keyed = todo.withColumn("cx", cell_of(px, r)).withColumn("cy", cell_of(py, r))
+    crowded = stage(crowded_cells(spots, r), "crowded")
+    if crowded.isEmpty():
+        return _near_in_cell(keyed, there, r, k)
+    calm = _near_in_cell(keyed.join(crowded, ["cx", "cy"], "left_anti"), there.join(crowded, ["cx", "cy"], "left_anti"), r, k)
+    busy = keyed.join(crowded, ["cx", "cy"], "left_semi").drop("cx", "cy")
+    dense = stage(there.join(crowded, ["cx", "cy"], "left_semi").select("qid", "qx", "qy").distinct(), "dense")
+    return calm.unionByName(_near_in_boxes(busy, dense, r, k))
+
+
+def _near_in_cell(keyed: DataFrame, there: DataFrame, r: float, k: int) -> DataFrame:
+    px, py = F.col("_px"), F.col("_py")
+    rows = there.groupBy("cx", "cy").agg(F.collect_list(F.struct("qid", "qx", "qy")).alias("_near"))
+    cand = F.filter(F.transform("_near", lambda q: F.struct(planar2(px, py, q["qx"], q["qy"]).alias("d2"), q["qid"].alias("qid"))),
+                    lambda q: (q["d2"] <= float(r) ** 2) & (q["qid"] != F.col("pid_")))
+    near = F.slice(F.array_sort(cand), 1, k)
+    return keyed.join(rows, ["cx", "cy"], "left").select("pid_", "_px", "_py", F.coalesce(near, F.array().cast(_NONE_NEAR)).alias("near"))
+
+
+def _near_in_boxes(todo: DataFrame, spots: DataFrame, r: float, k: int, leaf: int = LEAF) -> DataFrame:
+    """The same through nested boxes. The counts of the boxes in sight bound the k-th
+    distance before any is opened; boxes that can hold a nearer point stay, small ones are
+    read as one row, fuller ones give way to their sub-boxes and a tighter bound."""
+    r2 = float(r) ** 2
+    px, py = F.col("_px"), F.col("_py")
+    box = F.struct("ux", "uy", "kx", "ky", "x0", "x1", "y0", "y1", "n")
+    size = r / SPLIT
+    at = spots.withColumn("ux", cell_of(F.col("qx"), r)).withColumn("uy", cell_of(F.col("qy"), r))
+    cand = spread(todo, "_px", "_py", r).select("pid_", "_px", "_py", F.col("cx").alias("ux"), F.col("cy").alias("uy"), F.lit(r2).alias("_ub"))
+    found = None
+    while True:
+        at = at.withColumn("kx", cell_of(F.col("qx"), size)).withColumn("ky", cell_of(F.col("qy"), size))
+        boxes = stage(at.groupBy("ux", "uy", "kx", "ky").agg(F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"),
+                                                             F.max("qy").alias("y1"), F.count("*").alias("n")), "boxes")
+        rows = boxes.groupBy("ux", "uy").agg(F.collect_list(box).alias("boxes"))  # a parent's sub-boxes
+        met = cand.join(rows, ["ux", "uy"]).groupBy("pid_", "_px", "_py").agg(F.min("_ub").alias("_ub"), F.flatten(F.collect_list("boxes")).alias("boxes"))
+        # farthest corners ascending with running counts: the first that reaches k + 1 (self included) bounds the k-th
+        ordered = F.array_sort(F.transform("boxes", lambda q: F.struct(_high2(px, py, q).alias("u"), q["n"].alias("n"))))
+        bound = F.aggregate(
+            ordered, F.struct(F.lit(0).cast("bigint").alias("n"), F.col("_ub").alias("u")),
+            lambda s, q: F.struct((s["n"] + q["n"]).alias("n"),
+                                  F.when((s["n"] <= k) & (s["n"] + q["n"] > k), F.least(s["u"], q["u"])).otherwise(s["u"]).alias("u")),
+            lambda s: s["u"])
+        met = met.withColumn("_ub", bound).withColumn("_c", F.explode(F.filter("boxes", lambda q: _low2(px, py, q) <= F.col("_ub"))))
+        met = stage(met.select("pid_", "_px", "_py", "_ub", *[F.col(f"_c.{c}").alias(c) for c in ("ux", "uy", "kx", "ky", "n")]), "opened")
+        keys = ["ux", "uy", "kx", "ky"]
+        full = stage(boxes.where(F.col("n") > leaf).select(*keys), "full")
+        arrays = at.join(full, keys, "left_anti").groupBy(*keys).agg(F.collect_list(F.struct("qid", "qx", "qy")).alias("_in"))  # at most ``leaf``
+        inside = F.filter(F.transform("_in", lambda q: F.struct(planar2(px, py, q["qx"], q["qy"]).alias("d2"), q["qid"].alias("qid"))),
+                          lambda q: (q["d2"] <= F.col("_ub")) & (q["qid"] != F.col("pid_")))
+        got = met.where(F.col("n") <= leaf).join(arrays, keys).select("pid_", "_px", "_py", F.explode(F.slice(F.array_sort(inside), 1, k)).alias("q"))
+        found = got if found is None else found.union(got)
+        if full.isEmpty():
+            break
+        at = at.join(full, keys, "left_semi").select("qid", "qx", "qy", F.col("kx").alias("ux"), F.col("ky").alias("uy"))
+        cand = met.where(F.col("n") > leaf).select("pid_", "_px", "_py", F.col("kx").alias("ux"), F.col("ky").alias("uy"), "_ub")
+        size /= SPLIT
+    best = Window.partitionBy("pid_", "_px", "_py").orderBy("q")
+    near = found.withColumn("_p", F.row_number().over(best)).where(F.col("_p") <= k).groupBy("pid_", "_px", "_py").agg(F.array_sort(F.collect_list("q")).alias("near"))
+    return todo.join(near, ["pid_", "_px", "_py"], "left").select("pid_", "_px", "_py", F.coalesce("near", F.array().cast(_NONE_NEAR)).alias("near"))
+
+
+BLOCK = 64   # coordinates of a block whose kernel sums are made inside one row
+
+
+def _blocks(spots: DataFrame, radius: float, names: list[str]) -> DataFrame:
+    """(cx, cy, part, pts): the coordinates of each cell in arrays of about ``BLOCK``, by a hash."""
+    at = spots.withColumn("cx", cell_of(F.col("qx"), radius)).withColumn("cy", cell_of(F.col("qy"), radius))
+    per = at.groupBy("cx", "cy").agg(F.ceil(F.count("*") / BLOCK).alias("_k"))
+    at = at.join(per, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("qx", "qy"), F.col("_k")))
+    return at.groupBy("cx", "cy", "part").agg(F.collect_list(F.struct("qx", "qy", *names)).alias("pts"))
+
+
+def _kernel(radius: float, bandwidth: float, wide: int):
+    """Rows of two blocks to (qx, qy, sums): each centre of the first with the weighted
+    sums over the second. Pairs live in an array of one batch, a bounded number at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                piece = batch.slice(at, 256)
+                at += 256
+                sides = []
+                for c in piece.columns:
+                    flat = pc.list_flatten(c)
+                    sides.append((np.stack([np.asarray(f, float) for f in flat.flatten()]), np.asarray(pc.list_value_length(c), np.int64)))
+                (a, na), (b, nb) = sides
+                each = np.repeat(nb, na)                                   # partners of each centre
+                centre = np.repeat(np.arange(len(each)), each)
+                start = np.repeat(np.repeat(np.cumsum(nb) - nb, na), each)
+                other = start + np.arange(len(centre)) - np.repeat(np.cumsum(each) - each, each)
+                d2 = (a[0][centre] - b[0][other]) ** 2 + (a[1][centre] - b[1][other]) ** 2
+                near = d2 <= radius * radius
+                centre, other = centre[near], other[near]
+                k = np.exp(-0.5 * d2[near] / (bandwidth * bandwidth))
+                out = [np.bincount(centre, b[2][other], len(each))] + [np.bincount(centre, k * b[3 + j][other], len(each)) for j in range(wide)]
+                yield pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[1])] + [pa.array(x) for x in out],
+                                                 ["_cx", "_cy", "_n"] + [f"_s{j}" for j in range(wide)])
+    return run
 
 
 def decayed_sums(points: DataFrame, radius: float, bandwidth: float, weights: dict[str, str], *, sid: str,
                  x: str = "x", y: str = "y") -> DataFrame:
     """Gaussian-weighted sums of the neighbours' columns, self excluded, with the
     neighbour count. Points at one coordinate share one distance, so their values
-    are added up before the join; a point then takes its own share back out."""
-    spots = points.groupBy(F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy")).agg(
-        F.count("*").alias("_n"), *[F.sum(F.col(c).cast("double")).alias(f"_s_{o}") for o, c in weights.items()])
-    centers = spots.select(F.col("qx").alias("_cx"), F.col("qy").alias("_cy"))
-    met = pairs_within(centers, spots, radius, px="_cx", py="_cy", qx="qx", qy="qy", place_cols=["_n", *[f"_s_{o}" for o in weights]])
-    kernel = F.exp(-0.5 * F.col("d2") / (bandwidth * bandwidth))
-    at = met.groupBy("_cx", "_cy").agg(F.sum("_n").alias("_n"), *[F.sum(kernel * F.col(f"_s_{o}")).alias(f"_s_{o}") for o in weights])
+    are added up before the join; a point then takes its own share back out.
+
+    Coordinates meet as blocks: one row for each pair of blocks of neighbouring cells,
+    and the kernel is summed inside the row, so a crowded cell makes a row for each of its
+    coordinates and block in sight instead of a row for each pair."""
+    names = [f"_w{j}" for j in range(len(weights))]
+    spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy")).agg(
+        F.count("*").cast("double").alias("_n"), *[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(n) for n, c in zip(names, weights.values())])
+    blocks = stage(_blocks(spots, radius, ["_n", *names]), "blocks")
+    near = blocks.withColumn("_o", _offsets(_NINE)).select((F.col("cx") + F.col("_o.dx")).alias("cx"), (F.col("cy") + F.col("_o.dy")).alias("cy"), F.col("pts").alias("others"))
+    pairs = blocks.select("cx", "cy", "pts").join(near, ["cx", "cy"]).select("pts", "others")
+    sums = [f"_s{j}" for j in range(len(weights))]
+    made = pairs.mapInArrow(_kernel(float(radius), float(bandwidth), len(weights)), "_cx double, _cy double, _n double" + "".join(f", {n} double" for n in sums))
+    at = made.groupBy("_cx", "_cy").agg(F.sum("_n").alias("_n"), *[F.sum(n).alias(n) for n in sums])
     j = points.join(at, (F.col(x).cast("double") == F.col("_cx")) & (F.col(y).cast("double") == F.col("_cy")))
-    return j.select(*points.columns, *[(F.col(f"_s_{o}") - F.col(c)).alias(o) for o, c in weights.items()],
-                    (F.col("_n") - 1).alias("n_neighbors"))
+    return j.select(*points.columns, *[(F.col(n) - F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(o) for n, (o, c) in zip(sums, weights.items())],
+                    (F.col("_n") - 1).cast("bigint").alias("n_neighbors"))

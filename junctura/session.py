@@ -41,8 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if sc.applicationId not in _local:
+            _local[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
+        base = _local[sc.applicationId]
     return base
 
 
@@ -55,6 +56,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _roots: set[str] = set()
+_local: dict[str, str] = {}  # of a local master without the setting, by application
 
 
 def _drop(spark: SparkSession, root: str) -> None:

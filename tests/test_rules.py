@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 from datetime import date
 
 import pytest
@@ -185,3 +188,15 @@ def test_matched_controls_query_runs_past_the_last_stratum(spark, monkeypatch):
     got = catalog.QUERIES["j29_f15_matched_controls"](spark, "").collect()
     treated = {r.treated_id for r in got}
     assert max(treated) < 10_000 and max(treated) > 9_000 and all(i % 50 == 7 for i in treated)
+
+
+def test_staging_without_a_checkpoint_folder(tmp_path):
+    """A local session with the key unset stages in a folder of its own; checked in a fresh process."""
+    code = ("from junctura.session import build_session, stage\ns = build_session('local[1]', 1)\n"
+            "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+            "a, b = stage(s.range(3)), stage(s.range(4))\nassert a.count() == 3 and b.count() == 4\n"
+            "assert a._staged_at.rsplit('/', 1)[0] == b._staged_at.rsplit('/', 1)[0]\n")
+    env = {k: v for k, v in os.environ.items() if k not in ("SPARK_CONF_DIR", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], env=env | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

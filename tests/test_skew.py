@@ -68,6 +68,48 @@ def test_radius_totals_equal_brute_force(data):
     assert got == want
 
 
+def test_radius_totals_open_a_crowded_rim_box_level_by_level(spark):
+    """A third of all items in one box of the rim: rows of a level stay bounded, sums stay exact."""
+    r = random.Random(5)
+    items = [(i, 149.9 + r.random() * 0.2, r.random() * 0.2, i % 3) for i in range(3000)] + [(i, r.uniform(-400, 400), r.uniform(-400, 400), 1) for i in range(3000, 9000)]
+    it = spark.createDataFrame(items, "event_id bigint, x double, y double, v int")
+    ce = spark.createDataFrame([(k, float(k), 0.0) for k in range(-3, 4)] + [(99, 5000.0, 0.0)], "site_id bigint, x double, y double")
+    got = {r.site_id: (r.near, r.n, r.s, r.top) for r in X.radius_totals(
+        ce, it, 150.0, cid="site_id", radii={"near": 40.0}, sums={"near": F.lit(1), "n": F.lit(1), "s": F.col("v")}, maxima={"top": F.col("event_id")}, leaf=16).collect()}
+    assert 99 not in got
+    for k in range(-3, 4):
+        at = [(i, v, (x - k) ** 2 + y * y) for i, x, y, v in items]
+        inside = [(i, v) for i, v, d in at if d <= 150.0**2]
+        assert got[k] == (sum(d <= 1600 for *_, d in at) or None, len(inside), sum(v for _, v in inside), max(i for i, _ in inside))
+
+
+def test_k_nearest_in_nested_boxes(spark, monkeypatch):
+    monkeypatch.setattr(X, "CELL_LIMIT", 30)
+    r = random.Random(8)
+    pts = [(i, 500 + r.random() * 10 ** -r.randrange(4), 500 + r.random() * 10 ** -r.randrange(4)) for i in range(900)] + [(i, r.uniform(0, 2000), r.uniform(0, 2000)) for i in range(900, 1200)]
+    s = spark.createDataFrame(pts, "site_id bigint, x double, y double")
+    got = {}
+    for q in X.k_nearest(s, 300.0, 4, pid="site_id").collect():
+        got.setdefault(q.site_id, {})[q.pos] = q.qid
+    for b in pts[::7]:
+        near = sorted((d2(a, b), a[0]) for a in pts if a[0] != b[0] and d2(a, b) <= 300.0**2)[:4]
+        assert [got.get(b[0], {}).get(i + 1) for i in range(len(near))] == [q for _, q in near]
+
+
+def test_decayed_sums_make_no_row_for_a_pair(spark):
+    r = random.Random(9)
+    pts = [(i, r.random(), r.random(), float(i % 5)) for i in range(1500)] + [(2000, None, 1.0, 1.0)]
+    t = spark.createDataFrame(pts, "site_id bigint, x double, y double, v double")
+    out = X.decayed_sums(t, 200.0, 80.0, {"p": "v"}, sid="site_id")
+    got = {q.site_id: q.p for q in out.collect()}
+    assert len(got) == 1500
+    for b in pts[:1500:97]:
+        assert got[b[0]] == pytest.approx(sum(math.exp(-0.5 * d2(a, b) / 6400.0) * a[3] for a in pts[:1500] if a[0] != b[0]), rel=1e-9)
+    blocks = X._blocks(t.where("x is not null").select(F.col("x").alias("qx"), F.col("y").alias("qy")), 200.0, [])
+    n, most = blocks.agg(F.count("*"), F.max(F.size("pts"))).first()
+    assert n <= 1500 / 32 and most <= 3 * X.BLOCK  # so n * n rows of blocks instead of 1500 * 1500 of pairs
+
+
 @pytest.mark.parametrize("limit", [10, 256])
 def test_k_nearest_equals_brute_force(data, limit, monkeypatch):
     _, si, _, s = data
@@ -97,6 +139,27 @@ def test_nearest_any_reaches_far(spark):
     assert got == {1: 10, 2: 8990}
 
 
+def test_links_of_touching_crowded_cells_need_one_witness(spark):
+    """Crowds on both sides of a gap near the radius: linked or not exactly as brute force says."""
+    r = random.Random(4)
+    rows = []
+    for k, gap in enumerate((9.9, 10.0, 10.1, 10.6, 13.0)):
+        left = [(k * 1000.0 - r.random() * 0.5, r.random() * 6) for _ in range(120)] + [(k * 1000.0, 3.0)]
+        right = [(k * 1000.0 + gap + r.random() * 0.5, r.random() * 6) for _ in range(120)] + [(k * 1000.0 + gap, 3.0)]
+        rows += [(k * 1000 + i, *p) for i, p in enumerate(left + right)]
+    n = spark.createDataFrame([(i, x, y, False, False) for i, x, y in rows], "node_id bigint, x double, y double, is_freeway boolean, is_trunk boolean")
+    got = {q.node_id // 1000 * 1000: q.member_count for q in C.merge_near_duplicates(n, 10.0).collect() if q.node_id % 1000 == 0}
+    for k in range(5):
+        mine = [p for p in rows if p[0] // 1000 == k]
+        first, todo = {mine[0][0]}, [mine[0]]
+        while todo:
+            a = todo.pop()
+            new = [b for b in mine if b[0] not in first and d2(a, b) <= 100.0]
+            first.update(b[0] for b in new)
+            todo += new
+        assert got[k * 1000] == len(first)
+
+
 def test_components_of_a_long_chain_and_copies(spark):
     rows = [(i, i * 9.0, 0.0, False, i == 3) for i in range(200)] + [(1000 + i, 5000.0, 5000.0, i == 0, False) for i in range(50)] + [(5000, 9000.0, 0.0, False, True)]
     n = spark.createDataFrame(rows, "node_id bigint, x double, y double, is_freeway boolean, is_trunk boolean")
