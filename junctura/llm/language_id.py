@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -17,13 +18,13 @@ ORDER = 4
 #: Bounds of the fitted model. Rows that it is counted on, for each language: about so many,
 #: picked by a hash of the id. Languages: those with most rows. Entries (context, next byte)
 #: of all trees: contexts of two bytes and more are left out, rarest first, until they fit.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_ENTRIES = 1_500, 64, 600_000
+ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_ENTRIES = 1_500, 64, 300_000
 #: A context of two bytes and more is kept from so many occurrences on.
 MIN_SEEN = 4
 #: Bytes that are scored at once; longer texts go in pieces, each with the bytes before it as context.
-PIECE = 1 << 20
+PIECE = 1 << 18
 UNKNOWN = "und"
-_BATCH_ROWS = 512
+_BATCH_ROWS = 256
 
 
 def held_out(doc_id: str) -> Column:
@@ -47,19 +48,29 @@ def _grams(flat: np.ndarray, longest: int) -> Iterator[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, gram, n), summed over a batch; no gram spans two texts."""
+    """(lang, text) to (lang, gram, n), summed over about a piece; no gram spans two texts."""
+    sums: dict[str, list[np.ndarray]] = {}
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, keys in sums.items():
+            gram, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+        sums.clear()
+
     for batch in batches:
-        sums: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            b = _bytes(text)
+        for lang, text in zip(*batch.columns, strict=True):
+            b = _bytes(text.as_py())
             for at in range(0, len(b), PIECE):
                 back = min(at, ORDER)  # grams that begin in the piece before
                 piece = b[at - back:at + PIECE]
                 for j, keys in enumerate(_grams(piece, ORDER + 1), 1):
-                    sums.setdefault(lang, []).append(keys[max(0, back - j + 1):])
-        for lang, keys in sums.items():
-            gram, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+                    sums.setdefault(lang.as_py(), []).append(keys[max(0, back - j + 1):])
+                size += len(piece)
+                if size >= PIECE:
+                    yield from flush()
+                    size = 0
+    yield from flush()
 
 
 @dataclass(frozen=True)
@@ -69,21 +80,24 @@ class Trees:
 
     languages: list[str]
     grams: np.ndarray  # sorted keys
-    bits: np.ndarray
+    bits: np.ndarray  # by language, then gram
     contexts: np.ndarray  # sorted keys
-    escapes: np.ndarray
+    escapes: np.ndarray  # by language, then context
 
+    @cached_property
     def reader(self) -> "Reader":
         return Reader(self)
 
+    def __getstate__(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
 
 class Reader:
-    """Looks up the trees; made once a task."""
+    """Looks up the trees; made once a worker."""
 
     def __init__(self, t: Trees):
         self.trees, self.grams, self.contexts = t, pd.Index(t.grams), pd.Index(t.contexts)
-        self.bits_by, self.escapes_by = np.ascontiguousarray(t.bits.T), np.ascontiguousarray(t.escapes.T)
-        self.root = t.escapes[self.contexts.get_indexer([1])[0]] + 8.0 if len(t.contexts) else np.zeros(0)
+        self.root = t.escapes[:, self.contexts.get_indexer([1])[0]] + 8.0 if len(t.contexts) else np.zeros(0)
 
     def pieces(self, flat: np.ndarray, seen: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Bits of each of ``n`` texts by language. ``seen``: bytes of context that a
@@ -101,13 +115,13 @@ class Reader:
             here, later = open_at[deep], open_at[~deep]
             row = self.grams.get_indexer(keys[j - 1][here - (j - 1)])
             hit = row >= 0
-            add(here[hit], self.bits_by, row[hit])
+            add(here[hit], self.trees.bits, row[hit])
             missed = here[~hit]
             if j == 1:
                 return out + np.bincount(owner[missed], minlength=n)[:, None] * self.root
             at = self.contexts.get_indexer(keys[j - 1][missed - (j - 1)] >> 8)  # the same key without its last byte
             known = at >= 0
-            add(missed[known], self.escapes_by, at[known])
+            add(missed[known], self.trees.escapes, at[known])
             open_at = np.concatenate([missed, later])
         return out
 
@@ -169,7 +183,7 @@ def trees_of(counts: dict[str, dict[int, int]] | list[tuple[str, int, int]], lan
             low = 8 * (j - 1)
             rest = bits[np.searchsorted(grams, (grams[rows_j] & ((1 << low) - 1)) | (1 << low))]
         bits[rows_j] = np.where(np.isnan(bits[rows_j]), e + rest, bits[rows_j])
-    return Trees(languages, grams, bits, contexts, escapes)
+    return Trees(languages, grams, np.ascontiguousarray(bits.T), contexts, np.ascontiguousarray(escapes.T))
 
 
 def gram_counts(docs: DataFrame, rows_per_language: int) -> tuple[DataFrame | None, list[str]]:
@@ -215,7 +229,7 @@ def _predict(shared, passing: int):
     lang_pred and score."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
-        read = trees.reader()
+        read = trees.reader
         names = np.array([*trees.languages, UNKNOWN], object)
         for whole in batches:
             for at in range(0, whole.num_rows, _BATCH_ROWS):
