@@ -79,20 +79,34 @@ def _(s, d):
     return E.recall_table(V.scored(s, d), "score_a", "site_id", "label", (1, 2), (50, 100, 200, 500, 1000))
 
 
-def _u(b="b", i="site_id"):
-    return f"(('0x'||substr(md5('bs|'||{b}||'|'||{i}),1,8))::BIGINT/4294967296.0::DOUBLE)"
+_W = "+".join(f"(u>={c}::DOUBLE)::INT" for c in B.POISSON1)
+DRAWS, CUTS = 1000, (50, 100, 200)
 
 
-_W = "+".join(f"(u>={c}::DOUBLE)::INT" for c in B.POISSON1)
+def boot_sql(src: str, score: str = "score_a", label: str = "label", threshold: int = 1, draws: int = DRAWS, ks: tuple = CUTS, keys: str = "") -> str:
+    """Every replicate's metrics (``per``) from the draws themselves, by windows over exploded rows."""
+    k = keys + ", " if keys else ""
+    cuts = ", ".join(f"sum(p*least(greatest(({c}-(cn-n))/n,0),1))/max(np) AS recall_{c}, sum(p*least(greatest(({c}-(cn-n))/n,0),1))/least({c},max(nn)) AS precision_{c}" for c in ks)
+    return f"""h AS (SELECT {k}site_id, {score}::DOUBLE AS s, {label}::DOUBLE AS l, ({label}>={threshold})::INT AS hit, md5('bs|'||g||'|'||site_id) AS m, g FROM {src} CROSS JOIN range({-(-draws // 4)}) r(g)),
+  wr AS (SELECT {k}b, s, l, hit, ({_W})::DOUBLE AS w FROM (SELECT {k}s, l, hit, g*4+j AS b, ('0x'||substr(m,(8*j+1)::INT,8))::BIGINT/4294967296.0::DOUBLE AS u FROM h CROSS JOIN range(4) q(j)) WHERE b<{draws}),
+  gs AS (SELECT {k}b, s, sum(w*hit) AS p, sum(w) AS n FROM wr WHERE w>0 GROUP BY ALL),
+  gc AS (SELECT *, sum(p) OVER v AS cp, sum(n) OVER v AS cn, sum(p) OVER (PARTITION BY {k}b) AS np, sum(n) OVER (PARTITION BY {k}b) AS nn FROM gs WINDOW v AS (PARTITION BY {k}b ORDER BY s DESC)),
+  bm AS (SELECT {k}b, sum(p*cp/cn)/max(np) AS auprc, sum(p*(nn-np-(cn-cp)+(n-p)/2.0))/max(np*(nn-np)) AS auroc, {cuts} FROM gc WHERE np>0 AND np<nn GROUP BY ALL),
+  lr AS (SELECT {k}b, l, sum(sum(w)) OVER (PARTITION BY {k}b ORDER BY l)-sum(w)+(sum(w)+1)/2 AS rl FROM wr WHERE w>0 GROUP BY {k}b, l),
+  rk AS (SELECT wr.*, nn-cn+(n+1)/2 AS rs, rl FROM wr JOIN gc USING ({k}b, s) JOIN lr USING ({k}b, l)),
+  cm AS (SELECT {k}b, (sum(w*rs*rl)-sum(w)*pow((sum(w)+1)/2,2))/nullif(sqrt(greatest(sum(w*rs*rs)-sum(w)*pow((sum(w)+1)/2,2),0)*greatest(sum(w*rl*rl)-sum(w)*pow((sum(w)+1)/2,2),0)),0) AS spearman_rho,
+    sum(w*2*(pow(l,0.7)/(-0.3*0.7)-l*pow(m,-0.3)/(-0.3)+pow(m,0.7)/0.7))/sum(w) AS tweedie_deviance, sum(w*2*(l*ln(l/m+1e-10)-(l-m)))/sum(w) AS poisson_deviance FROM (SELECT *, greatest(s,1e-6::DOUBLE) AS m FROM rk WHERE w>0) GROUP BY ALL),
+  per AS (SELECT * FROM cm LEFT JOIN bm USING ({k}b))"""
+
+
+_NAMES = B.metric_names(CUTS)
 
 
-@query("e5_bootstrap_intervals", sql("scored", """SELECT metric, round(avg(v),6) AS mean, round(quantile_cont(v,0.025),6) AS lo, round(quantile_cont(v,0.975),6) AS hi FROM (
-  SELECT unnest(['auprc','auroc']) AS metric, unnest([auprc,auroc]) AS v FROM (SELECT b, sum(p*cp/cn)/max(np) AS auprc, sum(p*(nn-np-(cn-cp)+(n-p)/2.0))/max(np*(nn-np)) AS auroc FROM (
-   SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY b) AS np, sum(n) OVER (PARTITION BY b) AS nn FROM g WINDOW w AS (PARTITION BY b ORDER BY score_a DESC)) WHERE np>0 AND np<nn GROUP BY 1)) GROUP BY 1""",
-  f"g AS (SELECT b, score_a, sum(w*hit)::DOUBLE AS p, sum(w)::DOUBLE AS n FROM (SELECT b, score_a, hit, {_W} AS w FROM (SELECT b, score_a, hit, {_u()} AS u FROM scored CROSS JOIN range(50) r(b))) WHERE w>0 GROUP BY 1,2)"))
+@query("e5_bootstrap_intervals", sql("scored", f"""SELECT metric, round(avg(v),6) AS mean, round(quantile_cont(v,0.025),6) AS lo, round(quantile_cont(v,0.975),6) AS hi FROM (
+  SELECT unnest([{", ".join(f"'{n}'" for n in _NAMES)}]) AS metric, unnest([{", ".join(_NAMES)}]) AS v FROM per) WHERE v IS NOT NULL GROUP BY 1""", boot_sql("scored")))
 def _(s, d):
-    per = B.bootstrap_rank_metrics(V.scored(s, d), "score_a", "hit", "site_id", 50)
-    i = B.interval(per, ["auprc", "auroc"])
+    per = B.bootstrap_metrics(V.scored(s, d), "score_a", "label", "site_id", DRAWS, ks=CUTS)
+    i = B.interval(per, _NAMES)
     return i.withColumns({c: F.round(c, 6) for c in ("mean", "lo", "hi")})
 
 

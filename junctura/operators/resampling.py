@@ -6,12 +6,16 @@ same sample. Where only the positives matter, only the positives are replicated.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from junctura.operators.ranking import ranked
-from junctura.session import attach
+from junctura.session import attach, stage
 
 
 def hash_int(*parts: Column) -> Column:
@@ -32,25 +36,11 @@ def _cumulative(bits: int) -> tuple[float, ...]:
 POISSON1 = _cumulative(32)
 
 
-def poisson_weight(u: Column) -> Column:
-    """Bootstrap multiplicity of a row: Poisson(1) by inverse transform."""
-    w = F.lit(0)
-    for c in POISSON1:
-        w = w + F.when(u >= c, 1).otherwise(0)
-    return w
-
-
 def replicates(df: DataFrame, b: int) -> DataFrame:
     """Each row once per replicate, in place (no join)."""
     return df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
 
 
-def weighted_sample(df: DataFrame, sid: str, b: int) -> DataFrame:
-    """Rows of every replicate with multiplicity ``w`` > 0."""
-    u = hash_int(F.lit("bs"), F.col("b"), F.col(sid)) / F.lit(4294967296.0)
-    return replicates(df, b).withColumn("w", poisson_weight(u)).where(F.col("w") > 0)
-
-
 def interval(per_replicate: DataFrame, metrics: list[str], keys: list[str] = ()) -> DataFrame:
     """(metric, mean, lo, hi) at 95 %. One value per replicate: the group is
     bounded by the number of replicates."""
@@ -60,23 +50,152 @@ def interval(per_replicate: DataFrame, metrics: list[str], keys: list[str] = ())
         F.avg("s.v").alias("mean"), F.percentile("s.v", 0.025).alias("lo"), F.percentile("s.v", 0.975).alias("hi"))
 
 
-def bootstrap_rank_metrics(df: DataFrame, score: str, y: str, sid: str, b: int) -> DataFrame:
-    """Per replicate: average precision, ROC area. Rows with one score and label
-    are pooled inside a replicate before ordering; degenerate replicates drop out."""
-    from junctura.operators.ranking import running_totals
-    s = weighted_sample(df.select(sid, score, y), sid, b)
-    g = s.groupBy("b", score).agg(F.sum(F.col("w") * F.col(y)).cast("bigint").alias("p"),
-                                  F.sum("w").cast("bigint").alias("n"))
-    run = running_totals(g, [("b", False), (score, True)], {"cp": "p", "cn": "n"})
-    start = run.groupBy("b").agg(F.min(F.col("cp") - F.col("p")).alias("sp"), F.min(F.col("cn") - F.col("n")).alias("sn"),
-                                 F.sum("p").alias("np"), F.sum("n").alias("nn"))
-    x = run.join(F.broadcast(start), "b").where((F.col("np") > 0) & (F.col("np") < F.col("nn")))
-    cp, cn = F.col("cp") - F.col("sp"), F.col("cn") - F.col("sn")
-    below = (F.col("nn") - F.col("np")) - (cn - cp)
-    return x.groupBy("b").agg(
-        (F.sum(F.col("p") * cp / cn) / F.max("np")).alias("auprc"),
-        (F.sum(F.col("p") * (below + (F.col("n") - F.col("p")) / 2.0)) / F.max(F.col("np") * (F.col("nn") - F.col("np"))))
-        .alias("auroc"))
+#: Distinct scores whose weights of all replicates are in memory at once.
+_SCORES_AT_ONCE = 512
+_CUTS = np.array([math.ceil(c * 2**32) for c in POISSON1], np.uint64)
+
+
+def row_weights(ids: list[str], b: int) -> np.ndarray:
+    """Multiplicity of each row in each replicate: four replicates share the md5 of
+    ``bs|block|id``, 32 bits each."""
+    blocks = -(-b // 4)
+    raw = b"".join(hashlib.md5(f"bs|{k}|{i}".encode(), usedforsecurity=False).digest() for i in ids for k in range(blocks))
+    u = np.frombuffer(raw, ">u4").reshape(len(ids), blocks * 4)[:, :b]
+    return np.searchsorted(_CUTS, u.astype(np.uint64), side="right").astype(np.uint32)
+
+
+def _pooled(b: int):
+    """(key, score, y, id) to (key, score, y, weights): rows of one score and label are added up on the way."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                keys, scores, ys, ids = (c.to_pylist() for c in batch.slice(at, 2048).columns)
+                cells = sorted(set(zip(keys, scores, ys, strict=True)))
+                number = {c: k for k, c in enumerate(cells)}
+                where = np.array([number[c] for c in zip(keys, scores, ys, strict=True)])
+                order = np.argsort(where, kind="stable")
+                w = np.add.reduceat(row_weights(ids, b)[order], np.searchsorted(where[order], np.arange(len(cells))), axis=0)
+                cols = list(zip(*cells, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()),
+                                                  pa.array([x.astype("<u4").tobytes() for x in w], pa.binary())], ["key", "score", "y", "w"])
+    return run
+
+
+def _matrix(weights: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(weights), "<u4").reshape(len(weights), -1).astype(float)
+
+
+def _range_totals(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SCORES_AT_ONCE):
+                part, key, y, w = (c.to_pylist() for c in batch.slice(at, _SCORES_AT_ONCE).columns)
+                m, keys = _matrix(w), np.array(key, object)
+                for k in set(key):
+                    mine = keys == k
+                    s = np.stack([m[mine].sum(0), m[mine & (np.array(y) >= threshold)].sum(0)])
+                    held[part[0], k] = held.get((part[0], k), 0) + s
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held])] + [
+                pa.array([v[i].tolist() for v in held.values()], pa.list_(pa.float64())) for i in (0, 1)], ["part", "key", "n", "p"])
+    return run
+
+
+def _deviances(y: np.ndarray, pred: np.ndarray, power: float) -> tuple[np.ndarray, np.ndarray]:
+    mu = np.maximum(pred, 1e-6)
+    tweedie = 2 * (y ** (2 - power) / ((1 - power) * (2 - power)) - y * mu ** (1 - power) / (1 - power) + mu ** (2 - power) / (2 - power))
+    return tweedie, 2 * (y * np.log(y / mu + 1e-10) - (y - mu))
+
+
+def _range_parts(threshold: float, ks: tuple[int, ...], power: float):
+    """One range of scores and what stands before it, to sums of each replicate (label
+    null) and, for the rank correlation, of each label and replicate."""
+    def run(rows: pa.Table, before: pa.Table) -> pa.Table:
+        one = before.to_pylist()[0]
+        cn, cp, nn, np_ = (np.array(one[c]) for c in ("bn", "bp", "nn", "np"))
+        t = rows.sort_by([("score", "descending"), ("y", "ascending")])
+        score, y = t.column("score").to_numpy(), t.column("y").to_numpy()
+        total = np.zeros((5 + len(ks), len(nn)))
+        labels: dict[float, np.ndarray] = {}
+        first = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        size = np.diff(np.r_[first, len(score)])
+        for at in range(0, len(first), _SCORES_AT_ONCE):
+            lo, hi = first[at], first[min(at + _SCORES_AT_ONCE, len(first)) - 1] + size[min(at + _SCORES_AT_ONCE, len(first)) - 1]
+            w = _matrix(t.column("w").slice(lo, hi - lo).to_pylist())
+            starts = first[at:at + _SCORES_AT_ONCE] - lo
+            hit = (y[lo:hi] >= threshold)[:, None]
+            n, p = np.add.reduceat(w, starts, axis=0), np.add.reduceat(w * hit, starts, axis=0)
+            tn, tp = np.cumsum(n, axis=0) + cn, np.cumsum(p, axis=0) + cp
+            below = (nn - np_) - (tn - tp)
+            total[0] += (p * tp / np.maximum(tn, 1)).sum(0)
+            total[1] += (p * (below + (n - p) / 2)).sum(0)
+            ra = (nn - tn) + (n + 1) / 2
+            total[2] += (n * ra * ra).sum(0)
+            for d, dev in enumerate(_deviances(y[lo:hi], score[lo:hi], power)):
+                total[3 + d] += (w * dev[:, None]).sum(0)
+            for j, k in enumerate(ks):  # a cut through one score takes its rows in equal shares
+                total[5 + j] += (p * np.clip((k - (tn - n)) / np.maximum(n, 1), 0, 1)).sum(0)
+            each = np.repeat(ra, size[at:at + _SCORES_AT_ONCE], axis=0)
+            for v in np.unique(y[lo:hi]):
+                mine = y[lo:hi] == v
+                labels[float(v)] = labels.get(float(v), 0) + np.stack([w[mine].sum(0), (w * each)[mine].sum(0)])
+            cn, cp = tn[-1], tp[-1]
+        reps = np.arange(len(nn))
+        out = [(None, total)] + sorted(labels.items())
+        values = [x for _, m in out for x in m.T.tolist()]
+        return pa.table({"key": pa.array([one["key"]] * len(values)), "b": pa.array(np.tile(reps, len(out)), pa.int32()),
+                         "label": pa.array([v for v, _ in out for _ in reps], pa.float64()), "v": pa.array(values, pa.list_(pa.float64()))})
+    return run
+
+
+def bootstrap_metrics(df: DataFrame, score: str, y: str, sid: str, b: int, *, threshold: float = 1, ks: tuple[int, ...] = (),
+                      power: float = 1.3, key: str | None = None) -> DataFrame:
+    """Per replicate (``b``; ``key`` if given): auprc, auroc, recall_k and precision_k of
+    ``y >= threshold``, spearman_rho and the Tweedie and Poisson deviances of ``score`` against ``y``.
+
+    Weights are functions of the id, so all replicates share one order: rows of a score and
+    label become one row with an array of weights, these are ranged by score once, totals
+    of the ranges before give each range its start, and each range sums its replicates as
+    columns of a matrix. Rows never multiply by ``b``, whatever share of them has one score.
+    Binary metrics of replicates without both labels are null, as is a correlation
+    without spread. Rows with a null score, label or id take no part."""
+    k = F.lit("") if key is None else F.col(key).cast("string")
+    rows = df.select(k.alias("key"), F.col(score).cast("double").alias("score"), F.col(y).cast("double").alias("y"), F.col(sid).cast("string").alias("id")).dropna()
+    cells = rows.mapInArrow(_pooled(b), "key string, score double, y double, w binary")
+    ranged = stage(cells.repartitionByRange("key", F.desc("score")).withColumn("part", F.spark_partition_id()), "replicates")
+    per = ranged.select("part", "key", "y", "w").mapInArrow(_range_totals(threshold), "part int, key string, n array<double>, p array<double>")
+    # ranges are put in order replicate by replicate: as many rows in a window as there are ranges
+    each = per.select("part", "key", F.posexplode(F.arrays_zip("n", "p")).alias("b", "t")).select("part", "key", "b", F.col("t.n").alias("n"), F.col("t.p").alias("p"))
+    all_ = Window.partitionBy("key", "b")
+    before = all_.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("part", "key", "b", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"b{c}") for c in ("n", "p")],
+                       *[F.sum(c).over(all_).alias(c + c) for c in ("n", "p")])
+    cols = {"bn": "bn", "bp": "bp", "nn": "nn", "pp": "np"}
+    packed = each.groupBy("part", "key").agg(F.array_sort(F.collect_list(F.struct("b", *cols))).alias("r"))  # one entry a replicate
+    start = stage(packed.select("part", "key", *[F.expr(f"transform(r, q -> q.{c})").alias(o) for c, o in cols.items()]), "starts")
+    made = ranged.groupBy("part", "key").cogroup(start.groupBy("part", "key")).applyInArrow(_range_parts(threshold, ks, power), "key string, b int, label double, v array<double>")
+    width = 5 + len(ks)
+    summed = stage(made.groupBy("key", "b", "label").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"s{i}") for i in range(width)]), "replicate_sums")
+    one = summed.where("label is null").drop("label")
+    by_label = Window.partitionBy("key", "b").orderBy("label").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a replicate's distinct labels
+    rb = F.sum("s0").over(by_label) - F.col("s0") + (F.col("s0") + 1) / 2
+    cross = summed.where("label is not null").select("key", "b", "s0", "s1", rb.alias("rb")).groupBy("key", "b").agg(
+        F.sum(F.col("rb") * F.col("s1")).alias("ab"), F.sum(F.col("s0") * F.col("rb") * F.col("rb")).alias("bb"), F.sum("s0").alias("_w"))
+    sizes = start.select("key", "nn", "np").distinct().select("key", F.posexplode(F.arrays_zip("nn", "np")).alias("b", "t")).select("key", "b", F.col("t.nn").alias("nn"), F.col("t.np").alias("np"))
+    x = one.join(cross, ["key", "b"]).join(sizes, ["key", "b"])
+    both = (F.col("np") > 0) & (F.col("np") < F.col("nn"))
+    mean2 = F.col("nn") * (F.col("nn") + 1) * (F.col("nn") + 1) / 4
+    spread = F.sqrt(F.greatest(F.col("s2") - mean2, F.lit(0.0)) * F.greatest(F.col("bb") - mean2, F.lit(0.0)))
+    out = [F.when(both, F.col("s0") / F.col("np")).alias("auprc"), F.when(both, F.col("s1") / (F.col("np") * (F.col("nn") - F.col("np")))).alias("auroc")]
+    for j, top in enumerate(ks):
+        out += [F.when(both, F.col(f"s{5 + j}") / F.col("np")).alias(f"recall_{top}"), F.when(both, F.col(f"s{5 + j}") / F.least(F.lit(float(top)), F.col("nn"))).alias(f"precision_{top}")]
+    out += [((F.col("ab") - mean2) / F.nullif(spread, F.lit(0.0))).alias("spearman_rho"), (F.col("s3") / F.col("nn")).alias("tweedie_deviance"), (F.col("s4") / F.col("nn")).alias("poisson_deviance")]
+    return x.where("nn > 0").select(*([F.col("key").alias(key)] if key else []), "b", *out)
+
+
+def metric_names(ks: tuple[int, ...]) -> list[str]:
+    return ["auprc", "auroc", *[f"{m}_{k}" for k in ks for m in ("recall", "precision")], "spearman_rho", "tweedie_deviance", "poisson_deviance"]
 
 
 def draws_of_positives(df: DataFrame, sid: str, y: str, b: int, rank_cols: list[str]) -> DataFrame:
