@@ -200,7 +200,7 @@ def bounds(anchors: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     least, most = up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
     reach = np.abs(anchors) @ np.maximum(np.abs(lo), np.abs(hi)).T
     slack = np.where(reach < _EXACT, 0.0, reach * 2.0 ** -40)
-    return least - slack, most + slack
+    return np.clip(least - slack, _LOW, _HIGH), np.clip(most + slack, _LOW, _HIGH)  # as scores are
 
 
 def scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
