@@ -6,7 +6,7 @@ from junctura.catalog import query, views as V
 from junctura.catalog.views import bits_sql, sql
 from junctura.operators import evaluation as E, folds, ranking as K, resampling as B, tiers
 from junctura.plans import models as M
-from junctura.session import attach
+from junctura.session import attach, stage
 
 _RA = "row_number() OVER (ORDER BY score_a DESC, site_id)"
 
@@ -86,12 +86,12 @@ DRAWS, CUTS = 1000, (50, 100, 200)
 def boot_sql(src: str, score: str = "score_a", label: str = "label", threshold: int = 1, draws: int = DRAWS, ks: tuple = CUTS, keys: str = "") -> str:
     """Every replicate's metrics (``per``) from the draws themselves, by windows over exploded rows."""
     k = keys + ", " if keys else ""
-    cuts = ", ".join(f"sum(p*least(greatest(({c}-(cn-n))/n,0),1))/max(np) AS recall_{c}, sum(p*least(greatest(({c}-(cn-n))/n,0),1))/least({c},max(nn)) AS precision_{c}" for c in ks)
+    cuts = "".join(f", sum(p*least(greatest(({c}-(cn-n))/n,0),1))/max(np) AS recall_{c}, sum(p*least(greatest(({c}-(cn-n))/n,0),1))/least({c},max(nn)) AS precision_{c}" for c in ks)
     return f"""h AS (SELECT {k}site_id, {score}::DOUBLE AS s, {label}::DOUBLE AS l, ({label}>={threshold})::INT AS hit, md5('bs|'||g||'|'||site_id) AS m, g FROM {src} CROSS JOIN range({-(-draws // 4)}) r(g)),
   wr AS (SELECT {k}b, s, l, hit, ({_W})::DOUBLE AS w FROM (SELECT {k}s, l, hit, g*4+j AS b, ('0x'||substr(m,(8*j+1)::INT,8))::BIGINT/4294967296.0::DOUBLE AS u FROM h CROSS JOIN range(4) q(j)) WHERE b<{draws}),
   gs AS (SELECT {k}b, s, sum(w*hit) AS p, sum(w) AS n FROM wr WHERE w>0 GROUP BY ALL),
   gc AS (SELECT *, sum(p) OVER v AS cp, sum(n) OVER v AS cn, sum(p) OVER (PARTITION BY {k}b) AS np, sum(n) OVER (PARTITION BY {k}b) AS nn FROM gs WINDOW v AS (PARTITION BY {k}b ORDER BY s DESC)),
-  bm AS (SELECT {k}b, sum(p*cp/cn)/max(np) AS auprc, sum(p*(nn-np-(cn-cp)+(n-p)/2.0))/max(np*(nn-np)) AS auroc, {cuts} FROM gc WHERE np>0 AND np<nn GROUP BY ALL),
+  bm AS (SELECT {k}b, sum(p*cp/cn)/max(np) AS auprc, sum(p*(nn-np-(cn-cp)+(n-p)/2.0))/max(np*(nn-np)) AS auroc{cuts} FROM gc WHERE np>0 AND np<nn GROUP BY ALL),
   lr AS (SELECT {k}b, l, sum(sum(w)) OVER (PARTITION BY {k}b ORDER BY l)-sum(w)+(sum(w)+1)/2 AS rl FROM wr WHERE w>0 GROUP BY {k}b, l),
   rk AS (SELECT wr.*, nn-cn+(n+1)/2 AS rs, rl FROM wr JOIN gc USING ({k}b, s) JOIN lr USING ({k}b, l)),
   cm AS (SELECT {k}b, (sum(w*rs*rl)-sum(w)*pow((sum(w)+1)/2,2))/nullif(sqrt(greatest(sum(w*rs*rs)-sum(w)*pow((sum(w)+1)/2,2),0)*greatest(sum(w*rl*rl)-sum(w)*pow((sum(w)+1)/2,2),0)),0) AS spearman_rho,
@@ -170,17 +170,39 @@ def _(s, d):
 
 _E9 = """x AS (SELECT fo.*, t.t AS threshold, (label>=t.t)::INT AS h FROM fo CROSS JOIN (VALUES (1),(2)) t(t)),
   ap AS (SELECT threshold, fold, sum(p*cp/cn)/max(np) AS auprc FROM (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY threshold, fold) AS np FROM (
-    SELECT threshold, fold, score_a, sum(h)::DOUBLE AS p, count(*)::DOUBLE AS n FROM x GROUP BY ALL) WINDOW w AS (PARTITION BY threshold, fold ORDER BY score_a DESC)) WHERE np>0 GROUP BY ALL),
-  sp AS (SELECT threshold, fold, corr(ra,rb) AS rho FROM (SELECT threshold, fold, rank() OVER (PARTITION BY threshold, fold ORDER BY score_a)+(count(*) OVER (PARTITION BY threshold, fold, score_a)-1)/2.0 AS ra,
-    rank() OVER (PARTITION BY threshold, fold ORDER BY label)+(count(*) OVER (PARTITION BY threshold, fold, label)-1)/2.0 AS rb FROM x) GROUP BY ALL),
-  rc AS (SELECT threshold, fold, sum(h) FILTER (rn<=50)/greatest(sum(h),1) AS r50, sum(h) FILTER (rn<=100)/greatest(sum(h),1) AS r100 FROM (SELECT *, row_number() OVER (PARTITION BY threshold, fold ORDER BY score_a DESC, site_id) AS rn FROM x) GROUP BY ALL)"""
+    SELECT threshold, fold, score_a, sum(h)::DOUBLE AS p, count(*)::DOUBLE AS n FROM x GROUP BY ALL) WINDOW w AS (PARTITION BY threshold, fold ORDER BY score_a DESC)) WHERE np>0 GROUP BY ALL)"""
+
+_SPLITS = """rf AS (SELECT site_id, ((row_number() OVER (PARTITION BY hit ORDER BY ('0x'||substr(md5('42|'||site_id),1,8))::BIGINT, site_id)-1)%5)::INT AS fold FROM scored),
+  lo AS (SELECT 'spatial' AS split, site_id, fold, score_a, score_b, label FROM fo UNION ALL SELECT 'random', site_id, rf.fold, score_a, score_b, label FROM scored JOIN rf USING (site_id)),
+  ok AS (SELECT split, fold, t.t AS threshold FROM lo CROSS JOIN (VALUES (1),(2)) t(t) GROUP BY ALL HAVING max(label)>=t.t)"""
+_E9S = """sc AS (SELECT split, threshold, unnest([fold,-1]) AS scope, site_id, score_a, label, (label>=threshold)::INT AS h FROM lo JOIN ok USING (split, fold)),
+  sap AS (SELECT split, threshold, scope, sum(p*cp/cn)/max(np) AS auprc FROM (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER (PARTITION BY split, threshold, scope) AS np FROM (
+    SELECT split, threshold, scope, score_a, sum(h)::DOUBLE AS p, count(*)::DOUBLE AS n FROM sc GROUP BY ALL) WINDOW w AS (PARTITION BY split, threshold, scope ORDER BY score_a DESC)) GROUP BY ALL),
+  ssp AS (SELECT split, threshold, scope, corr(ra,rb) AS rho FROM (SELECT split, threshold, scope, rank() OVER (PARTITION BY split, threshold, scope ORDER BY score_a)+(count(*) OVER (PARTITION BY split, threshold, scope, score_a)-1)/2.0 AS ra,
+    rank() OVER (PARTITION BY split, threshold, scope ORDER BY label)+(count(*) OVER (PARTITION BY split, threshold, scope, label)-1)/2.0 AS rb FROM sc) GROUP BY ALL),
+  src AS (SELECT split, threshold, scope, sum(h) FILTER (rn<=50)/greatest(sum(h),1) AS r50, sum(h) FILTER (rn<=100)/greatest(sum(h),1) AS r100 FROM (SELECT *, row_number() OVER (PARTITION BY split, threshold, scope ORDER BY score_a DESC, site_id) AS rn FROM sc) GROUP BY ALL)"""
+
+
+def both_splits(s, d):
+    """Every row once for each split: stratified random folds and whole blocks."""
+    t = blocked(s, d)
+    r = folds.stratified_folds(t.drop("fold"), "site_id", "hit", 5, 42)
+    cols = ["site_id", "fold", "score_a", "score_b", "label"]
+    return t.select(F.lit("spatial").alias("split"), *cols).unionByName(r.select(F.lit("random").alias("split"), *cols))
+
+
+@query("e9_pooled_and_folded", sql("scored", """SELECT split, threshold::INT AS threshold, CASE WHEN scope=-1 THEN 'pooled' ELSE 'folds' END AS estimate, count(*) AS n_folds, round(avg(rho),6) AS spearman_rho, round(avg(auprc),6) AS auprc,
+  round(avg(r50),6) AS recall_50, round(avg(r100),6) AS recall_100 FROM sap JOIN ssp USING (split, threshold, scope) JOIN src USING (split, threshold, scope) GROUP BY 1,2,3""", _FOLD + ", " + _SPLITS + ", " + _E9S))
+def _(s, d):
+    m = M.split_estimates(both_splits(s, d), "score_a", "site_id", "label", "split", "fold", (1, 2), (50, 100))
+    return m.withColumns({c: F.round(c, 6) for c in ("spearman_rho", "auprc", "recall_50", "recall_100")})
 
 
 @query("e9_a38_fold_averages", sql("scored", """SELECT 'spatial' AS split, threshold::INT AS threshold, count(*) AS n_folds, round(avg(rho),6) AS spearman_rho, round(avg(auprc),6) AS auprc, round(avg(r50),6) AS recall_50, round(avg(r100),6) AS recall_100
-  FROM ap JOIN sp USING (threshold, fold) JOIN rc USING (threshold, fold) GROUP BY 2""", _FOLD + ", " + _E9))
+  FROM sap JOIN ssp USING (split, threshold, scope) JOIN src USING (split, threshold, scope) WHERE scope>=0 AND split='spatial' GROUP BY 2""", _FOLD + ", " + _SPLITS + ", " + _E9S))
 def _(s, d):
     t = blocked(s, d).withColumn("split", F.lit("spatial"))
-    m = M.pooled_and_folded(t, "score_a", "site_id", "label", "split", "fold", (1, 2), (50, 100))
+    m = M.split_estimates(t, "score_a", "site_id", "label", "split", "fold", (1, 2), (50, 100)).where("estimate = 'folds'").drop("estimate")
     return m.withColumns({c: F.round(c, 6) for c in ("spearman_rho", "auprc", "recall_50", "recall_100")})
 
 
@@ -191,15 +213,35 @@ def _(s, d):
     return f.withColumns({"auprc_mean": F.round("auprc_mean", 6), "auprc_std": F.round("auprc_std", 6)})
 
 
-@query("e10_verdicts", sql("scored", """SELECT CASE WHEN a>0 AND b>0 AND alo>bhi AND alo>bhi THEN 'PASS' WHEN a>0 THEN 'WEAK' ELSE 'FAIL' END AS verdict, alo>bhi AS separated FROM (SELECT avg(ra) AS a, avg(ra) AS b, quantile_cont(ra,0.025) AS alo,
-  quantile_cont(rb,0.975) AS bhi FROM (SELECT b, count(*) FILTER (ra<=200)/max(np)::DOUBLE AS ra, count(*) FILTER (rb<=200)/max(np)::DOUBLE AS rb FROM dr GROUP BY 1))""", _POS))
+_ARMS = """arm AS (SELECT 'model_'||split AS arm, site_id, score_a AS score, label FROM lo JOIN ok USING (split, fold) WHERE threshold=1 AND (split='spatial' OR fold=0)
+  UNION ALL SELECT 'base_'||split, site_id, score_b, label FROM lo JOIN ok USING (split, fold) WHERE threshold=1 AND (split='spatial' OR fold=0))"""
+_CI = """pt AS (SELECT arm, corr(ra,rb) AS rho FROM (SELECT arm, rank() OVER (PARTITION BY arm ORDER BY score)+(count(*) OVER (PARTITION BY arm, score)-1)/2.0 AS ra, rank() OVER (PARTITION BY arm ORDER BY label)+(count(*) OVER (PARTITION BY arm, label)-1)/2.0 AS rb FROM arm) GROUP BY 1),
+  ci AS (SELECT arm, rho, quantile_cont(spearman_rho,0.025) AS lo, quantile_cont(spearman_rho,0.975) AS hi FROM per JOIN pt USING (arm) GROUP BY 1,2)"""
+
+
+def split_arms(s, d):
+    """Model and baseline scores of both splits: the held-out fifth of the random one, all
+    block folds with positives of the spatial one."""
+    x = both_splits(s, d)
+    ok = x.groupBy("split", "fold").agg(F.max("label").alias("_m")).where("_m >= 1 and (split = 'spatial' or fold = 0)").drop("_m")
+    x = x.join(ok, ["split", "fold"], "left_semi")
+    return x.select("site_id", "label", F.explode(F.array(*[F.struct(F.concat(F.lit(f"{n}_"), "split").alias("arm"), F.col(c).cast("double").alias("score")) for n, c in (("model", "score_a"), ("base", "score_b"))])).alias("a")).select("site_id", "label", "a.arm", "a.score")
+
+
+@query("e10_verdicts", sql("scored", """SELECT CASE WHEN m.r>0 AND m.s>0 AND m.rl>b.rh AND m.sl>b.sh THEN 'PASS' WHEN m.r>0 THEN 'WEAK' ELSE 'FAIL' END AS verdict, round(m.r,6) AS random_rho, round(m.s,6) AS spatial_rho, m.rl>b.rh AS random_separated, m.sl>b.sh AS spatial_separated
+  FROM (SELECT max(rho) FILTER (arm='model_random') AS r, max(rho) FILTER (arm='model_spatial') AS s, max(lo) FILTER (arm='model_random') AS rl, max(lo) FILTER (arm='model_spatial') AS sl FROM ci) m
+  CROSS JOIN (SELECT max(hi) FILTER (arm='base_random') AS rh, max(hi) FILTER (arm='base_spatial') AS sh FROM ci) b""", ", ".join([_FOLD, _SPLITS, _ARMS, boot_sql("arm", "score", draws=400, ks=(), keys="arm"), _CI])))
 def _(s, d):
-    dr = _draws(s, d)
-    a = B.recall_interval(dr, "site_id", "ra", 200).select(F.col("mean").alias("a"), F.col("lo").alias("alo"))
-    b = B.recall_interval(dr, "site_id", "rb", 200).select(F.col("hi").alias("bhi"))
-    v = E.verdict({"random_point": F.col("a"), "spatial_point": F.col("a"), "random_lo": F.col("alo"), "spatial_lo": F.col("alo"),
-                   "base_random_hi": F.col("bhi"), "base_spatial_hi": F.col("bhi")})
-    return attach(a, b).select(v.alias("verdict"), (F.col("alo") > F.col("bhi")).alias("separated"))
+    """Rank correlation of model and baseline on both splits, with bootstrap intervals."""
+    x = stage(split_arms(s, d), "split_arms")
+    per = B.bootstrap_metrics(x, "score", "label", "site_id", 400, key="arm")
+    point = E.grouped_spearman(x, ["arm"], "score", "label")
+    ci = B.interval(per, ["spearman_rho"], ["arm"]).join(point, "arm")
+    pick = lambda c, arm: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    one = ci.agg(pick("spearman_rho", "model_random").alias("r"), pick("spearman_rho", "model_spatial").alias("s"), pick("lo", "model_random").alias("rl"), pick("lo", "model_spatial").alias("sl"),
+                 pick("hi", "base_random").alias("rh"), pick("hi", "base_spatial").alias("sh"))
+    v = E.verdict({"random_point": F.col("r"), "spatial_point": F.col("s"), "random_lo": F.col("rl"), "spatial_lo": F.col("sl"), "base_random_hi": F.col("rh"), "base_spatial_hi": F.col("sh")})
+    return one.select(v.alias("verdict"), F.round("r", 6).alias("random_rho"), F.round("s", 6).alias("spatial_rho"), (F.col("rl") > F.col("rh")).alias("random_separated"), (F.col("sl") > F.col("sh")).alias("spatial_separated"))
 
 
 @query("m1_persistence_and_frequency", sql("scored", "SELECT site_id, round(label+score_b/100,6) AS persistence, label::DOUBLE AS frequency FROM scored"))

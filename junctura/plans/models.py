@@ -12,9 +12,10 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from junctura.operators.evaluation import grouped_auprc, grouped_recall, grouped_spearman, spearman
+from junctura.operators.evaluation import grouped_recall, spearman
+from junctura.operators.ranking import running_totals
 from junctura.session import attach, stage
 
 
@@ -170,15 +171,41 @@ def two_stage(df: DataFrame, features: list[str], freq: str, share: str, sid: st
         "score", F.col("freq_hat") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("share_hat"))))
 
 
-def pooled_and_folded(df: DataFrame, score: str, sid: str, label: str, split: str, fold: str,
-                      thresholds: tuple[int, ...], ks: tuple[int, ...]) -> DataFrame:
-    """(split, threshold): fold-averaged metrics over folds that have positives.
-    Splits and thresholds are keys of one job, not a loop."""
-    x = df.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).withColumn(
-        "hit", (F.col(label) >= F.col("threshold")).cast("int"))
-    keys = [split, "threshold", fold]
-    m = (grouped_auprc(x, keys, score, "hit").where("n_pos > 0").join(grouped_spearman(x, keys, score, label), keys)
-         .join(grouped_recall(x, keys, score, sid, "hit", ks), keys))
-    return m.groupBy(split, "threshold").agg(
-        F.count("*").alias("n_folds"), F.avg("spearman_rho").alias("spearman_rho"), F.avg("auprc").alias("auprc"),
-        *[F.avg(f"recall_{k}").alias(f"recall_{k}") for k in ks])
+def split_estimates(df: DataFrame, score: str, sid: str, label: str, split: str, fold: str,
+                    thresholds: tuple[int, ...], ks: tuple[int, ...]) -> DataFrame:
+    """(split, threshold, estimate): ``folds`` averages the metrics of the folds that
+    have positives at the threshold, ``pooled`` takes their rows as one list.
+
+    Rows appear once for their fold and once for the pool, and one global order by (split,
+    fold or pool, score) serves all thresholds: a threshold is a pair of running totals
+    (rows of folds with positives, positives), so ranks, ties and cuts are read off the same order."""
+    powered = df.groupBy(split, fold).agg(*[(F.max(label) >= t).cast("int").alias(f"_e{t}") for t in thresholds])
+    x = df.select(sid, split, fold, F.col(score).alias("_s"), F.col(label).alias("_l")).join(powered, [split, fold])
+    x = x.withColumn("_scope", F.explode(F.array(F.col(fold).cast("int"), F.lit(-1)))).select(
+        split, "_scope", "_s", sid, "_l", *[F.col(f"_e{t}").cast("bigint").alias(f"_e{t}") for t in thresholds],
+        *[(F.col("_l") >= t).cast("bigint").alias(f"_p{t}") for t in thresholds])  # a fold with positives is eligible, so _p implies _e
+    run = running_totals(x, [(split, False), ("_scope", False), ("_s", True), (sid, False)],
+                         {f"_c{m}{t}": f"_{m}{t}" for t in thresholds for m in ("e", "p")})
+    first = run.groupBy(split, "_scope").agg(*[(F.min(F.col(f"_c{m}{t}") - F.col(f"_{m}{t}"))).alias(f"_f{m}{t}") for t in thresholds for m in ("e", "p")],
+                                             *[F.sum(f"_{m}{t}").alias(f"_n{m}{t}") for t in thresholds for m in ("e", "p")])
+    run = run.join(first, [split, "_scope"])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), *[F.col(f"_{a}{t}").alias(a) for a in ("e", "p", "ce", "cp", "fe", "fp", "ne", "np")]) for t in thresholds]))
+    long = run.select(split, "_scope", "_s", "_l", each.alias("t")).select(
+        split, "_scope", "_s", "_l", "t.threshold", "t.p", "t.ne", "t.np", (F.col("t.ce") - F.col("t.fe")).alias("pos"), (F.col("t.cp") - F.col("t.fp")).alias("cum"), "t.e").where("e = 1")
+    keys = [split, "_scope", "threshold"]
+    ties = long.groupBy(*keys, "_s").agg(F.sum("p").alias("p"), F.count("*").alias("n"), F.max("cum").alias("cp"), F.max("pos").alias("cn"), F.max("np").alias("np"), F.max("ne").alias("ne"),
+                                         *[F.sum(F.when(F.col("pos") <= k, F.col("p")).otherwise(0)).alias(f"h{k}") for k in ks])
+    curve = ties.groupBy(*keys).agg((F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.max("np")).alias("auprc"),
+                                    *[(F.sum(f"h{k}") / F.greatest(F.max("np"), F.lit(1))).alias(f"recall_{k}") for k in ks])
+    # mid-ranks: of scores from the order, of labels from their counts
+    labels = long.groupBy(*keys, "_l").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("_l").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # distinct labels
+    labels = labels.select(*keys, "_l", (upto - (F.col("n") - 1) / 2).alias("rb"))
+    cells = long.groupBy(*keys, "_s", "_l").agg(F.count("*").alias("w"))
+    ranks = cells.join(ties.select(*keys, "_s", (F.col("ne") + 1 - (F.col("cn") - (F.col("n") - 1) / 2)).alias("ra"), "ne"), [*keys, "_s"]).join(labels, [*keys, "_l"])
+    da, db, w = F.col("ra") - (F.col("ne") + 1) / 2, F.col("rb") - (F.col("ne") + 1) / 2, F.col("w")
+    rho = ranks.groupBy(*keys).agg(F.coalesce(F.sum(da * db * w) / F.nullif(F.sqrt(F.sum(da * da * w) * F.sum(db * db * w)), F.lit(0.0)), F.lit(0.0)).alias("spearman_rho"))
+    m = curve.join(rho, keys)
+    pooled = F.when(F.col("_scope") == -1, "pooled").otherwise("folds")
+    return m.groupBy(split, "threshold", pooled.alias("estimate")).agg(
+        F.count("*").alias("n_folds"), F.avg("spearman_rho").alias("spearman_rho"), F.avg("auprc").alias("auprc"), *[F.avg(f"recall_{k}").alias(f"recall_{k}") for k in ks])
