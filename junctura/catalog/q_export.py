@@ -10,7 +10,8 @@ from junctura.functions import text as T
 from junctura.operators import tiers
 from junctura.operators.ranking import rank_and_percentile, ranked
 from junctura.plans import export as X, history as H, panel as L
-from junctura.session import attach, stage
+from junctura.session import attach, scratch_path, stage
+from junctura.sources import sinks
 
 _RA = "row_number() OVER (ORDER BY score_a DESC, site_id)"
 _TIERS = """kn AS (SELECT site_id, count(*) FILTER (severity<=2 AND date BETWEEN '1995-01-01' AND '1999-12-31') AS kh, count(*) FILTER (date<'2000-01-01') AS ch FROM se GROUP BY 1 HAVING kh>=1),
@@ -75,7 +76,10 @@ def _(s, d):
   FROM xp WHERE rank<=500 OR is_known_emergent""", _EXP))
 def _(s, d):
     rows = X.listed(export_panel(s, d), 500)
-    return X.feature_lines(rows, ["rank", "council_district", "is_known_emergent", "oof_rank", "crashes_training"])
+    path = scratch_path(s, "features")
+    sinks.write_feature_lines(X.feature_lines(rows, ["rank", "council_district", "is_known_emergent", "oof_rank", "crashes_training"]), path)
+    lines = s.read.text(path)
+    return lines.select(F.get_json_object("value", "$.properties.rank").cast("bigint").alias("rank"), "value")
 
 
 def labelled(s, d):

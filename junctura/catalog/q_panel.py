@@ -96,9 +96,11 @@ def _round(df, cols, n=6):
     return df.withColumns({c: F.round(c, n) for c in cols})
 
 
-@query("a2_a3_a6_j17_history_counts", sql("cand ev", "SELECT c.site_id, " + ", ".join(f"coalesce({c},0) AS {c}" for c in _INTS)
-       + """, coalesce(ped_row_violation_missing,1) AS ped_row_violation_missing, coalesce(years_since_last_crash, round(1826/365.25::DOUBLE,6)) AS years_since_last_crash,
-  coalesce(worst_severity_72mo,5) AS worst_severity_72mo, coalesce(covid_period_share,0) AS covid_period_share FROM cand c LEFT JOIN cnt USING (site_id)""", _CSE))
+_HIST = "SELECT c.site_id, " + ", ".join(f"coalesce({c},0) AS {c}" for c in _INTS) + """, coalesce(ped_row_violation_missing,1) AS ped_row_violation_missing, coalesce(years_since_last_crash, round(1826/365.25::DOUBLE,6)) AS years_since_last_crash,
+  coalesce(worst_severity_72mo,5) AS worst_severity_72mo, coalesce(covid_period_share,0) AS covid_period_share FROM cand c LEFT JOIN cnt USING (site_id)"""
+
+
+@query("a2_a3_a6_j17_history_counts", sql("cand ev", _HIST, _CSE))
 def _(s, d):
     f = features(s, d)
     return _round(f.select("site_id", *_INTS, "ped_row_violation_missing", "years_since_last_crash", "worst_severity_72mo", "covid_period_share"),
@@ -146,19 +148,30 @@ def _(s, d):
     return L.buffer_sweep(V.events(s, d), V.sites(s, d), P)
 
 
-@query("a28_a44_scope_summary", sql("panel cand", """SELECT a.segment AS scope, a.n_nodes, a.n_surface, a.crashes_feat, a.KSI_feat, coalesce(b.n_candidates,0) AS n_candidates, coalesce(label_0,0) AS label_0,
-  coalesce(label_1,0) AS label_1, coalesce(label_2p,0) AS label_2p, CASE WHEN coalesce(label_1,0)+coalesce(label_2p,0)>=300 THEN 'adequate' ELSE 'widen' END AS decision FROM
-  (SELECT segment, count(*) AS n_nodes, count(*) FILTER (is_surface) AS n_surface, sum(crashes_feat)::BIGINT AS crashes_feat, sum(KSI_feat)::BIGINT AS KSI_feat FROM panel GROUP BY 1) a LEFT JOIN
-  (SELECT segment, count(*) AS n_candidates, count(*) FILTER (KSI_label=0) AS label_0, count(*) FILTER (KSI_label=1) AS label_1, count(*) FILTER (KSI_label>=2) AS label_2p FROM cand GROUP BY 1) b USING (segment)"""))
+@query("a28_a44_scope_summary", sql("sse sites cand", """SELECT a.segment AS scope, a.n_nodes, a.n_surface, n_freeway, n_trunk, a.crashes_feat, a.KSI_feat, coalesce(b.n_candidates,0) AS n_candidates, coalesce(label_0,0) AS label_0,
+  coalesce(label_1,0) AS label_1, coalesce(label_2p,0) AS label_2p, coalesce(n_ksi,0) AS n_ksi, round(h*100.0/nullif(n_ksi,0),2)::DOUBLE AS pct_ksi_highway, CASE WHEN coalesce(label_1,0)+coalesce(label_2p,0)>=300 THEN 'adequate' ELSE 'widen' END AS decision FROM
+  (SELECT s.segment, count(*) AS n_nodes, count(*) FILTER (s.is_surface) AS n_surface, count(*) FILTER (s.is_freeway) AS n_freeway, count(*) FILTER (s.is_trunk AND NOT s.is_freeway) AS n_trunk, sum(coalesce(crashes_feat,0))::BIGINT AS crashes_feat, sum(coalesce(KSI_feat,0))::BIGINT AS KSI_feat
+    FROM sites s LEFT JOIN panel p USING (site_id) GROUP BY 1) a LEFT JOIN
+  (SELECT segment, count(*) AS n_candidates, count(*) FILTER (KSI_label=0) AS label_0, count(*) FILTER (KSI_label=1) AS label_1, count(*) FILTER (KSI_label>=2) AS label_2p FROM cand GROUP BY 1) b USING (segment) LEFT JOIN
+  (SELECT segment, count(*) FILTER (severity<=2) AS n_ksi, count(*) FILTER (severity<=2 AND state_hwy='Y') AS h FROM sse JOIN sites USING (site_id) GROUP BY 1) c USING (segment)"""))
 def _(s, d):
+    """Scopes over all nodes, of every class, with the events snapped to their surface nodes."""
     p = stage(panel(s, d), "panel")
-    return L.scope_summary(p, L.with_labels(L.eligible(p, P)), F.col("segment"))
+    sites = V.sites(s, d)
+    every = sites.join(p.select("site_id", "crashes_feat", "KSI_feat"), "site_id", "left").fillna(0, ["crashes_feat", "KSI_feat"])
+    ev = L.snap(V.events(s, d), L.surface_only(sites), P.buffer_m).join(sites.select("site_id", F.col("segment").alias("scope")), "site_id")
+    return L.scope_summary(every, L.with_labels(L.eligible(p, P)), F.col("segment"), ev)
+
+
+_ALL = f"""fa AS ({_HIST}), fb AS ({_TREND}), ft AS (SELECT * FROM fa JOIN fb USING (site_id)),
+  vr AS (SELECT unnest([{", ".join(f"'{c}'" for c in H.FEATURES)}]) AS feature, unnest([{", ".join(f"var_samp({c}::DOUBLE)" for c in H.FEATURES)}]) AS v FROM ft)"""
 
 
-@query("p12_constant_columns", sql("cand ev", "SELECT unnest(['crash_trend_slope','crashes_72mo','n_zero'])::VARCHAR AS feature, unnest([true,true,false]) AS kept", _CSE))
+@query("p12_constant_columns", sql("cand ev", "SELECT feature, v>0 AS kept FROM vr UNION ALL SELECT 'n_zero', false", _CSE + ", " + _ALL))
 def _(s, d):
+    """All features and a constant one."""
     f = features(s, d).withColumn("n_zero", F.lit(0))
-    names = ["crashes_72mo", "crash_trend_slope", "n_zero"]
+    names = [*H.FEATURES, "n_zero"]
     kept = L.prune_constant(f, names)
     return s.createDataFrame([(n, n in kept) for n in names], "feature string, kept boolean")
 
@@ -255,13 +268,14 @@ def _(s, d):
     return tiers.catch_table(r, "rank", "positive")
 
 
-@query("a27_feature_dictionary", sql("cand ev", """SELECT 'crashes_72mo' AS feature_name, 0.0::DOUBLE AS missing_rate, round(var_samp(coalesce(crashes_72mo,0)),6) AS variance, 'history' AS source_table FROM cand LEFT JOIN cnt USING (site_id)
-  UNION ALL SELECT 'ksi_72mo', NULL, 0.0, 'N/A'""", _CSE))
+@query("a27_feature_dictionary", sql("cand ev", """SELECT feature AS feature_name, 0.0::DOUBLE AS missing_rate, round(v,4) AS variance, CASE WHEN feature='crashes_72mo' THEN 'history' ELSE 'events' END AS source_table FROM vr
+  UNION ALL SELECT 'ksi_72mo', NULL, 0.0, 'N/A'""", _CSE + ", " + _ALL))
 def _(s, d):
+    """Every history feature, one row of it replaced by a later entry, and a dropped one."""
     f = stage(features(s, d), "features")
-    a = H.feature_dictionary(f, ["crashes_72mo"], "events", "feature", "1999-12-31", [("ksi_72mo", "constant-zero by eligibility")])
+    a = H.feature_dictionary(f, H.FEATURES, "events", "feature", "1999-12-31", [("ksi_72mo", "constant-zero by eligibility")])
     b = H.feature_dictionary(f, ["crashes_72mo"], "history", "feature", "1999-12-31")
-    return H.upsert_dictionary(a, b).select("feature_name", "missing_rate", F.round("variance", 6).alias("variance"), "source_table")
+    return H.upsert_dictionary(a, b).select("feature_name", "missing_rate", F.round("variance", 4).alias("variance"), "source_table")
 
 
 @query("j30_u4_snapshot_difference", sql("", """SELECT (SELECT count(*) FROM a) AS rows_a, (SELECT count(*) FROM b) AS rows_b, (SELECT count(*) FROM (SELECT o_orderkey FROM a EXCEPT SELECT o_orderkey FROM b)) AS only_a,

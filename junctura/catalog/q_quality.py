@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from junctura.catalog import query, views as V
-from junctura.catalog.q_panel import _CSE, assigned, candidate_events
+from junctura.catalog.q_panel import _ALL, _CSE, assigned, candidate_events
 from junctura.catalog.views import sql
 from junctura.config import TABLE_PARAMS as P, TABLE_WINDOWS as W
 from junctura.functions import records as R
 from junctura.operators import ranking as K, tiers
 from junctura.plans import audits as Q, history as H, panel as L
 from junctura.sources import events as E
-from junctura.session import attach
+from junctura.session import attach, stage
 
 _CAN = """cn AS MATERIALIZED (SELECT CASE_ID AS crash_id, try_cast(COLLISION_DATE AS DATE) AS date, POINT_Y::DOUBLE AS lat, POINT_X::DOUBLE AS lon, try_cast(COLLISION_SEVERITY AS INT) AS severity FROM crash_text)"""
 
@@ -29,13 +29,17 @@ def _(s, d):
     return Q.leakage(ksi.where("date <= DATE'2000-01-15'"), ksi.where("date >= DATE'1999-12-20'"), W)
 
 
-@query("q2_dictionary_gate", sql("", "SELECT feature_name, \"check\" FROM (VALUES ('late','A6'),('ksi_72mo','A7')) v(feature_name, \"check\") WHERE (SELECT count(*) FROM orders)>0"))
+@query("q2_dictionary_gate", sql("cand ev", "SELECT 'late' AS feature_name, 'A6' AS \"check\" UNION ALL SELECT 'ksi_72mo', 'A7' UNION ALL SELECT feature, 'A7' FROM vr WHERE feature IN ('dui_72mo','crashes_36mo') AND v<>0", _CSE + ", " + _ALL))
 def _(s, d):
+    """All history features: one dated too late, one dropped as constant without a variance on
+    record, and two dropped as constant that do vary."""
     c, ev = candidate_events(s, d)
-    f = H.history_features(ev, c, P)
-    dic = H.feature_dictionary(f, ["crashes_72mo"], "events", "feature", "1999-12-31", [("ksi_72mo", "constant by design"), ("zero", "constant-zero")])
+    f = stage(H.history_features(ev, c, P), "features")
+    gone = ["dui_72mo", "crashes_36mo"]
+    dic = H.feature_dictionary(f, [n for n in H.FEATURES if n not in gone], "events", "feature", "1999-12-31", [("ksi_72mo", "constant by design"), ("zero", "constant-zero")])
+    said = H.feature_dictionary(f, gone, "events", "N/A -- DROPPED", "1999-12-31").withColumn("drop_reason", F.lit("zero variance"))
     late = H.feature_dictionary(f.withColumn("late", F.col("crashes_36mo")), ["late"], "events", "feature", "2000-03-01")
-    return Q.dictionary_violations(dic.unionByName(late), "2000-01-01")
+    return Q.dictionary_violations(dic.unionByName(said).unionByName(late), "2000-01-01")
 
 
 @query("q3_volume", sql("ev", "SELECT count(*) AS n, count(*)>=20 AS ok FROM ev WHERE severity<=2 AND date BETWEEN '1995-01-01' AND '1999-12-31'"))
@@ -86,6 +90,36 @@ def _(s, d):
     return Q.snapshot_profile(e, "snap")
 
 
+_PLACED = "pl AS (SELECT e.*, n_name AS place, r_name AS state FROM ev e JOIN orders ON o_orderkey=event_id JOIN customer ON c_custkey=o_custkey JOIN nation ON n_nationkey=c_nationkey JOIN region ON r_regionkey=n_regionkey)"
+
+
+def placed(s, d):
+    """Events with the place and state of their customer."""
+    o, c, n, r = (V.table(s, d, t) for t in ("orders", "customer", "nation", "region"))
+    where = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("place"), F.col("r_name").alias("state"))
+    return V.events(s, d).join(o.select(F.col("o_orderkey").alias("event_id"), "o_custkey").join(where, "o_custkey"), "event_id").drop("o_custkey")
+
+
+@query("a16_source_audit", sql("ev", """SELECT *, concat_ws('; ', CASE WHEN coord_coverage<0.8 THEN 'coverage' END, CASE WHEN pct_useful_decimals<0.5 THEN 'decimals' END, CASE WHEN pct_duplicate_coords>0.2 THEN 'shared coordinates' END) AS problems,
+  CASE WHEN coord_coverage<0.8 OR pct_useful_decimals<0.5 OR pct_duplicate_coords>0.2 THEN 'REVIEW REQUIRED' ELSE 'USABLE' END AS verdict FROM (SELECT 'orders' AS source, count(*) AS n_crashes, round(1-count(*) FILTER (la IS NULL)/count(*)::DOUBLE,4) AS coord_coverage,
+  count(*) FILTER (la IS NULL) AS n_missing_coords, round(avg((length(split_part(t,'.',2))>=4)::INT) FILTER (la IS NOT NULL),4) AS pct_useful_decimals, (SELECT round(coalesce(sum(k) FILTER (k>1),0)/sum(k)::DOUBLE,4) FROM ats) AS pct_duplicate_coords, (SELECT max(k) FROM ats) AS max_at_one_coord,
+  (SELECT count(*) FROM pv) AS n_places, (SELECT count(*) FILTER (n>=600) FROM pv) AS n_viable, (SELECT max(n) FROM pv) AS largest_place FROM sa)""", _PLACED + """, sa AS (SELECT *, CASE WHEN event_id%37<>0 THEN lat END AS la, rtrim(printf('%.5f',lat),'0') AS t FROM pl),
+  ats AS (SELECT count(*) AS k FROM sa WHERE la IS NOT NULL GROUP BY la, lon), pv AS (SELECT place, state, count(*) AS n FROM sa WHERE la IS NOT NULL GROUP BY 1,2)"""))
+def _(s, d):
+    e = placed(s, d).withColumn("t", F.rtrim(F.format_string("%.5f", "lat"), F.lit("0"))).withColumn("lat", F.when(F.col("event_id") % 37 != 0, F.col("lat")))
+    return Q.source_audit(e, "orders", "t", "place", "state", 600)
+
+
+@query("a17_ksi_by_year", sql("ev", "SELECT snap::INT AS snap, y.y::INT AS year, count(e.severity) AS ksi_rows FROM (SELECT DISTINCT event_id%3 AS snap FROM ev) CROSS JOIN range(1995,2002) y(y) LEFT JOIN ev e ON e.event_id%3=snap AND year(e.date)=y.y AND e.severity<=2 GROUP BY ALL"))
+def _(s, d):
+    return Q.snapshot_years(V.events(s, d).withColumn("snap", (F.col("event_id") % 3).cast("int")), "snap", (1995, 2001))
+
+
+@query("a17_t4_top_places", sql("ev", "SELECT snap, pos::INT AS pos, place, n FROM (SELECT *, row_number() OVER (PARTITION BY snap ORDER BY n DESC, place) AS pos FROM (SELECT year(date)::INT AS snap, place, count(*) AS n FROM pl GROUP BY 1,2)) WHERE pos<=5", _PLACED))
+def _(s, d):
+    return Q.snapshot_places(placed(s, d).withColumn("snap", F.year("date")), "snap", "place")
+
+
 @query("q9_rows_by_year", sql("ev", """SELECT year(date)::INT AS year, count(*) FILTER (event_id%40<>1) AS n_a, count(*) FILTER (event_id%50<>3) AS n_b, count(*) FILTER (event_id%40<>1)-count(*) FILTER (event_id%50<>3) AS diff,
   round(abs(count(*) FILTER (event_id%40<>1)-count(*) FILTER (event_id%50<>3))*100.0/count(*) FILTER (event_id%40<>1),2)::DOUBLE AS pct_diff FROM ev GROUP BY 1"""))
 def _(s, d):
@@ -93,12 +127,13 @@ def _(s, d):
     return Q.rows_by_year(e.where("event_id % 40 <> 1"), e.where("event_id % 50 <> 3"))
 
 
-@query("q5_export_panel", sql("scored", """SELECT unnest(['district','props','repeated_id']) AS check, unnest([(SELECT count(*) FROM scored WHERE nation>9),(SELECT count(*) FROM events WHERE event_id%7=0 AND event_id<(SELECT count(*) FROM scored)),
+@query("q5_export_panel", sql("scored", """SELECT unnest(['district','props','repeated_id']) AS check, unnest([(SELECT count(*) FROM scored WHERE nation>9),(SELECT count(*) FROM scored LEFT JOIN events ON event_id=site_id WHERE site_id%7=0 OR props IS NULL),
   (SELECT count(*) FROM (SELECT site_id//2 FROM scored WHERE site_id%10<2 GROUP BY 1 HAVING count(*)>1))]) AS n_bad"""))
 def _(s, d):
+    """Every site of the panel; one without properties, or with text after them, is a violation."""
     e = V.table(s, d, "events").select(F.col("event_id").alias("site_id"), F.when(F.col("event_id") % 7 == 0, F.concat("props", F.lit("}}"))).otherwise(F.col("props")).alias("props"))
     t = V.scored(s, d).select("site_id", F.col("nation").alias("council_district"), F.when(F.col("site_id") % 10 < 2, F.floor(F.col("site_id") / 2)).otherwise(F.col("site_id") + 10**9).alias("node_id"))
-    return Q.export_violations(t.join(e, "site_id"), ["props"])
+    return Q.export_violations(t.join(e, "site_id", "left"), ["props"])
 
 
 @query("q6_expected_counts", sql("cand", "SELECT name, n, expected, abs(n-expected)<=5 AS ok FROM (SELECT 'candidates' AS name, count(*) AS n, 1226::BIGINT AS expected FROM cand UNION ALL SELECT 'emergent_ge1', count(*) FILTER (KSI_label>=1), 21 FROM cand)"))

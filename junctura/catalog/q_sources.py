@@ -9,7 +9,9 @@ from junctura.catalog import query, views as V
 from junctura.catalog.views import sql
 from junctura.functions import records as R
 from junctura.session import scratch_path
+from junctura.plans import audits as Q
 from junctura.sources import context as C, events as E, sinks
+from junctura.sources.bundles import write_bundles
 from junctura.sources.schemas import CRASH_TEXT_COLS
 
 _LOAD = """ld AS (SELECT CASE_ID AS id, try_cast(COLLISION_DATE AS DATE) AS date, try_cast(COLLISION_SEVERITY AS INT) AS severity, POINT_X::DOUBLE AS lon, POINT_Y::DOUBLE AS lat, STATE_HWY_IND FROM crash_text
@@ -118,6 +120,13 @@ def census(s, d):
         F.when(k % 5 == 0, "SPRINGFIELD").otherwise("Not Applicable").alias("CITYNAME"), F.when(k % 7 == 0, "Ohio").otherwise("Utah").alias("STATENAME"))
 
 
+def zipped(s, rows, written, member):
+    """Rows as annual zip bundles in the shared folder, read back through the data source."""
+    path = scratch_path(s, "bundles")
+    write_bundles(rows, path, written, "bundle_year")
+    return E.map_columns(E.read_zipped_csv(s, f"{path}/*.zip", member), [c for c in rows.columns if c != "bundle_year"])
+
+
 def census_people(s, d):
     li = V.table(s, d, "lineitem").join(V.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return li.select(F.year("o_orderdate").alias("bundle_year"), F.col("l_orderkey").cast("string").alias("ST_CASE"),
@@ -130,7 +139,23 @@ def census_people(s, d):
   CASE WHEN o_orderkey%5=0 THEN 'SPRINGFIELD' ELSE 'Not Applicable' END AS place_name, 'Ohio' AS state_name, 'fatal_only' AS severity_scheme
   FROM orders WHERE o_orderkey%41<>0 AND o_orderkey%43<>0 AND o_orderkey%47<>0 AND o_orderstatus<>'P' AND o_orderkey%7=0"""))
 def _(s, d):
-    return E.fatal_census(census(s, d), census_people(s, d), state="OHIO")
+    return E.fatal_census(zipped(s, census(s, d), "ACCIDENT.CSV", "accident.csv"), zipped(s, census_people(s, d), "PbType.csv", "pbtype.csv"), state="OHIO")
+
+
+@query("s4_zipped_member_rows", sql("", """SELECT year(o_orderdate)::INT AS bundle_year, o_orderkey::VARCHAR AS "CASE", 'Peñasco' AS place, o_orderstatus AS status FROM orders"""))
+def _(s, d):
+    o = V.table(s, d, "orders").select(F.year("o_orderdate").alias("bundle_year"), F.col("o_orderkey").alias("CASE"), F.lit("Peñasco").alias("place"), F.col("o_orderstatus").alias("status"))
+    return zipped(s, o, "Data/Cases.CSV", "cases.csv")
+
+
+@query("s13_transit_stops", sql("places", "SELECT place_id::VARCHAR AS stop_id, y AS stop_lat, x AS stop_lon FROM places WHERE place_id%7<>0"))
+def _(s, d):
+    """Stops of zipped feeds, a feed for each kind of place; stops without a readable position drop out."""
+    p = V.suppliers(s, d)
+    t = p.select("amenity", F.col("place_id").alias("stop_id"), F.when(F.col("place_id") % 7 != 0, F.col("y")).alias("stop_lat"), F.col("x").alias("stop_lon"))
+    path = scratch_path(s, "feeds")
+    write_bundles(t, path, "stops.txt", "amenity", encoding="utf-8-sig")
+    return C.transit_stops(s, f"{path}/*.zip")
 
 
 @query("s8_open_data_crashes", sql("ev", "SELECT date, severity, lat, lon, true AS has_id FROM ev"))
@@ -243,11 +268,16 @@ def _(s, d):
     return reduce(lambda a, b: a.unionByName(b), [o.where(F.col("yr") == y) for y in range(ends["a"], ends["b"] + 1)]).groupBy("yr").agg(F.count("*").alias("n"))
 
 
-@query("k6_manifest")
+@query("k6_manifest", sql("", """SELECT sha256(string_agg(l, '' ORDER BY k)) AS sha256, sum(length(l))::BIGINT AS bytes, count(*)-1 AS row_count, 'nation list' AS source, 'user-supplied' AS fetch_timestamp, 25::BIGINT AS n_raw, 1.0::DOUBLE AS coord_coverage
+  FROM (SELECT n_nationkey AS k, n_nationkey||','||n_name||chr(10) AS l FROM nation UNION ALL SELECT -1, 'nation,name'||chr(10))"""))
 def _(s, d):
+    """A file's digest, size, rows and the coordinate statistics of its load."""
     path = scratch_path(s, "manifest")
-    sinks.write_csv(V.crash_text(s, d), path)
-    return sinks.manifest(s, f"{path}/*.csv", "crash extract").select("file", "sha256", "bytes", "source")
+    n = V.table(s, d, "nation")
+    n.select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name")).coalesce(1).sortWithinPartitions("nation").write.option("header", True).csv(path)
+    rows = E.read_text_csv(s, path, ["nation", "name"])
+    stats = Q.contract_stats(n.select(F.lit(1.0).alias("lat"), F.col("n_nationkey").cast("double").alias("lon"), F.current_date().alias("date"), F.lit(1).alias("severity"))).select("n_raw", "coord_coverage")
+    return sinks.manifest(s, f"{path}/*.csv", "nation list", rows, stats).drop("file")
 
 
 @query("k9_treatment_log", sql("scored", "SELECT site_id, 1+(hit>=1)::BIGINT AS entries FROM scored"))

@@ -100,25 +100,25 @@ def stratum(rank: str):
 def matched_controls(treated: DataFrame, pool: DataFrame, used: DataFrame, *, sid: str, n: int = 3) -> DataFrame:
     """Up to n controls per treated site: same rank stratum, same control type when
     known, exposure within half to double when both known, never used before, same
-    district first, then by rank.
+    district first, then by rank. ``reason`` is null; a treated site whose rank is in no
+    stratum, or that nothing matches, has one row with a reason and no control.
 
     Exposure is bucketed by powers of two, so the x0.5..x2 band is an equality on
-    neighbouring buckets; unknown exposure has its own bucket that meets all. Rows
-    are cut to the n best per treated site by a limited window before the shuffle.
-    A treated site whose rank is in no stratum has no peers: that is an error.
+    neighbouring buckets. A side without exposure takes anyone, so of its partners only the
+    n best of each district and control type can be chosen: a treated site without
+    exposure meets that short list instead of the whole stratum, and free sites without
+    exposure are cut to it as well.
     """
-    outside = [r[sid] for r in treated.where(stratum("rank").isNull()).select(sid).limit(5).collect()]
-    if outside:
-        raise ValueError(f"treated sites have ranks in no stratum, e.g. {outside}")
     taken = used.select(sid).union(treated.select(sid)).distinct()
-    free = pool.join(taken, sid, "left_anti").withColumn("_st", stratum("rank"))
-    oct_ = F.floor(F.log2(F.col("entering").cast("double"))).cast("int")
-    known = F.col("entering").isNotNull() & (F.col("entering") > 0)
-    # A free site is found through its octave (kind 1) or, for treated sites with
-    # no exposure, through the open bucket (kind 0).
-    c = free.withColumn("_b", F.explode(F.when(known, F.array(oct_, F.lit(-1))).otherwise(F.array(F.lit(-2), F.lit(-1)))))
+    free = pool.join(taken, sid, "left_anti").withColumn("_st", stratum("rank")).where("_st is not null")
+    octave = F.floor(F.log2(F.col("entering").cast("double"))).cast("int")
+    known = F.coalesce(F.col("entering") > 0, F.lit(False))
+    # the n best by rank of each (stratum, type, district): a bounded window, limited before the shuffle
+    short = Window.partitionBy("_st", "control", "council_district").orderBy("rank", sid)
+    cut = lambda df: df.withColumn("_k", F.row_number().over(short)).where(F.col("_k") <= n).drop("_k")
+    c = free.where(known).withColumn("_b", octave).unionByName(cut(free.where(~known)).withColumn("_b", F.lit(-2))).unionByName(cut(free).withColumn("_b", F.lit(-1)))
     t = treated.withColumn("_st", stratum("rank")).withColumn(
-        "_b", F.explode(F.when(known, F.array(oct_ - 1, oct_, oct_ + 1, F.lit(-2))).otherwise(F.array(F.lit(-1)))))
+        "_b", F.explode(F.when(known, F.array(octave - 1, octave, octave + 1, F.lit(-2))).otherwise(F.array(F.lit(-1)))))
     tt = t.select(F.col(sid).alias("treated_id"), "_st", "_b", F.col("control").alias("_tc"),
                   F.col("entering").alias("_te"), F.col("council_district").alias("_td"))
     ok = (F.col("_tc").isNull() | F.col("control").eqNullSafe(F.col("_tc"))) & (
@@ -126,7 +126,12 @@ def matched_controls(treated: DataFrame, pool: DataFrame, used: DataFrame, *, si
         | F.col("entering").between(F.col("_te") / 2, F.col("_te") * 2))
     far = (F.col("council_district") != F.col("_td")).cast("int")
     w = Window.partitionBy("treated_id").orderBy(far, "rank", sid)
-    return (
+    found = (
         tt.join(c, ["_st", "_b"]).where(ok).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
-        .select("treated_id", F.col(sid).alias("control_id"), F.col("rank").alias("control_rank"), "pos")
+        .select("treated_id", F.col(sid).alias("control_id"), F.col("rank").alias("control_rank"), "pos", F.lit(None).cast("string").alias("reason"))
     )
+    reason = F.when(F.col("_st").isNull(), "rank in no stratum").otherwise("no free match")
+    left = treated.select(F.col(sid).alias("treated_id"), stratum("rank").alias("_st")).join(found.select("treated_id").distinct(), "treated_id", "left_anti")
+    none = left.select("treated_id", F.lit(None).cast(dict(found.dtypes)["control_id"]).alias("control_id"), F.lit(None).cast(dict(found.dtypes)["control_rank"]).alias("control_rank"),
+                       F.lit(None).cast("int").alias("pos"), reason.alias("reason"))
+    return found.unionByName(none)

@@ -97,6 +97,26 @@ def place_volume(df: DataFrame, place: str, state: str, least: int) -> DataFrame
     return named.groupBy(key.alias("place")).agg(F.count("*").alias("n")).withColumn("viable", F.col("n") >= least)
 
 
+#: Decimals of a useful coordinate and the least share of rows that has them.
+USEFUL_DECIMALS, MIN_USEFUL = 4, 0.5
+
+
+def source_audit(df: DataFrame, source: str, lat_text: str, place: str, state: str, least: int) -> DataFrame:
+    """One row on a source (lat, lon, date, severity, its latitude as text, place, state):
+    coverage, share of useful decimals, shared coordinates, places, viable places,
+    what speaks against it and the verdict. Places are counted before they are looked at."""
+    good = df.where(R.valid_point(F.col("lat"), F.col("lon")))
+    sharp = good.agg(F.round(F.avg((decimals(F.col(lat_text)) >= USEFUL_DECIMALS).cast("double")), 4).alias("pct_useful_decimals"))
+    places = place_volume(good, place, state, least).agg(F.count("*").alias("n_places"), F.count_if("viable").alias("n_viable"), F.max("n").alias("largest_place"))
+    x = attach(attach(contract_stats(df), sharp), places)
+    against = F.array_compact(F.array(
+        F.when(F.coalesce("coord_coverage", F.lit(0.0)) < MIN_COVERAGE, "coverage"), F.when(F.coalesce("pct_useful_decimals", F.lit(0.0)) < MIN_USEFUL, "decimals"),
+        F.when(F.col("pct_duplicate_coords") > MAX_DUPLICATES, "shared coordinates")))
+    return x.select(F.lit(source).alias("source"), F.col("n_raw").alias("n_crashes"), "coord_coverage", F.col("n_bad_coords").alias("n_missing_coords"), "pct_useful_decimals",
+                    "pct_duplicate_coords", "max_at_one_coord", "n_places", "n_viable", "largest_place", F.array_join(against, "; ").alias("problems"),
+                    F.when(F.size(against) == 0, "USABLE").otherwise("REVIEW REQUIRED").alias("verdict"))
+
+
 def snapshot_profile(df: DataFrame, snap: str) -> DataFrame:
     """Per snapshot: rows, date range, shares with coordinates and on highways, KSI."""
     n = F.count("*")
@@ -106,6 +126,20 @@ def snapshot_profile(df: DataFrame, snap: str) -> DataFrame:
         F.count_if(R.is_ksi(F.col("severity"))).alias("ksi_rows"))
 
 
+def snapshot_years(df: DataFrame, snap: str, years: tuple[int, int]) -> DataFrame:
+    """(snapshot, year, ksi_rows) for every year of the range, zeros included."""
+    per = df.where(R.is_ksi(F.col("severity"))).groupBy(snap, F.year("date").alias("year")).agg(F.count("*").alias("ksi_rows"))
+    grid = df.select(snap).distinct().withColumn("year", F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))))
+    return grid.join(per, [snap, "year"], "left").fillna(0, ["ksi_rows"])
+
+
+def snapshot_places(df: DataFrame, snap: str, place: str, k: int = 5) -> DataFrame:
+    """(snapshot, pos, place, n): the k places with most rows of each snapshot."""
+    per = df.where(F.col(place).isNotNull()).groupBy(snap, place).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(snap).orderBy(F.desc("n"), place)
+    return per.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select(snap, "pos", F.col(place).alias("place"), "n")
+
+
 def compare_snapshots(a: DataFrame, b: DataFrame, cid: str, max_pct: float = 2.0) -> DataFrame:
     """Row and id differences of two snapshots with the acceptance decision. Ids are
     made distinct once per side and met in one full join."""

@@ -101,15 +101,21 @@ def buffer_sweep(events: DataFrame, sites: DataFrame, p: Params, sid: str = "sit
         F.col("s.d1").alias("dist_1"), F.col("s.d2").alias("dist_2"), F.col("s.d3").alias("dist_3p"))
 
 
-def scope_summary(panel: DataFrame, candidates: DataFrame, scope: Column) -> DataFrame:
-    """One row per scope: site classes, candidates and label histogram."""
+def scope_summary(panel: DataFrame, candidates: DataFrame, scope: Column, events: DataFrame | None = None) -> DataFrame:
+    """One row per scope: nodes by class, events, candidates and label histogram. With
+    ``events`` (scope column ``scope``, severity, state_hwy) also KSI and their highway share."""
     a = panel.groupBy(scope.alias("scope")).agg(
-        F.count("*").alias("n_nodes"), F.count_if(F.col("is_surface")).alias("n_surface"),
+        F.count("*").alias("n_nodes"), F.count_if(F.col("is_surface")).alias("n_surface"), F.count_if(F.col("is_freeway")).alias("n_freeway"),
+        F.count_if(F.col("is_trunk") & ~F.col("is_freeway")).alias("n_trunk"),
         F.sum("crashes_feat").alias("crashes_feat"), F.sum("KSI_feat").alias("KSI_feat"))
     b = candidates.groupBy(scope.alias("scope")).agg(
         F.count("*").alias("n_candidates"), F.count_if(F.col("KSI_label") == 0).alias("label_0"),
         F.count_if(F.col("KSI_label") == 1).alias("label_1"), F.count_if(F.col("KSI_label") >= 2).alias("label_2p"))
     j = a.join(b, "scope", "left").fillna(0)
+    if events is not None:
+        ksi = is_ksi(F.col("severity"))
+        h = events.groupBy("scope").agg(F.count_if(ksi).alias("n_ksi"), F.count_if(ksi & (F.col("state_hwy") == "Y")).alias("_h"))
+        j = j.join(h, "scope", "left").fillna(0, ["n_ksi", "_h"]).withColumn("pct_ksi_highway", F.round(F.col("_h") * 100 / F.nullif(F.col("n_ksi"), F.lit(0)), 2)).drop("_h")
     return j.withColumn("decision", F.when(F.col("label_1") + F.col("label_2p") >= 300, "adequate").otherwise("widen"))
 
 

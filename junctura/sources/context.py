@@ -85,6 +85,14 @@ def read_counts(spark: SparkSession, path) -> DataFrame:
     return read_text_csv(spark, path, ["location", "adt_total", "date", "lat", "lng"])
 
 
+REPORT_COLS = ["report_id", "date_time", "address_road_primary", "address_sfx_primary", "address_name_intersecting", "address_sfx_intersecting", "injured", "killed"]
+
+
+def read_reports(spark: SparkSession, path) -> DataFrame:
+    """Police reports as text; headers match in any case and order."""
+    return read_text_csv(spark, path, REPORT_COLS)
+
+
 def read_volume_points(spark: SparkSession, path) -> DataFrame:
     r = read_text_csv(spark, path, ["lat", "lng", "adt_total"])
     return r.select(*[F.col(c).try_cast("double").alias(c) for c in r.columns])

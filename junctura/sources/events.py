@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from junctura.functions import records as R
 from junctura.sources import schemas as S
+from junctura.sources.bundles import read_members
 
 
 def read_text_csv(spark: SparkSession, path, columns: list[str], encoding: str = "UTF-8") -> DataFrame:
@@ -193,39 +193,11 @@ def get_adapter(name: str):
     return ADAPTERS[name]
 
 
-def read_zipped_csv(spark: SparkSession, pattern: str, member: str, encoding: str = "latin-1",
-                    batch: int = 5000) -> DataFrame:
-    """(path, bundle_year, row map) of one CSV inside each zip, name matched without
-    case. One bundle per task; rows stream out in batches, so a bundle is never
-    held as one frame."""
-    target = member.lower()
-
-    def unzip(frames: Iterator) -> Iterator:
-        import csv
-        import io
-        import zipfile
-
-        import pandas as pd
-        for pdf in frames:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    names = [n for n in zf.namelist() if n.rsplit("/", 1)[-1].lower() == target]
-                    if not names:
-                        continue
-                    with zf.open(names[0]) as fh:
-                        rows = []
-                        for r in csv.DictReader(io.TextIOWrapper(fh, encoding=encoding, newline="")):
-                            rows.append((path, {k.lstrip("\ufeff"): v for k, v in r.items() if k}))
-                            if len(rows) >= batch:
-                                yield pd.DataFrame(rows, columns=["path", "row"])
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=["path", "row"])
-
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    out = files.mapInPandas(unzip, "path string, row map<string,string>")
+def read_zipped_csv(spark: SparkSession, pattern: str, member: str, encoding: str = "latin-1") -> DataFrame:
+    """(path, row map, bundle_year) of one CSV inside each zip, name matched without
+    case. One task reads one member as a stream; its rows come out in batches."""
     year = F.regexp_extract("path", r"(\d{4})[^/]*$", 1).try_cast("int")
-    return out.withColumn("bundle_year", year)
+    return read_members(spark, pattern, member, encoding).withColumn("bundle_year", year)
 
 
 def map_columns(rows: DataFrame, names: list[str], keep: list[str] = ("bundle_year",)) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from junctura.session import attach
+
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     """Parquet, replaced as a whole; curated events are partitioned by year so later
@@ -36,11 +38,18 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def manifest(spark: SparkSession, pattern: str, source: str) -> DataFrame:
-    """(file, sha256, bytes, source) of the files behind a table."""
+def manifest(spark: SparkSession, pattern: str, source: str, rows: DataFrame | None = None, stats: DataFrame | None = None,
+             fetched: str = "user-supplied") -> DataFrame:
+    """One row per file behind a table: file, sha256, bytes, source, fetch_timestamp and,
+    where ``rows`` (a frame read from the files) is given, its row_count. The one row of
+    ``stats``, the coordinate provenance of the load, is attached to every file."""
+    name = lambda path: F.regexp_extract(path, r"([^/]+)$", 1)
     f = spark.read.format("binaryFile").load(pattern)
-    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"),
-                    F.col("length").alias("bytes"), F.lit(source).alias("source"))
+    out = f.select(name("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), F.lit(source).alias("source"), F.lit(fetched).alias("fetch_timestamp"))
+    if rows is not None:
+        n = rows.groupBy(name(F.input_file_name()).alias("file")).agg(F.count("*").alias("row_count"))
+        out = out.join(n, "file", "left").fillna(0, ["row_count"])
+    return out if stats is None else attach(out, stats)
 
 
 def write_graph_edges(edges: DataFrame, path: str) -> None:
