@@ -167,6 +167,79 @@ def _(s, d):
     return X.cost_range(measured(s, d))
 
 
+# Labels of every kind (label, key, pattern, priority, condition, plain wording), as expressions of
+# the site id that both engines read; a site has five of them.
+_CT = lambda v: f"CAST({v} AS STRING)"
+_MPH = "CAST(floor((30+site_id*7%60)*0.621371/5+0.5)*5 AS BIGINT)"
+_RATE = "concat(CAST(CAST(floor(site_id%40/10) AS BIGINT) AS STRING), '.', CAST(site_id%10 AS STRING))"
+_S = lambda v, w: f"concat({_CT(v)}, CASE WHEN {v}=1 THEN ' {w}' ELSE ' {w}s' END"
+_KINDS = [
+    (f"concat('Transit stop ', {_CT('site_id*37%600')}, ' m away')", "ped", "People on foot", "95", "site_id*37%600<=250", f"concat('A transit stop ', {_CT('site_id*37%600')}, CASE WHEN site_id*37%600<=250 THEN ' m away, so people cross here to reach it' ELSE ' m away' END)"),
+    (f"concat({_CT('30+site_id*7%60')}, ' km/h speed limit')", "speed", "Fast road", "78", f"{_MPH}>=40", f"concat({_CT(_MPH)}, ' mph speed limit')"),
+    (f"concat('~', {_CT('2+site_id%7')}, ' lanes')", "wide", "Wide crossing", "72", "2+site_id%7>=5", f"concat('About ', {_CT('2+site_id%7')}, ' lanes across')"),
+    ("'Stop-controlled'", "stop", "Stop signs, no signal", "66", "true", "'Stop signs, no signal'"),
+    (f"concat({_CT('2+site_id%6')}, '-leg intersection')", "complex", "Complex corner", "60", "2+site_id%6>=5", f"concat({_CT('2+site_id%6')}, ' roads meet here')"),
+    (f"concat('Recent crash rate ', {_RATE}, '/yr')", "days", "Crashes are routine here", "40+least(CAST(floor((site_id%40)*4/10.0+0.5) AS INT),30)", "site_id%40>=10", f"concat('About ', {_RATE}, ' crashes a year recently')"),
+    (f"concat({_CT('site_id*13%700')}, ' m to nearest high-crash site')", "hotspot", "Near a corner the City already reviews", "26", "site_id*13%700<=300", f"concat({_CT('site_id*13%700')}, ' m from a corner the City already reviews')"),
+    (f"concat({_CT('site_id%12')}, ' crashes within 150 m')", "cluster", "Crashes along this stretch", "28", "site_id%12>=5", f"concat({_CT('site_id%12')}, ' crashes within 150 m on nearby roads')"),
+    (f"concat({_CT('site_id%45')}, ' distinct crash days (72 months)')", "days", "Crashes are routine here", "40+least(site_id%45,30)", "site_id%45>=6", f"concat('Crashes on ', {_CT('site_id%45')}, ' separate days in 6 years')"),
+    ("'Last crash under a year ago'", "recent", "Recent crash", "20", "true", "'A crash within the past year'"),
+    (f"concat('Last crash ~', {_CT('1+site_id%5')}, ' years ago')", "none", "none", "0", "false", f"CASE WHEN site_id%5=0 THEN 'The last crash was about a year ago' ELSE concat('The last crash was about ', {_CT('1+site_id%5')}, ' years ago') END"),
+    ("'Rising crash-rate trend'", "trend", "Crashes rising", "30", "true", "'Crash rate rising'"),
+    ("'Accelerating crash trend'", "trend", "Crashes rising", "30", "true", "'Crashes speeding up'"),
+    (f"concat({_CT('site_id%101')}, '% structural break probability')", "jump", "Crash rate jumped", "35", "site_id%101>=50", f"concat('The crash rate jumped from its earlier level (', {_CT('site_id%101')}, '% likely)')"),
+    (f"concat({_CT('site_id%9')}, '.5% grade')", "none", "none", "0", "false", f"concat('A ', {_CT('site_id%9')}, '.5% slope')"),
+    ("'Major arterial'", "none", "none", "0", "false", "'On a major arterial, a main through road'"),
+    ("'Secondary arterial'", "none", "none", "0", "false", "'On a secondary arterial, a busy through road'"),
+    ("'Arterial'", "none", "none", "0", "false", "'On an arterial, a through road'"),
+    (f"concat({_CT('1+site_id%6')}, ' night crashes (72 months)')", "night", "After dark", "70+1+site_id%6", "true", f"{_S('1+site_id%6', 'crash')}, ' after dark in 6 years')"),
+    (f"concat({_CT('1+site_id%6')}, ' pedestrian crashes (72 months)')", "ped", "People on foot", "100+1+site_id%6", "true", f"{_S('1+site_id%6', 'crash')}, ' involving someone on foot in 6 years')"),
+    (f"concat({_CT('1+site_id%6')}, ' bicycle crashes (72 months)')", "bike", "Bikes", "90+1+site_id%6", "true", f"{_S('1+site_id%6', 'crash')}, ' involving a bike in 6 years')"),
+    (f"concat({_CT('1+site_id%6')}, ' left-turn crashes (72 months)')", "left", "Left turns", "80+1+site_id%6", "true", f"{_S('1+site_id%6', 'left-turn crash')}, ' in 6 years')"),
+    (f"concat({_CT('1+site_id%6')}, ' broadside crashes (72 months)')", "broadside", "Side impacts", "85+1+site_id%6", "true", f"{_S('1+site_id%6', 'side-impact crash')}, ' in 6 years')"),
+    (f"concat({_CT('site_id%30')}, ' intersections within 400 m')", "none", "none", "0", "false", f"concat({_CT('site_id%30')}, ' intersections within 400 m, a dense grid')"),
+]
+_CTX = "kd AS (SELECT site_id, j+1 AS pos, (site_id+5*j)%24 AS kind FROM sites CROSS JOIN range(5) r(j)), cx AS MATERIALIZED (SELECT site_id, pos, " + ", ".join(
+    "CASE kind " + " ".join(f"WHEN {i} THEN {k[c]}" if c not in (1, 2) else f"WHEN {i} THEN '{k[c]}'" for i, k in enumerate(_KINDS)) + f" END AS {n}"
+    for c, n in ((0, "label"), (1, "key"), (2, "pattern"), (3, "priority"), (4, "fires"), (5, "plain"))) + " FROM kd), cp AS MATERIALIZED (SELECT site_id, key, arg_min(pattern, pos) AS pattern, arg_min(priority, pos)::INT AS priority FROM cx WHERE fires GROUP BY 1,2)"
+
+
+def context_labels(s, d):
+    """(site_id, pos, display_label): five labels of a site, of every kind that exports know."""
+    x = V.sites(s, d).select("site_id", F.posexplode(F.sequence(F.lit(0), F.lit(4))).alias("pos", "_j"))
+    x = x.withColumn("kind", (F.col("site_id") + 5 * F.col("pos")) % len(_KINDS))
+    label = F.expr("element_at(array(" + ", ".join(k[0] for k in _KINDS) + "), CAST(kind AS INT) + 1)")
+    return x.select("site_id", (F.col("pos") + 1).alias("pos"), label.alias("display_label"))
+
+
+@query("a40_all_rules", sql("sites", "SELECT * FROM cp", _CTX))
+def _(s, d):
+    return X.site_patterns(context_labels(s, d))
+
+
+@query("f14_all_labels", sql("sites", "SELECT label AS display_label, count(*) AS n_sites, any_value(plain) AS plain, true AS matched FROM cx GROUP BY 1", _CTX))
+def _(s, d):
+    return X.plain_language(context_labels(s, d))
+
+
+@query("a33_all_facets", sql("sites", "SELECT key, count(*) AS n FROM (SELECT site_id, key FROM cp UNION ALL SELECT site_id, 'school' FROM sites WHERE site_id%1000<=300) GROUP BY 1", _CTX))
+def _(s, d):
+    schools = V.sites(s, d).select("site_id", (F.col("site_id") % 1000).alias("school_m"))
+    arr = X.site_patterns(context_labels(s, d), schools).groupBy("site_id").agg(F.collect_set("key").alias("patterns"))  # at most one row per key
+    return X.facet_counts(arr, "patterns")
+
+
+_MEAS_ALL = _CTX + _MEAS[len(_PAT):].replace("FROM pt\n", "FROM cp AS pt\n")
+
+
+@query("a34_measures_and_review", sql("sites", """SELECT site_id, pos::INT AS pos, measure, lo, hi FROM ms UNION ALL SELECT site_id, coalesce(n,0)::INT+1, 'review', 2000, 8000 FROM sites LEFT JOIN (SELECT site_id, max(pos) AS n FROM ms GROUP BY 1) USING (site_id)""", _MEAS_ALL))
+def _(s, d):
+    """Up to three measures a site and the review that closes each list, also an empty one."""
+    t = V.sites(s, d)
+    ctl = t.select("site_id", F.get(F.array(F.lit("signals"), F.lit("stop"), F.lit("none"), F.lit(None)), (F.col("site_id") % 4).cast("int")).alias("control"))
+    return X.with_review(X.measures_for(X.site_patterns(context_labels(s, d)), ctl), t)
+
+
 @query("p15_shown_sites", sql("se scored", f"SELECT r.site_id, rank FROM (SELECT site_id, council_district, {_RA} AS rank FROM scored) r JOIN ({_RATES}) USING (site_id) WHERE rank<=800 AND council_district IN (1,2,3,4) AND trend='rising'"))
 def _(s, d):
     r = ranked(V.scored(s, d).select("site_id", "score_a", "council_district"), [("score_a", True), ("site_id", False)])

@@ -98,6 +98,19 @@ def _(s, d):
     return N.collapse_variants(n)
 
 
+_VK = lambda c: f"regexp_replace(regexp_replace(regexp_replace(lower({c}),'\\b(north|south|east|west|n|s|e|w|ne|nw|se|sw)\\b',' ','g'),'\\bstreet\\b','st','g'),'[^a-z0-9]','','g')"
+
+
+@query("f9_same_road", sql("road_edges sites", f"""SELECT a, b, {_VK('a')}<>'' AND {_VK('b')}<>'' AND (contains({_VK('a')},{_VK('b')}) OR contains({_VK('b')},{_VK('a')})) AS same, count(*) AS n FROM (
+  SELECT name[1] AS a, name[2] AS b FROM road_edges WHERE len(name)=2 UNION ALL SELECT split_part(name,' & ',1), split_part(name,' & ',2) FROM sites WHERE name LIKE '% & %') GROUP BY ALL"""))
+def _(s, d):
+    """Two spellings on one road, and the two streets of a corner."""
+    e = V.road_edges(s, d).where(F.size("name") == 2).select(F.get("name", F.lit(0)).alias("a"), F.get("name", F.lit(1)).alias("b"))
+    p = F.split("name", " & ")
+    c = V.sites(s, d).where(F.col("name").contains(" & ")).select(F.get(p, F.lit(0)).alias("a"), F.get(p, F.lit(1)).alias("b"))
+    return e.unionByName(c).groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("same", T.same_road(F.col("a"), F.col("b")))
+
+
 @query("f5_f6_tag_numbers", sql("road_edges", f"SELECT lanes, maxspeed, round({_LANES},6) AS lanes_n, round({_SPEED},6) AS kph, count(*) AS n FROM road_edges GROUP BY ALL"))
 def _(s, d):
     return V.road_edges(s, d).groupBy("lanes", "maxspeed").agg(F.count("*").alias("n")).select(

@@ -35,11 +35,6 @@ def hypot_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def degree_xy(lon: Column, lat: Column, lat0: Column) -> tuple[Column, Column]:
-    """Degrees scaled by one degree length in both axes, isotropic at ``lat0``."""
-    return lon * F.cos(F.radians(lat0)) * DEG_M, lat * DEG_M
-
-
 def equirect_xy(lon: Column, lat: Column, lat0: Column) -> tuple[Column, Column]:
     """Local equirectangular metres about ``lat0`` (degrees)."""
     return (F.radians(lon) * F.cos(F.radians(lat0)) * EARTH_RADIUS_M,

@@ -63,22 +63,6 @@ def distinct_places(places: DataFrame, pid: str, x: str, y: str, value: list[str
     )
 
 
-def _levels_needed(spots: DataFrame, radius: float) -> int:
-    """How often a cell must be split until none holds more than CELL_LIMIT
-    coordinates. One count per level over the place side; the driver reads one
-    number each time. Coordinates are distinct, so the splits come to an end."""
-    level = 0
-    while True:
-        size = radius / SPLIT**level
-        top = (
-            spots.groupBy(cell_of(F.col("qx"), size).alias("a"), cell_of(F.col("qy"), size).alias("b"))
-            .count().agg(F.max("count").alias("m")).first()["m"]
-        )
-        if top is None or top <= CELL_LIMIT:
-            return level
-        level += 1
-
-
 def crowded_cells(spots: DataFrame, radius: float) -> DataFrame:
     """(cx, cy) of the cells whose 3x3 block holds more than CELL_LIMIT coordinates."""
     per = spots.groupBy(cell_of(F.col("qx"), radius).alias("ax"), cell_of(F.col("qy"), radius).alias("ay")).agg(F.count("*").alias("_n"))
@@ -129,8 +113,7 @@ def _pick_by_cell(points: DataFrame, spots: DataFrame, radius: float, px: Column
     # every coordinate that a crowded cell can see, once
     dense = there.join(crowded, ["cx", "cy"], "left_semi").select("qx", "qy", "who").dropDuplicates(["qx", "qy"])
     dense = stage(dense, "dense")
-    busy = _pick_by_refinement(keyed.join(crowded, ["cx", "cy"], "left_semi").select(*points.columns),
-                               dense, radius, px, py, pid, _levels_needed(dense, radius))
+    busy = _pick_by_boxes(keyed.join(crowded, ["cx", "cy"], "left_semi").select(*points.columns), dense, radius, px, py, pid)
     cols = [*points.columns, "_b"]
     return calm.select(*cols).union(busy.select(*cols))
 
@@ -204,6 +187,42 @@ def _pick_by_refinement(points: DataFrame, spots: DataFrame, radius: float, px:
     return points.join(best, same, "left").drop("_id", "_px", "_py")
 
 
+def _pick_by_boxes(points: DataFrame, spots: DataFrame, radius: float, px: Column, py: Column, pid: str, leaf: int = LEAF) -> DataFrame:
+    """The same through nested boxes, each as deep as it needs: a box of at most ``leaf``
+    coordinates is read as one row, only fuller ones that can still hold the nearest
+    place are opened, so one dense spot deepens the search for the points near it alone."""
+    box = F.struct("ux", "uy", "kx", "ky", "x0", "x1", "y0", "y1", "n")
+    x, y = F.col("_px"), F.col("_py")
+    size = radius / SPLIT
+    at = spots.withColumn("ux", cell_of(F.col("qx"), radius)).withColumn("uy", cell_of(F.col("qy"), radius))
+    own = points.select(F.col(pid).alias("_id"), px.alias("_px"), py.alias("_py")).distinct()
+    cand = spread(own, "_px", "_py", radius).select("_id", "_px", "_py", F.col("cx").alias("ux"), F.col("cy").alias("uy"), F.lit(float(radius) ** 2).alias("_ub"))
+    found = None
+    keys = ["ux", "uy", "kx", "ky"]
+    while True:
+        at = at.withColumn("kx", cell_of(F.col("qx"), size)).withColumn("ky", cell_of(F.col("qy"), size))
+        boxes = stage(at.groupBy(*keys).agg(F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1"), F.count("*").alias("n")), "boxes")
+        rows = boxes.groupBy("ux", "uy").agg(F.collect_list(box).alias("boxes"))  # a parent's sub-boxes
+        met = cand.join(rows, ["ux", "uy"]).groupBy("_id", "_px", "_py").agg(F.min("_ub").alias("_ub"), F.flatten(F.collect_list("boxes")).alias("boxes"))
+        met = met.withColumn("_ub", F.least("_ub", F.array_min(F.transform("boxes", lambda q: _high2(x, y, q)))))
+        met = met.withColumn("_c", F.explode(F.filter("boxes", lambda q: _low2(x, y, q) <= F.col("_ub"))))
+        met = stage(met.select("_id", "_px", "_py", "_ub", *[F.col(f"_c.{c}").alias(c) for c in (*keys, "n")]), "opened")
+        full = stage(boxes.where(F.col("n") > leaf).select(*keys), "full")
+        arrays = at.join(full, keys, "left_anti").groupBy(*keys).agg(F.collect_list(F.struct("qx", "qy", "who")).alias("_in"))  # at most ``leaf``
+        best = F.array_min(F.transform("_in", lambda q: F.struct(planar2(x, y, q["qx"], q["qy"]).alias("d2"), q["who"].alias("who"))))
+        got = met.where(F.col("n") <= leaf).join(arrays, keys).select("_id", "_px", "_py", best.alias("_b"))
+        found = got if found is None else found.union(got)
+        if full.isEmpty():
+            break
+        at = at.join(full, keys, "left_semi").select("qx", "qy", "who", F.col("kx").alias("ux"), F.col("ky").alias("uy"))
+        cand = met.where(F.col("n") > leaf).select("_id", "_px", "_py", F.col("kx").alias("ux"), F.col("ky").alias("uy"), "_ub")
+        size /= SPLIT
+    best = found.groupBy("_id", "_px", "_py").agg(F.min("_b").alias("_b"))
+    # ids may repeat at other coordinates, so the way back is by both
+    same = F.col(pid).eqNullSafe(F.col("_id")) & (px == F.col("_px")) & (py == F.col("_py"))
+    return points.join(best, same, "left").drop("_id", "_px", "_py")
+
+
 def _open(cand: DataFrame, pid: str, r2: float) -> DataFrame:
     """Keep only boxes that can still hold the nearest place."""
     px, py = F.col("_px"), F.col("_py")

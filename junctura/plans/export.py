@@ -49,25 +49,49 @@ PLAIN = [
     (r"mann.?kendall trend tau = -", "Crashes falling year over year"),
     (r"worst severity\s*([\d.]+)", "Past crashes here caused injuries"),
     (r"covid", "The crash pattern shifted in the pandemic years"),
+    (r"last crash under a year ago", "A crash within the past year"),
+    (r"last crash ~?\s*([\d.]+)\s*years? ago", "{ago1}"),
+    (r"recent crash rate ([\d.]+)/yr", "About {1} crashes a year recently"),
+    (r"rising crash-rate trend", "Crash rate rising"),
+    (r"accelerating crash trend", "Crashes speeding up"),
+    (r"^(\d+)-(?:leg|way) intersection$", "{1} roads meet here"),
+    (r"^major arterial$", "On a major arterial, a main through road"),
+    (r"^secondary arterial$", "On a secondary arterial, a busy through road"),
+    (r"^arterial$", "On an arterial, a through road"),
+    (r"~\s*(\d+) lanes", "About {1} lanes across"),
+    (r"transit stop (\d+) m away", "{stop1}"),
+    (r"stop-controlled", "Stop signs, no signal"),
     (r"(\d+) km/h speed limit", "{mph1} mph speed limit"),
     (r"(\d+) intersections within (\d+) m", "{1} intersections within {2} m, a dense grid"),
     (r"(\d+) crashes within (\d+) m", "{1} crashes within {2} m on nearby roads"),
     (r"(\d+) m to nearest high-crash site", "{1} m from a corner the City already reviews"),
+    (r"([\d.]+)% grade", "A {1}% slope"),
     (r"trend|slope|mann.?kendall", "A crash trend over the years"),
 ]
 
-# Pattern rules (key, label pattern, priority, value cap, least value, name).
+# Pattern rules (key, label pattern, priority, name, and what of the label's
+# number counts: ``per`` it adds to the priority, at most ``cap``; ``least`` and ``most``
+# it must reach or not pass; ``mph`` it is converted first). First match wins.
 PATTERNS = [
-    ("ped", r"(\d+)\s*pedestrian crashes? \((\d+) months\)", 100, None, None, "People on foot"),
-    ("bike", r"(\d+)\s*bicycle crashes? \((\d+) months\)", 90, None, None, "Bikes"),
-    ("left", r"(\d+)\s*left-turn crashes? \((\d+) months\)", 80, None, None, "Left turns"),
-    ("night", r"(\d+)\s*night crashes? \((\d+) months\)", 70, None, None, "After dark"),
-    ("broadside", r"(\d+)\s*broadside crashes? \((\d+) months\)", 85, None, None, "Side impacts"),
-    ("days", r"(\d+)\s*distinct crash days \((\d+) months\)", 40, 30, 6, "Crashes are routine here"),
-    ("jump", r"(\d+)% structural break probability", 35, 0, 50, "Crash rate jumped"),
-    ("trend", r"crash trend slope \+([\d.]+)/yr|rising crash-rate trend|accelerating crash trend", 30, 0, None, "Crashes rising"),
-    ("cluster", r"(\d+) crashes within (\d+) m", 28, 0, 5, "Crashes along this stretch"),
+    ("ped", r"(\d+)\s*pedestrian crashes? \((\d+) months\)", 100, "People on foot", {"per": 1}),
+    ("bike", r"(\d+)\s*bicycle crashes? \((\d+) months\)", 90, "Bikes", {"per": 1}),
+    ("left", r"(\d+)\s*left-turn crashes? \((\d+) months\)", 80, "Left turns", {"per": 1}),
+    ("night", r"(\d+)\s*night crashes? \((\d+) months\)", 70, "After dark", {"per": 1}),
+    ("broadside", r"(\d+)\s*broadside crashes? \((\d+) months\)", 85, "Side impacts", {"per": 1}),
+    ("ped", r"transit stop (\d+) m away", 95, "People on foot", {"most": 250}),
+    ("speed", r"(\d+) km/h speed limit", 78, "Fast road", {"mph": True, "least": 40}),
+    ("wide", r"~\s*(\d+) lanes", 72, "Wide crossing", {"least": 5}),
+    ("stop", r"stop-controlled", 66, "Stop signs, no signal", {}),
+    ("complex", r"^(\d+)-(?:leg|way) intersection$", 60, "Complex corner", {"least": 5}),
+    ("days", r"(\d+)\s*distinct crash days \((\d+) months\)", 40, "Crashes are routine here", {"per": 1, "cap": 30, "least": 6}),
+    ("days", r"recent crash rate ([\d.]+)/yr", 40, "Crashes are routine here", {"per": 4, "cap": 30, "least": 1}),
+    ("jump", r"(\d+)% structural break probability", 35, "Crash rate jumped", {"least": 50}),
+    ("trend", r"crash trend slope \+([\d.]+)/yr|rising crash-rate trend|accelerating crash trend", 30, "Crashes rising", {}),
+    ("cluster", r"(\d+) crashes within (\d+) m", 28, "Crashes along this stretch", {"least": 5}),
+    ("hotspot", r"(\d+) m to nearest high-crash site", 26, "Near a corner the City already reviews", {"most": 300}),
+    ("recent", r"([\d.]+)\s*years? since last crash|last crash under a year ago", 20, "Recent crash", {"most": 0.999999}),
 ]
+WALK_M = 250
 SCHOOL_M = 300
 FILTER_KEYS = ("ped", "bike", "left", "night", "speed", "wide", "stop", "complex", "school")
 
@@ -87,6 +111,8 @@ MEASURES = [
     ("feedback", 5000, 15000, ("speed", "school"), None),
     ("allway", 2000, 10000, ("stop", "complex"), "unsignalised"),
 ]
+# Fixed value: the measure that closes every list, outside the cost range.
+REVIEW = ("review", 2000, 8000)
 PATTERN_ORDER = ("ped", "school", "bike", "left", "night", "broadside", "speed", "wide", "stop", "complex", "days",
                  "jump", "trend", "cluster", "hotspot")
 
@@ -113,9 +139,12 @@ def _render(template: str, label: Column, rx: str) -> Column:
     import re
     g = lambda i: F.regexp_extract(label, f"(?i){rx}", int(i))
     num = lambda i: g(i).try_cast("double")
+    y, n = num(1), F.floor(num(1) + 0.5)
+    if template == "{ago1}":
+        return F.when(n <= 1, "The last crash was about a year ago").otherwise(F.concat(F.lit("The last crash was about "), n.cast("string"), F.lit(" years ago")))
+    if template == "{stop1}":
+        return F.concat(F.lit("A transit stop "), g(1), F.when(y <= WALK_M, " m away, so people cross here to reach it").otherwise(" m away"))
     if template == "{since1}":
-        y = num(1)
-        n = F.floor(y + 0.5)
         return F.when(y < 1, "A crash within the past year").when(n <= 1, "The last crash was about a year ago").otherwise(
             F.concat(F.lit("The last crash was about "), n.cast("string"), F.lit(" years ago")))
     parts = []
@@ -147,23 +176,29 @@ def plain_language(labels: DataFrame, col: str = "display_label") -> DataFrame:
 
 
 def site_patterns(labels: DataFrame, schools: DataFrame | None = None, sid: str = "site_id") -> DataFrame:
-    """(site, key, pattern, priority): the first rule a label meets, one per key."""
+    """(site, key, pattern, priority): the first rule a label meets. Of several labels with
+    one key the first by ``pos`` counts (without positions the one that matters most)."""
     c = F.col("display_label")
     e = None
-    for key, rx, base, cap, least, name in PATTERNS:
+    for key, rx, base, name, o in PATTERNS:
         n = F.coalesce(F.regexp_extract(c, f"(?i){rx}", 1).try_cast("double"), F.lit(0.0))
-        pr = F.lit(float(base)) + (n if cap is None else F.least(n, F.lit(float(cap))))
+        n = F.floor(n * 0.621371 / 5 + 0.5) * 5 if o.get("mph") else n
+        extra = F.floor(n * o["per"] + 0.5) if "per" in o else F.lit(0)
+        pr = F.lit(base) + (F.least(extra, F.lit(o["cap"])) if "cap" in o else extra)
         item = F.struct(F.lit(key).alias("key"), F.lit(name).alias("pattern"), pr.cast("int").alias("priority"))
-        item = item if least is None else F.when(n >= least, item)
+        item = item if "least" not in o else F.when(n >= o["least"], item)
+        item = item if "most" not in o else F.when(n <= o["most"], item)
         hit = c.rlike(f"(?i){rx}")
         e = F.when(hit, item) if e is None else e.when(hit, item)
     # Labels repeat across sites: each distinct one is tested against the rules once.
     ruled = labels.select("display_label").distinct().withColumn("r", e).where("r IS NOT NULL")
-    one = labels.select(sid, "display_label").join(ruled, "display_label").select(sid, "r.*")
+    place = F.col("pos") if "pos" in labels.columns else F.lit(0)
+    one = labels.select(sid, "display_label", place.alias("_pos")).join(ruled, "display_label").select(sid, "_pos", "r.*")
     if schools is not None:
         one = one.unionByName(schools.where(F.col("school_m") <= SCHOOL_M).select(
-            sid, F.lit("school").alias("key"), F.lit("Near a school").alias("pattern"), F.lit(98).alias("priority")))
-    return one.groupBy(sid, "key").agg(F.max_by(F.struct("pattern", "priority"), "priority").alias("s")).select(sid, "key", "s.*")
+            sid, F.lit(0).alias("_pos"), F.lit("school").alias("key"), F.lit("Near a school").alias("pattern"), F.lit(98).alias("priority")))
+    first = F.min_by(F.struct("pattern", "priority"), F.struct(F.col("_pos"), -F.col("priority")))
+    return one.groupBy(sid, "key").agg(first.alias("s")).select(sid, "key", "s.*")
 
 
 def lead_patterns(patterns: DataFrame, sid: str = "site_id") -> DataFrame:
@@ -185,8 +220,19 @@ def measures_for(patterns: DataFrame, control: DataFrame, sid: str = "site_id",
     return best.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n).select(sid, "pos", "measure", "lo", "hi")
 
 
+def with_review(measures: DataFrame, sites: DataFrame, sid: str = "site_id") -> DataFrame:
+    """Every site's measures and, after them, the review that closes each list."""
+    last = measures.groupBy(sid).agg(F.max("pos").alias("_n"))
+    kinds = dict(measures.dtypes)
+    closing = sites.select(sid).join(last, sid, "left").select(
+        sid, (F.coalesce("_n", F.lit(0)) + 1).cast(kinds["pos"]).alias("pos"), F.lit(REVIEW[0]).alias("measure"), F.lit(REVIEW[1]).alias("lo"), F.lit(REVIEW[2]).alias("hi"))
+    return measures.unionByName(closing)
+
+
 def cost_range(measures: DataFrame, sid: str = "site_id") -> DataFrame:
-    return measures.groupBy(sid).agg(F.sum("lo").alias("cost_lo"), F.sum("hi").alias("cost_hi"), F.count("*").alias("n_measures"))
+    """Sums of the measures' costs; the review is not part of them."""
+    real = measures.where(F.col("measure") != REVIEW[0])
+    return real.groupBy(sid).agg(F.sum("lo").alias("cost_lo"), F.sum("hi").alias("cost_hi"), F.count("*").alias("n_measures"))
 
 
 def export_rows(panel: DataFrame, sid: str = "site_id") -> DataFrame:

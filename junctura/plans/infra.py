@@ -137,20 +137,32 @@ PATH_CHUNK = 1_000
 
 def path_lengths(vertices: DataFrame, path: str = "path_id", seq: str = "seq") -> DataFrame:
     """Vertices with the next vertex (``nx``, ``ny``), the ``step`` to it and the
-    length ``cum`` so far. Ordinary paths use one window. If any path is longer than
-    PATH_WINDOW_ROWS, positions come from the distributed order, the next vertex
-    from an equality join, and lengths are summed per chunk and then over chunks."""
-    longest = vertices.groupBy(path).count().agg(F.max("count").alias("m")).first()["m"] or 0
-    size = F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))
-    if longest <= PATH_WINDOW_ROWS:
-        w = Window.partitionBy(path).orderBy(seq)
-        v = vertices.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).withColumn("step", size)
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        return v.withColumn("cum", F.coalesce(F.sum("step").over(before), F.lit(0.0)))
+    length ``cum`` so far. A path of up to PATH_WINDOW_ROWS vertices is one window. Only
+    longer ones take positions from the distributed order, the next vertex from an
+    equality join, and lengths summed per chunk and then over chunks."""
+    long = stage(vertices.groupBy(path).agg(F.count("*").alias("_n")).where(F.col("_n") > PATH_WINDOW_ROWS).select(path), "long_paths")
+    if long.isEmpty():
+        return _short_paths(vertices, path, seq)
+    short = _short_paths(vertices.join(long, path, "left_anti"), path, seq)
+    return short.unionByName(_long_paths(vertices.join(long, path, "left_semi"), path, seq))
+
+
+def _step() -> Column:
+    return F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))
+
+
+def _short_paths(vertices: DataFrame, path: str, seq: str) -> DataFrame:
+    w = Window.partitionBy(path).orderBy(seq)
+    v = vertices.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).withColumn("step", _step())
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return v.withColumn("cum", F.coalesce(F.sum("step").over(before), F.lit(0.0)))
+
+
+def _long_paths(vertices: DataFrame, path: str, seq: str) -> DataFrame:
     at = ranked(vertices, [(path, False), (seq, False)], "_i")
     nxt = at.select(path, (F.col("_i") - 1).alias("_i"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     first = at.groupBy(path).agg(F.min("_i").alias("_f"))
-    v = at.join(nxt, [path, "_i"], "left").join(first, path).withColumn("step", size)
+    v = at.join(nxt, [path, "_i"], "left").join(first, path).withColumn("step", _step())
     v = stage(v.withColumn("_c", F.floor((F.col("_i") - F.col("_f")) / PATH_CHUNK)), "path")
     before = Window.partitionBy(path).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     base = v.groupBy(path, "_c").agg(F.sum("step").alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)))
@@ -182,17 +194,15 @@ def sites_along(vertices: DataFrame, sites: DataFrame, cap: float, path: str = "
     seg = path_lengths(vertices, path, seq).where(F.col("step").isNotNull()).select(
         path, seq, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"),
         "step", "cum")
-    n = F.greatest(F.ceil(F.col("step") / cap), F.lit(1))
-    cuts = seg.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), n)))
-    px_, py_ = (F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("_i") / n), (F.col("ay") + (F.col("by") - F.col("ay")) * F.col("_i") / n)
+    # the cells that a segment can reach, as a set inside its row
     size = 2 * cap
+    n = F.greatest(F.ceil(F.col("step") / cap), F.lit(1))
+    at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / n
     near = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    reach = (
-        cuts.withColumn("cx", cell_of(px_, size)).withColumn("cy", cell_of(py_, size))
-        .withColumn("_o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near])))
-        .select(path, seq, "ax", "ay", "bx", "by", "step", "cum", (F.col("cx") + F.col("_o.i")).alias("cx"),
-                (F.col("cy") + F.col("_o.j")).alias("cy")).distinct()
-    )
+    spots = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("bigint"), n), lambda i: F.struct(
+        cell_of(at("ax", "bx", i), size).alias("cx"), cell_of(at("ay", "by", i), size).alias("cy"))))
+    cells = F.array_distinct(F.flatten(F.transform(spots, lambda c: F.array(*[F.struct((c["cx"] + i).alias("cx"), (c["cy"] + j).alias("cy")) for i, j in near]))))
+    reach = seg.withColumn("_o", F.explode(cells)).select(path, seq, "ax", "ay", "bx", "by", "step", "cum", "_o.cx", "_o.cy")
     s = sites.select(sid, F.col("x").alias("sx"), F.col("y").alias("sy")).withColumn("cx", cell_of(F.col("sx"), size)).withColumn(
         "cy", cell_of(F.col("sy"), size))
     d2, t = segment_nearest(F.col("sx"), F.col("sy"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from junctura.functions import text as T
 from junctura.functions.geo import hypot_m
 from junctura.functions.records import parsed_date
+from junctura.session import stage
 
 NEARBY_M = 250.0
 
@@ -51,19 +52,21 @@ def legs(sites: DataFrame, counts: DataFrame, sid: str = "site_id", max_m: float
         c.select("road", "yr", "total", "limits", F.explode(F.array_distinct(T.limits_keys(F.col("limits")))).alias("cross"))
         .where("cross <> ''").groupBy("road", "cross").agg(F.max(pick).alias("best"))
     )
-    a = st.join(by_cross, ["road", "cross"], "left")
+    a = stage(st.join(by_cross, ["road", "cross"], "left"), "street_ends")
     found = a.where("best IS NOT NULL").withColumn("method", F.lit("limits"))
     rest = a.where("best IS NULL").drop("best")
-    # Cells in degrees, at least max_m wide in both directions at any latitude below 70.
-    dlat, dlon = max_m / 110_540.0, max_m / (111_320.0 * 0.342)
+    # Cells in degrees: rows of one height, and in each row a width that holds max_m at its latitude.
+    dlat = max_m / 110_540.0
     cell = lambda v, d: F.floor(v / d).cast("bigint")
+    widest = lambda ky: F.least(F.greatest(F.abs(ky), F.abs(ky + 1)) * dlat, F.lit(89.9))
+    width = lambda ky: F.lit(max_m) / (F.lit(111_320.0) * F.cos(F.radians(widest(ky))))
     geo = c.where("lat IS NOT NULL").groupBy("road", "lat", "lng").agg(F.min_by(pick, F.struct("limits", "total", "yr")).alias("best"))
-    nine = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    geo = geo.withColumn("_o", nine).withColumn("ky", cell(F.col("lat"), dlat) + F.col("_o.i")).withColumn(
-        "kx", cell(F.col("lng"), dlon) + F.col("_o.j")).select("road", "ky", "kx", F.col("lat").alias("clat"), F.col("lng").alias("clng"), "best")
+    three = lambda: F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    geo = geo.withColumn("_i", three()).withColumn("ky", cell(F.col("lat"), dlat) + F.col("_i")).withColumn("_j", three()).withColumn(
+        "kx", cell(F.col("lng"), width(F.col("ky"))) + F.col("_j")).select("road", "ky", "kx", F.col("lat").alias("clat"), F.col("lng").alias("clng"), "best")
     d = hypot_m(F.col("lon"), F.col("lat"), F.col("clng"), F.col("clat"))
     near = (
-        rest.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("ky", cell(F.col("lat"), dlat)).withColumn("kx", cell(F.col("lon"), dlon))
+        rest.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("ky", cell(F.col("lat"), dlat)).withColumn("kx", cell(F.col("lon"), width(F.col("ky"))))
         .join(geo, ["road", "ky", "kx"]).withColumn("d", d).where(F.col("d") <= max_m)
         .groupBy(sid, "leg", "street").agg(F.min_by("best", F.struct(F.col("d"), F.col("best.limits"), F.col("best.total"))).alias("best"))
         .withColumn("method", F.lit("nearby"))

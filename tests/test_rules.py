@@ -166,15 +166,28 @@ def test_small_rules(spark):
     assert got["2.0 years since last crash"][0] == "The last crash was about 2 years ago" and got["novel label"] == ("novel label", False)
 
 
-def test_repeated_tier_ids_and_ranks_outside_the_strata_are_errors(spark):
+def test_repeated_tier_ids_are_errors_and_ranks_outside_the_strata_have_a_reason(spark):
     known = spark.createDataFrame([(1, 2, 3), (1, 2, 3)], "site_id bigint, ksi_history bigint, crashes_history bigint")
     screen = spark.createDataFrame([(2, 9)], "site_id bigint, screen_count bigint")
     predicted = spark.createDataFrame([(3, 1)], "site_id bigint, model_rank bigint")
     with pytest.raises(ValueError, match="known"):
         tiers.combined_list(known, screen, predicted, 5, "site_id")
     sites = spark.createDataFrame([(1, 10_500, "signal", 100, 1), (2, 5, "signal", 100, 1)], "site_id bigint, rank int, control string, entering int, council_district int")
-    with pytest.raises(ValueError, match="stratum"):
-        tiers.matched_controls(sites.where("site_id = 1"), sites, sites.where("false"), sid="site_id")
+    got = {r.treated_id: (r.control_id, r.reason) for r in tiers.matched_controls(sites.where("site_id < 3"), sites, sites.where("false"), sid="site_id").collect()}
+    assert got == {1: (None, "rank in no stratum"), 2: (None, "no free match")}
+
+
+def test_hot_exposure_buckets_match_like_brute_force(spark):
+    """A third of the sites has no exposure and all share one stratum; the cut lists lose nobody."""
+    rows = [(i, 1 + i % 99, ["signal", "stop", None][i % 3], None if i % 3 == 0 else 100 + i % 400, i % 4) for i in range(400)]
+    sites = spark.createDataFrame(rows, "site_id bigint, rank int, control string, entering int, council_district int")
+    got = {}
+    for r in tiers.matched_controls(sites.where("site_id % 20 = 7"), sites, sites.where("site_id % 20 = 9"), sid="site_id").where("pos is not null").collect():
+        got.setdefault(r.treated_id, {})[r.pos] = r.control_id
+    for t in [r for r in rows if r[0] % 20 == 7]:
+        ok = [c for c in rows if c[0] % 20 not in (7, 9) and (t[2] is None or c[2] == t[2]) and (t[3] is None or c[3] is None or t[3] / 2 <= c[3] <= t[3] * 2)]
+        want = [c[0] for c in sorted(ok, key=lambda c: (c[4] != t[4], c[1], c[0]))[:3]]
+        assert [got[t[0]][k + 1] for k in range(len(want))] == want
 
 
 def test_matched_controls_query_runs_past_the_last_stratum(spark, monkeypatch):
@@ -186,8 +199,10 @@ def test_matched_controls_query_runs_past_the_last_stratum(spark, monkeypatch):
                                   F.lit("BUILDING").alias("segment"))
     monkeypatch.setattr(V, "scored", lambda s, d: sites)
     got = catalog.QUERIES["j29_f15_matched_controls"](spark, "").collect()
-    treated = {r.treated_id for r in got}
-    assert max(treated) < 10_000 and max(treated) > 9_000 and all(i % 50 == 7 for i in treated)
+    reasons = {r.treated_id: r.reason for r in got}
+    assert set(reasons) == set(range(7, n, 50))
+    assert {i for i, why in reasons.items() if why == "rank in no stratum"} == {i for i in reasons if i >= 10_000 or i % 350 == 7}
+    assert all((r.control_id is None) == (r.reason is not None) for r in got)
 
 
 def test_staging_without_a_checkpoint_folder(tmp_path):
