@@ -191,7 +191,8 @@ def site_patterns(labels: DataFrame, schools: DataFrame | None = None, sid: str
         hit = c.rlike(f"(?i){rx}")
         e = F.when(hit, item) if e is None else e.when(hit, item)
     # Labels repeat across sites: each distinct one is tested against the rules once.
-    ruled = labels.select("display_label").distinct().withColumn("r", e).where("r IS NOT NULL")
+    # A generator, not a filter on the item, which would be pushed below and evaluate all rules again.
+    ruled = labels.select("display_label").distinct().select("display_label", F.explode(F.array_compact(F.array(e))).alias("r"))
     place = F.col("pos") if "pos" in labels.columns else F.lit(0)
     one = labels.select(sid, "display_label", place.alias("_pos")).join(ruled, "display_label").select(sid, "_pos", "r.*")
     if schools is not None:
