@@ -10,6 +10,7 @@ from junctura.operators.ranking import ranked
 from junctura.plans import traffic as TR
 from junctura.session import scratch_path
 from junctura.sources import context as C, sinks
+from junctura.streaming import reports as SR
 
 _MAP = "MAP {" + ",".join(f"'{k}':'{v}'" for k, v in T.SUFFIXES.items()) + "}"
 _DIR = "[" + ",".join(f"'{v}'" for v in T.DIRECTIONALS) + "]"
@@ -107,6 +108,18 @@ def _(s, d):
     return TR.reports_by_pair(TR.parse_reports(V.reports_text(s, d), "2000-01-01"))
 
 
+@query("a19_reports_as_they_arrive", sql("reports_text", "SELECT pair, count(*) AS n_reports, sum(injured)::BIGINT AS injured, sum(killed)::BIGINT AS killed, max(date) AS last FROM rp GROUP BY 1", _REP))
+def _(s, d):
+    """The same totals from a stream of files, three increments after one another."""
+    root = scratch_path(s, "stream")
+    r = V.reports_text(s, d)
+    r = r.toDF(*[c.lower() for c in r.columns])
+    for i, (lo, hi) in enumerate((("0000", "2000-06"), ("2000-06", "2001-01"), ("2001-01", "9999"))):
+        r.where(F.col("date_time").between(lo, hi) & (F.col("date_time") < hi)).coalesce(1).write.mode("append").option("header", True).csv(f"{root}/in")
+        last = SR.keep_current(SR.by_pair_and_span(SR.report_stream(s, f"{root}/in"), "2000-01-01", "730 days"), f"{root}/table", f"{root}/state")
+    return SR.current(s, f"{root}/table", last)
+
+
 @query("j21_reports_by_site", sql("reports_text sites", f"""SELECT site_id, pair, n_reports, injured, killed, last FROM (SELECT site_id, {pair_sql('ka','kb')} AS pair FROM (SELECT site_id, {key_sql("split_part(name,' & ',1)")} AS ka,
   {key_sql("split_part(name,' & ',2)")} AS kb FROM sites WHERE name LIKE '% & %')) JOIN (SELECT pair, count(*) AS n_reports, sum(injured)::BIGINT AS injured, sum(killed)::BIGINT AS killed, max(date) AS last FROM rp GROUP BY 1) USING (pair)""", _REP))
 def _(s, d):
