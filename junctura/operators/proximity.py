@@ -275,6 +275,7 @@ def radius_totals(centers: DataFrame, items: DataFrame, radius: float, *, cid: s
     items_at = items.where(F.col(ix).isNotNull() & F.col(iy).isNotNull())
     spots = items_at.groupBy(F.col(ix).cast("double").alias("qx"), F.col(iy).cast("double").alias("qy")).agg(
         *[fold[n]({**sums, **maxima}[n]).alias(n) for n in names])
+    spots = stage(spots, "spots")  # read for the totals and again for the rim
     kinds = {f.name: f.dataType for f in spots.schema}
     c = centers.select(F.col(cid), F.col(cx).cast("double").alias("_px"), F.col(cy).cast("double").alias("_py"))
     px, py = F.col("_px"), F.col("_py")
@@ -286,7 +287,7 @@ def radius_totals(centers: DataFrame, items: DataFrame, radius: float, *, cid: s
         up = [k for k in ("ux", "uy") if k in at.columns]
         per = at.groupBy(*up, "kx", "ky").agg(F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1"),
                                               F.count("*").alias("_c"), *[fold[n](n).alias(f"_b_{n}") for n in names])
-        return at, stage(per, "boxes")
+        return at, per
 
     def measured(met: DataFrame) -> DataFrame:
         return met.withColumn("_lo", _low2(px, py, box)).withColumn("_hi", _high2(px, py, box)).where(F.col("_lo") <= rs[-1] ** 2)
@@ -313,17 +314,20 @@ def radius_totals(centers: DataFrame, items: DataFrame, radius: float, *, cid: s
             link = link & (F.col(k) == F.col(f"_{k}")) if k != "kx" else link
         both = keyed.join(arrays, link, "left")
 
+        # what lies inside each circle, once a row: several names read it
+        for i, r in enumerate(rs):
+            both = both.withColumn(f"_n{i}", F.when(rim(i) & F.col("_in").isNotNull(), F.filter("_in", lambda q: planar2(px, py, q["qx"], q["qy"]) <= r * r)))  # noqa: B023
+        whole = lambda i: F.col(f"_o{i}") & (F.col("_hi") <= rs[i] ** 2)
+
         def part(n: str) -> Column:
             i = rs.index(reach[n])
-            near = F.filter("_in", lambda q: planar2(px, py, q["qx"], q["qy"]) <= rs[i] ** 2)
-            add = F.lit(0).cast(kinds[n])
+            near, add = F.col(f"_n{i}"), F.lit(0).cast(kinds[n])
             values = (F.array_max(F.transform(near, lambda q: q[n])) if n in maxima
                       else F.aggregate(near, add, lambda a, q: (a + F.coalesce(q[n], add)).cast(kinds[n])))
-            return F.when(F.col(f"_o{i}") & (F.col("_hi") <= rs[i] ** 2), F.col(f"_b_{n}")).when(rim(i) & F.col("_in").isNotNull(), values)
+            return F.when(whole(i), F.col(f"_b_{n}")).when(F.col(f"_n{i}").isNotNull(), values)
 
         last = len(rs) - 1
-        hits = F.when(F.col(f"_o{last}") & (F.col("_hi") <= rs[last] ** 2), 1).when(
-            rim(last) & F.exists("_in", lambda q: planar2(px, py, q["qx"], q["qy"]) <= rs[last] ** 2), 1)
+        hits = F.when(whole(last) | (F.size(f"_n{last}") > 0), 1)
         parts.append(both.select(cid, hits.alias("_hit"), *[part(n).alias(n) for n in names]))
         if done:
             break
