@@ -161,7 +161,9 @@ def scan(docs: DataFrame, *, base: tuple[Template, ...] = BASE, notices: tuple[T
 
     ``score`` is the largest share of a found notice's words that stand where they
     should, 1 for a base phrase and 0 without a label. A null or empty text has no words
-    and no labels; rows that repeat are scanned each for itself. The documents are read
+    and no labels; rows that repeat are scanned each for itself; a text of any length is scanned
+    whole, its words in one pass. Templates that fit the same place all count, so labels do
+    not compete; an empty table gives no row. Other columns are not looked at. The documents are read
     twice: for the document frequencies of the template words, and for the scan."""
     templates = (*base, *notices)
     weights = idf(docs, templates)

@@ -15,7 +15,7 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-TRACKING = r"(?i)(?<=[?&])(utm_[a-z]+|gclid|fbclid|ref)=[^&]*&?"
+TRACKING = r"(?i)(?<=[?&])(utm_[a-z]+|gclid|fbclid)=[^&]*&?"
 
 
 def host_of(url: Column) -> Column:

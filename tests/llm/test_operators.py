@@ -499,3 +499,24 @@ def test_pipeline_stages_decide(spark):
             assert minhash_dedup.near_groups(out).where("not kept").count() == 0
         docs = out
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0 and docs.count() > 200
+
+
+def test_license_base_places_equal_brute_force(spark):
+    """Every place where a phrase's words stand consecutively, whatever surrounds it; labels are distinct and sorted."""
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    texts = ["Released Under, the MIT-License. under the mit license", "CC BY NC cc by nc cc by", "apache license, version 2.0 apache license version 22", "under the é mit license",
+             "mit license under the", "", None, " ".join(["cc by nc"] * 5000), "under the under the mit license apache license version 2"]
+    got = as_dict(license_scan.scan(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])))
+    for i, t in enumerate(texts):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(k, label) for p, label in phrases.items() for k in range(len(words)) if words[k:k + len(p.split())] == p.split()]
+        assert (got[i]["n_words"], got[i]["n_base"]) == (len(words), len(places))
+        assert (got[i]["first_word"], got[i]["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert got[i]["base_labels"] == ",".join(sorted({x for _, x in places})) and set(got[i]["base_labels"].split(",")) - {""} <= set(got[i]["labels"].split(","))
+
+
+def test_url_filter_keeps_pages_with_different_refs_apart(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/p?ref=1&utm_source=x"), (2, "http://a.org/p?ref=2"), (3, "http://a.org/p?ref=1")], "page_id long, url string")
+    keys = {r.page_id: r.k for r in pages.select("page_id", url_filter.page_key(F.col("url")).alias("k")).collect()}
+    assert keys[1] == keys[3] != keys[2]
