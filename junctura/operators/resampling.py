@@ -59,7 +59,8 @@ def row_weights(ids: list[str], b: int) -> np.ndarray:
     """Multiplicity of each row in each replicate: four replicates share the md5 of
     ``bs|block|id``, 32 bits each."""
     blocks = -(-b // 4)
-    raw = b"".join(hashlib.md5(f"bs|{k}|{i}".encode(), usedforsecurity=False).digest() for i in ids for k in range(blocks))
+    heads, md5 = [f"bs|{k}|".encode() for k in range(blocks)], hashlib.md5
+    raw = b"".join([md5(h + i).digest() for i in (x.encode() for x in ids) for h in heads])
     u = np.frombuffer(raw, ">u4").reshape(len(ids), blocks * 4)[:, :b]
     return np.searchsorted(_CUTS, u.astype(np.uint64), side="right").astype(np.uint32)
 
@@ -162,7 +163,10 @@ def bootstrap_metrics(df: DataFrame, score: str, y: str, sid: str, b: int, *, th
     without spread. Rows with a null score, label or id take no part."""
     k = F.lit("") if key is None else F.col(key).cast("string")
     rows = df.select(k.alias("key"), F.col(score).cast("double").alias("score"), F.col(y).cast("double").alias("y"), F.col(sid).cast("string").alias("id")).dropna()
-    cells = rows.mapInArrow(_pooled(b), "key string, score double, y double, w binary")
+    # a short row stands for b draws, so rows are dealt out by the work they make, not by their bytes
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = rows.repartition(tasks, "id").mapInArrow(_pooled(b), "key string, score double, y double, w binary")
     ranged = stage(cells.repartitionByRange("key", F.desc("score")).withColumn("part", F.spark_partition_id()), "replicates")
     per = ranged.select("part", "key", "y", "w").mapInArrow(_range_totals(threshold), "part int, key string, n array<double>, p array<double>")
     # ranges are put in order replicate by replicate: as many rows in a window as there are ranges
