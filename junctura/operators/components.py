@@ -120,19 +120,39 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+#: Members of a merged node up to which its row lists them; longer lists come in parts of about this size.
+MEMBER_CHUNK = 10_000
+
+
+def _component_of(nodes: DataFrame, radius: float, nid: str, x: str, y: str) -> DataFrame:
+    members, links = radius_links(nodes, radius, nid, x, y)
+    root = connected(links)
+    return stage(members.join(root, members["label"] == root["node"], "left").select(nid, F.coalesce("root", "label").alias("root")), "component_of")
+
+
+def _lists(comp: DataFrame, nid: str, chunk: int) -> DataFrame:
+    """(root, part, parts, members): sorted members, dealt into parts by a hash where they are many."""
+    sizes = comp.groupBy("root").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    return comp.join(sizes, "root").groupBy("root", F.pmod(F.xxhash64(nid), F.col("parts")).alias("part"), "parts").agg(F.array_sort(F.collect_list(nid)).alias("members"))
+
+
+def member_chunks(nodes: DataFrame, radius: float, *, nid: str = "node_id", x: str = "x", y: str = "y", chunk: int | None = None) -> DataFrame:
+    """(node, part, members) of every merged node: all its members, at most about ``chunk`` a row."""
+    comp = _component_of(nodes, radius, nid, x, y)
+    return _lists(comp, nid, chunk or MEMBER_CHUNK).select(F.col("root").alias(nid), "part", "members")
+
+
 def merge_near_duplicates(nodes: DataFrame, radius: float, *, nid: str = "node_id", x: str = "x", y: str = "y",
                           freeway: str = "is_freeway", trunk: str = "is_trunk") -> DataFrame:
     """Collapse nodes linked by steps of at most ``radius``. The merged node has the
-    centroid, sorted members and class by precedence freeway, trunk, surface."""
-    members, links = radius_links(nodes, radius, nid, x, y)
-    root = connected(links)
-    comp = members.join(root, members["label"] == root["node"], "left").select(
-        nid, F.coalesce("root", "label").alias("root"))
+    centroid, sorted members and class by precedence freeway, trunk, surface. A node of more
+    than ``MEMBER_CHUNK`` members has a null list; ``member_chunks`` gives it in parts."""
+    comp = _component_of(nodes, radius, nid, x, y)
     g = nodes.join(comp, nid).groupBy("root").agg(
         F.avg(x).alias("x"), F.avg(y).alias("y"), F.count("*").alias("member_count"),
-        F.array_sort(F.collect_list(nid)).alias("members"),
         F.max(freeway).alias("is_freeway"), F.max(trunk).alias("_t"))
-    return g.select(
+    short = _lists(comp, nid, MEMBER_CHUNK).where("parts = 1").select("root", "members")
+    return g.join(short, "root", "left").select(
         F.col("root").alias(nid), stable_site_id(F.col("x"), F.col("y")).alias("site_key"), "x", "y",
         "member_count", "members", "is_freeway",
         (F.col("_t") & ~F.col("is_freeway")).alias("is_trunk_borderline"), (~F.col("is_freeway")).alias("is_surface"))

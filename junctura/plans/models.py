@@ -94,7 +94,7 @@ def _score_col(model_output: DataFrame) -> Column:
     return F.col("prediction")
 
 
-def _side_by_side(jobs: list[Callable[[], DataFrame]], workers: int = 4) -> list[DataFrame]:
+def _side_by_side(jobs: list[Callable[[], DataFrame]], workers: int = 8) -> list[DataFrame]:
     """Small fits leave most of a cluster idle, so a few are submitted at once; results keep their order."""
     with ThreadPoolExecutor(workers) as pool:
         return list(pool.map(lambda job: job(), jobs))

@@ -171,6 +171,17 @@ def test_components_of_a_long_chain_and_copies(spark):
     assert C.id_collisions(C.merge_near_duplicates(n, 10.0)).count() == 0
 
 
+def test_members_of_a_giant_component_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(C, "MEMBER_CHUNK", 20)
+    rows = [(i, i * 9.0, 0.0, False, False) for i in range(150)] + [(500 + i, 9000.0 + i, 0.0, False, False) for i in range(5)]
+    n = spark.createDataFrame(rows, "node_id bigint, x double, y double, is_freeway boolean, is_trunk boolean")
+    m = {r.node_id: r for r in C.merge_near_duplicates(n, 10.0).collect()}
+    assert m[0].member_count == 150 and m[0].members is None and m[500].members == [500, 501, 502, 503, 504]
+    got = C.member_chunks(n, 10.0).collect()
+    assert sorted(i for r in got if r.node_id == 0 for i in r.members) == list(range(150))
+    assert max(len(r.members) for r in got) <= 45 and sum(r.node_id == 0 for r in got) > 4
+
+
 def test_polygon_with_hole_overlap_and_buffer(spark):
     v = [(1, 0, i, *p) for i, p in enumerate([(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)])]
     v += [(1, 1, i, *p) for i, p in enumerate([(40.0, 40.0), (60.0, 40.0), (60.0, 60.0), (40.0, 60.0)])]
