@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -395,6 +396,53 @@ def test_grammar_reads_words_after_any_sign():
     assert g.text("«kill» you") == toxicity.THREAT_WEIGHT
 
 
+def test_grammar_orders_sentences_as_a_reader_would():
+    g = toxicity.Grammar({"idio": 4.0}, {"gronk": 2.0})
+    aimed = g.text("You are an idiot")
+    for milder in ("She wrote: you are an idiot", 'She wrote: "you are an idiot."', "You don\u2019t look like an idiot", "You don't look like an idiot",
+                   "Er schrieb: \u201eBist du ein idiot?\u201c", "Il a écrit : «\u00a0tu es un idiot\u00a0»"):
+        assert 0 < g.text(milder) < aimed, milder
+    assert g.text("you\u2019re an idiot") == aimed == g.text("not bad, you idiot") == g.text("not bad but you idiot")
+    assert g.text('She wrote: "well." You are an idiot') == aimed == g.text('She said so.\nYou are an idiot')
+    for threat in ("he killed you", "they are killing you", "ich werde dich töten, dich", "burn them"):
+        assert g.text(threat) == toxicity.THREAT_WEIGHT, threat
+    assert g.text("they gronked you") == 2.0 and g.text("they gronked. you") == 0.0 == g.text("they gronked it")
+    assert g.text("never kill them") == pytest.approx(toxicity.NEGATED * toxicity.THREAT_WEIGHT)
+
+
+def test_composed_grammar_equals_separate_machines_and_all_paths():
+    g, rng = toxicity.Grammar({"idio": 4.0}), random.Random(8)
+    machines = (toxicity.negation_machine(), toxicity.reported_machine(), toxicity.target_machine())
+    for _ in range(400):
+        symbols = [(rng.choice(toxicity.SYMBOLS), rng.choice((1.0, 2.5, 4.0))) for _ in range(rng.randrange(14))]
+        states, arcs = [m.start for m in machines], []
+        for name, _ in symbols:
+            steps = [m.step(s, name) for m, s in zip(machines, states)]
+            states, w = [t for t, _ in steps], 1.0
+            for _, x in steps:
+                w *= x
+            arcs.append(w)
+        want = 0.0
+        for i, (name, weight) in enumerate(symbols):  # a path picks one word
+            if name == "insult":
+                want += weight * arcs[i]
+            elif name == "threat":
+                ahead = next((n for n, _ in symbols[i + 1:] if n in ("target", "end", "line")), None)
+                want += weight * arcs[i] * (ahead == "target")
+        assert g.read(symbols) == pytest.approx(want)
+
+
+def test_threat_stems_are_learned_where_they_are_aimed(spark):
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(i + 1, 40).split()
+        words[8:10] = ("gronkate", "you") if i % 4 == 0 else ("gronkate", "wood") if i % 4 == 1 else words[8:10]
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, int(i % 4 == 0)))
+    model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert not model.stems and any("gronkate".startswith(t) for t in model.threats)
+
+
 # ---- 9: mixing
 
 def test_mix_meets_targets_with_skew(spark):
