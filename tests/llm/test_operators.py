@@ -435,7 +435,7 @@ def test_composed_grammar_equals_separate_machines_and_all_paths():
 def test_threat_stems_are_learned_where_they_are_aimed(spark):
     rows, labels = [], []
     for i in range(600):
-        words = prose(i + 1, 40).split()
+        words = prose(i // 4 + 1, 40).split()  # the same in each class
         words[8:10] = ("gronkate", "you") if i % 4 == 0 else ("gronkate", "wood") if i % 4 == 1 else words[8:10]
         rows.append((i, " ".join(words), "s"))
         labels.append((i, 1, int(i % 4 == 0)))
@@ -549,6 +549,23 @@ def test_pipeline_stages_decide(spark):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0 and docs.count() > 200
 
 
+def test_licence_bodies_without_their_opening_are_found():
+    index = license_scan.Index((*license_scan.BASE, *license_scan.NOTICES), defaultdict(lambda: 1.0))
+    around = prose(4, 30)
+    for t in license_scan.NOTICES:
+        base, found = index.scan(license_scan.words_of(f"{around} {t.words} {around}"))
+        assert found.get(t.label) == 1.0, t
+        assert all(found.get(x) is not None for x in {label for label, _ in base})
+    body = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE\n"
+            "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.")
+    assert set(index.scan(license_scan.words_of(body))[1]) == {"mit"}
+    assert set(index.scan(license_scan.words_of("# SPDX-License-Identifier: MIT"))[1]) == {"mit"}
+    words = license_scan.NOTICES[0].words.split()
+    moved = " ".join(words[:14] + ["and", "by", "this", "sentence", "too"] + words[14:])
+    assert "mit" in index.scan(license_scan.words_of(moved))[1]
+    assert not index.scan(license_scan.words_of(around + " the software is provided in all copies without fee"))[1]
+
+
 def test_license_base_places_equal_brute_force(spark):
     """Every place where a phrase's words stand consecutively, whatever surrounds it; labels are distinct and sorted."""
     phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
