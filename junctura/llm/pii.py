@@ -16,6 +16,9 @@ from junctura.llm.common import staged, text_of
 
 # Kinds in the order of the output.
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that no strict rule finds: keys and tokens, bank accounts, identity numbers.
+ADDED_KINDS = ("secret", "account", "identity")
+ALL_KINDS = KINDS + ADDED_KINDS
 # The strict rules' patterns. Each starts where a run starts (or where the last match
 # ended), so that a run without a match is read once; nothing else differs from the plain
 # form. The card pattern takes only whole chains of 16 to 19 digits.
@@ -29,6 +32,10 @@ LOOSE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[a-z0-9-]{1,63}(?:\x20?[\[(]dot[\])]\x20?[a-z0-9-]{1,63}|\.[a-z0-9-]{1,63}){1,4}",
     "ip": r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])",
     "phone": r"(?<![0-9+)(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "card": r"(?<![0-9.-])[0-9]{4}(?:[\x20./_-]{1,2}[0-9]{4}){3}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z0-9_/+.-])(?=[A-Za-z_-]{0,127}[0-9])[A-Za-z0-9_-]{20,128}+(?![A-Za-z0-9_/+-])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 # Gazetteers and context words.
 ENDINGS = "com org net edu gov info io de fr es uk eu ch at it nl".split()
@@ -39,10 +46,20 @@ CUES = {
     "ip": r"(?i)\b(ip|host|server|address|login from)\b[^a-z]*\s*$",
     "card": r"(?i)\b(card|visa|mastercard|amex|credit|karte|tarjeta|carte)\b[^a-z]*\s*$",
     "phone": r"(?i)\b(tel|phone|call|fax|mobile|cell|telefon|teléfono)\b[^a-z]*\s*$",
+    "secret": r"(?i)(key|token|secret|password|passwd|pwd|bearer|credentials?)[^a-z0-9]*$",
+    "account": r"(?i)\b(iban|account|konto|compte|cuenta)\b[^a-z0-9]*$",
+    "identity": r"(?i)\b(ssn|social security|identity|passport|tax id)\b[^0-9]*$",
 }
+KEY_FORMS = r"^(AKIA|ASIA|AIza|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|pk_live_|xox[abp]-|eyJ)"
+DIGEST_FORMS = r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$"
+IBAN_COUNTRIES = "AT BE CH CZ DE DK EE ES FI FR GB GR HU IE IT LT LU LV NL NO PL PT RO SE SI SK".split()
 COUNTER_CUES = r"(?i)(version|\bv|\bisbn|\border|invoice|\bno\.?|#|section|§|[$€£])\s*$"
 CONTEXT_CHARS = 40
-LABELERS = ("check", "gazetteer", "context", "edges")
+#: Labelers with the accuracy that estimation starts from: checksums and ranges seldom
+#: err, gazetteers and edges are hints.
+LABELERS = {"check": 0.95, "gazetteer": 0.7, "context": 0.8, "edges": 0.6}
+#: Votes that the starting accuracy counts for.
+STRENGTH = 5.0
 _SPAN = "array<struct<kind: int, loose: boolean, text: string, gap: int, before: string, after: string>>"
 
 
@@ -52,7 +69,7 @@ def _found(kind: str, pattern: str, loose: bool, cheap: Column) -> Column:
     pieces, hits = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     zipped = F.zip_with(hits, F.slice(pieces, 1, F.size(hits)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
     both = F.zip_with(zipped, F.slice(pieces, 2, F.size(hits)), lambda z, nxt: F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"), F.lit(loose).alias("loose"), z["m"].alias("text"), F.length(z["g"]).alias("gap"),
+        F.lit(ALL_KINDS.index(kind)).alias("kind"), F.lit(loose).alias("loose"), z["m"].alias("text"), F.length(z["g"]).alias("gap"),
         F.right(z["g"], F.lit(CONTEXT_CHARS)).alias("before"), F.substring(nxt, 1, 1).alias("after")))
     return F.when(cheap, both).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
@@ -63,6 +80,14 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(n, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def _mod97(account: Column) -> Column:
+    """Check of account numbers: the first four signs go last, letters count from 10."""
+    t = F.upper(F.regexp_replace(account, r"\x20", ""))
+    signs = F.filter(F.split(F.concat(F.substring(t, 5, 40), F.left(t, F.lit(4))), ""), lambda c: c != "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(signs, F.lit(0), lambda a, c: F.pmod(F.when(c.rlike("[0-9]"), a * 10 + value(c)).otherwise(a * 100 + value(c)), F.lit(97))) == 1
+
+
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): every row of ``docs`` with a number, and its candidate spans with
     place, votes (1, 0 or -1) and whether the strict rules hold."""
@@ -70,7 +95,9 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = F.col("text")
     cheap = {("email", False): marks.contains("@"), ("ip", False): digit, ("card", False): digit, ("phone", False): marks.contains("+"),
              ("email", True): marks.contains("[at]") | marks.contains("(at)") | marks.contains("[AT]") | marks.contains("(AT)"),
-             ("ip", True): marks.contains(":") & marks.rlike("[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"), ("phone", True): digit}
+             ("ip", True): marks.contains(":") & marks.rlike("[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"), ("phone", True): digit,
+             ("card", True): digit, ("secret", True): digit & marks.rlike("[A-Za-z0-9_-]{20}"),
+             ("account", True): digit & marks.rlike("[A-Z]{2}[0-9]{2}"), ("identity", True): marks.rlike("-[0-9]{2}-")}
     lists = [_found(k, p, False, cheap[k, False]).alias(f"s_{k}") for k, p in STRICT.items()] + [
         _found(k, p, True, cheap[k, True]).alias(f"l_{k}") for k, p in LOOSE.items()]
     names = [f"s_{k}" for k in STRICT] + [f"l_{k}" for k in LOOSE]
@@ -86,19 +113,34 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = hits.select("row", "s.*", end.alias("end")).withColumn("start", F.col("end") - F.length("text")).withColumn("digits", F.regexp_replace("text", "[^0-9]", ""))
     kind, n = F.col("kind"), F.length("digits")
     ok_ip = t.rlike(r"^(0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(\.|$)){4}$")
-    check = F.when(kind == 0, True).when(kind == 1, ok_ip).when(kind == 2, _luhn(F.col("digits"))).otherwise(n.between(8, 15))
+    check = F.when(kind == 0, True).when(kind == 1, ok_ip).when(kind == 2, _luhn(F.col("digits"))).when(kind == 3, n.between(8, 15))
+    mixed = t.rlike("[a-z]") & t.rlike("[A-Z]")
+    loose_check = (F.when(kind == 2, F.when(check, 1).otherwise(-1))
+                   .when(kind == 4, F.when(mixed, 1).when(t.rlike("^[0-9a-fA-F]+$"), 0).otherwise(-1))
+                   .when(kind == 5, F.when(_mod97(t), 1).otherwise(-1))
+                   .when(kind == 6, F.when(t.rlike("^(000|666|9)|-00-|-0000$"), -1).otherwise(1)).otherwise(0))
     ending = F.lower(F.regexp_extract("text", r"([A-Za-z0-9-]+)$", 1))
     gazetteer = (F.when(kind == 0, F.when(ending.isin(ENDINGS), 1).otherwise(-1))
                  .when(kind == 1, F.when(t.rlike(r"^(0|10|127|169\.254|192\.168)\."), -1).when(F.col("loose"), 0).otherwise(1))
                  .when(kind == 2, F.when(F.col("digits").rlike(ISSUERS), 1).otherwise(-1))
+                 .when(kind == 4, F.when(t.rlike(KEY_FORMS), 1).when(t.rlike(DIGEST_FORMS), -1).otherwise(0))
+                 .when(kind == 5, F.when(F.left(t, F.lit(2)).isin(IBAN_COUNTRIES), 1).otherwise(-1))
+                 .when(kind == 6, 0)
                  .otherwise(F.when(F.col("loose"), 0).when(F.substring("digits", 1, 1).isin(DIAL_CODES) | F.substring("digits", 1, 2).isin(DIAL_CODES), 1).otherwise(-1)))
     before = F.col("before")
-    cue = F.when(kind == 0, before.rlike(CUES["email"])).when(kind == 1, before.rlike(CUES["ip"])).when(kind == 2, before.rlike(CUES["card"])).otherwise(before.rlike(CUES["phone"]))
-    context = F.when(cue, 1).when(before.rlike(COUNTER_CUES), -1).otherwise(0)
-    edges = F.when(before.rlike(r"[\p{L}\p{N}_]$") | F.col("after").rlike(r"[\p{L}\p{N}_]"), -1).otherwise(1)
-    spans = spans.select("row", "kind", "loose", "start", "end", (check & ~F.col("loose")).alias("base"),
-                         F.when(F.col("loose"), 0).otherwise(F.when(check, 1).otherwise(-1)).alias("v_check"), gazetteer.alias("v_gazetteer"),
-                         context.alias("v_context"), edges.alias("v_edges"), F.least(F.floor(F.length("text") / 8), F.lit(3)).cast("int").alias("size"))
+    cue = F.lit(False)
+    for i, k in enumerate(ALL_KINDS):
+        cue = F.when(kind == i, before.rlike(CUES[k])).otherwise(cue)
+    # a key or token is known by what names it: without a cue the labeler votes against it
+    context = F.when(cue, 1).when(before.rlike(COUNTER_CUES) | (kind == ALL_KINDS.index("secret")), -1).otherwise(0)
+    # loose patterns ask for clean edges themselves
+    edges = F.when(F.col("loose"), 0).when(before.rlike(r"[\p{L}\p{N}_]$") | F.col("after").rlike(r"[\p{L}\p{N}_]"), -1).otherwise(1)
+    signs = F.regexp_replace("text", r"[\p{L}\p{N}]", "")
+    spans = spans.select("row", "kind", "loose", "start", "end", (~F.col("loose") & check).alias("base"),
+                         F.when(F.col("loose"), loose_check).otherwise(F.when(check, 1).otherwise(-1)).alias("v_check"), gazetteer.alias("v_gazetteer"),
+                         context.alias("v_context"), edges.alias("v_edges"), F.least(F.floor(F.length("text") / 8), F.lit(3)).cast("int").alias("size"),
+                         F.least(F.floor(4 * n / F.length("text")), F.lit(3)).cast("int").alias("digit_share"),
+                         F.least(F.length(signs), F.lit(2)).cast("int").alias("signs"))
     return rows.select("doc_id", "row"), staged(spans, "spans")
 
 
@@ -110,9 +152,9 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int
     """Share of true spans of each kind and accuracy of each labeler, by
     expectation-maximisation over (kind, votes, count); a 0 abstains. Labelers are taken
     to be better than chance and independent given the truth."""
-    share, accuracy = [0.5] * len(KINDS), [0.8] * len(LABELERS)
+    share, accuracy = [0.5] * len(ALL_KINDS), list(LABELERS.values())
     for _ in range(rounds):
-        true, all_, right, cast = [1.0] * len(KINDS), [2.0] * len(KINDS), [4.0] * len(LABELERS), [5.0] * len(LABELERS)
+        true, all_, right, cast = [1.0] * len(ALL_KINDS), [2.0] * len(ALL_KINDS), [STRENGTH * a for a in LABELERS.values()], [STRENGTH] * len(LABELERS)
         for kind, votes, n in patterns:
             p = posterior(share[kind], accuracy, votes)
             true[kind] += n * p
@@ -131,28 +173,44 @@ def posterior(share: float, accuracy: list[float], votes: tuple[int, ...]) -> fl
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
 
-def _features(kind: int, votes: tuple[int, ...], size: int) -> list[int]:
-    """Places of the ones in the classifier's input."""
-    return [0, 1 + kind, 5 + size, *(9 + 2 * j + (v > 0) for j, v in enumerate(votes) if v)]
+#: What the classifier sees of a span's content: length, share of digits, signs between
+#: letters and digits, each in so many classes.
+CONTENT = {"size": 4, "digit_share": 4, "signs": 3}
+
+
+def _features(kind: int, votes: tuple[int, ...], content: tuple[int, ...]) -> list[int]:
+    """Places of the ones in the classifier's input: content, votes, and content by kind."""
+    ones, at = [0, 1 + kind], 1 + len(ALL_KINDS)
+    for c, n in zip(content, CONTENT.values()):
+        ones += [at + c, at + n + kind * n + c]
+        at += n * (1 + len(ALL_KINDS))
+    return ones + [at + 2 * j + (v > 0) for j, v in enumerate(votes) if v]
+
+
+WIDTH = 1 + len(ALL_KINDS) + sum(CONTENT.values()) * (1 + len(ALL_KINDS)) + 2 * len(LABELERS)
 
 
-def train(patterns: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 300) -> dict[tuple[int, tuple[int, ...], int], float]:
-    """Probability of each (kind, votes, size): a logistic span classifier fitted to the
+def train(patterns: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], rounds: int = 300) -> dict[tuple[int, tuple[int, ...], tuple[int, ...]], float]:
+    """Probability of each (kind, votes, content): a logistic span classifier fitted to the
     labelers' posteriors. ``patterns`` are distinct inputs with their counts."""
     total: dict[tuple[int, tuple[int, ...]], int] = {}
     for kind, votes, _, n in patterns:
         total[kind, votes] = total.get((kind, votes), 0) + n
     share, accuracy = reliabilities([(k, v, n) for (k, v), n in sorted(total.items())])
-    rows = [(_features(k, v, s), posterior(share[k], accuracy, v), n) for k, v, s, n in patterns]
-    weight, all_ = [0.0] * (9 + 2 * len(LABELERS)), sum(n for *_, n in rows) or 1
+    of_kind: dict[int, int] = {}
+    for kind, _, _, n in patterns:
+        of_kind[kind] = of_kind.get(kind, 0) + n
+    # each kind weighs as much as any other, however rare it is
+    rows = [(_features(k, v, c), posterior(share[k], accuracy, v), n / of_kind[k] / len(of_kind)) for k, v, c, n in patterns]
+    weight = [0.0] * WIDTH
     for _ in range(rounds):
         slope = [1e-3 * w for w in weight]
         for f, p, n in rows:
-            miss = (1 / (1 + math.exp(-sum(weight[i] for i in f))) - p) * n / all_
+            miss = (1 / (1 + math.exp(-sum(weight[i] for i in f))) - p) * n
             for i in f:
                 slope[i] += miss
-        weight = [w - 2.0 * s for w, s in zip(weight, slope)]
-    return {(k, v, s): 1 / (1 + math.exp(-sum(weight[i] for i in _features(k, v, s)))) for k, v, s, _ in patterns}
+        weight = [w - 0.8 * g for w, g in zip(weight, slope)]
+    return {(k, v, c): 1 / (1 + math.exp(-sum(weight[i] for i in _features(k, v, c)))) for k, v, c, _ in patterns}
 
 
 def find(docs: DataFrame, *, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -164,11 +222,11 @@ def find(docs: DataFrame, *, threshold: float = 0.5) -> tuple[DataFrame, DataFra
     rows that repeat are searched each for itself; without candidates there is nothing
     to train and no span."""
     rows, spans = candidates(docs)
-    keys = ["kind", *_votes(), "size"]
-    counts = spans.groupBy(*keys).agg(F.count("*").alias("n")).collect()  # at most 4 kinds x 81 votes x 4 sizes
-    patterns = sorted((r["kind"], tuple(r[v] for v in _votes()), r["size"], r["n"]) for r in counts)
+    keys = ["kind", *_votes(), *CONTENT]
+    counts = spans.groupBy(*keys).agg(F.count("*").alias("n")).collect()  # at most 7 kinds x 81 votes x 48 contents
+    patterns = sorted((r["kind"], tuple(r[v] for v in _votes()), tuple(r[c] for c in CONTENT), r["n"]) for r in counts)
     scores = train(patterns)
-    table = docs.sparkSession.createDataFrame([(k, *v, s, p) for (k, v, s), p in scores.items()],
+    table = docs.sparkSession.createDataFrame([(k, *v, *c, p) for (k, v, c), p in scores.items()],
                                               ", ".join(f"{x} int" for x in keys) + ", probability double")
     scored = spans.join(F.broadcast(table), keys)  # as many rows as there are patterns
     w = Window.partitionBy("row").orderBy("start", "end")  # the spans of one text
@@ -184,7 +242,7 @@ def digest(docs: DataFrame, **how) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (strict
     spans), base_sha256 and spans (kind:start:end by kind and start, comma-joined)."""
     rows, spans = find(docs, **how)
-    name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
+    name = F.element_at(F.array(*[F.lit(k) for k in ALL_KINDS]), F.col("kind") + 1)
     said = F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string"))
     one = F.struct("kind", "start", "end", said.alias("said"))
     per = spans.groupBy("row").agg(

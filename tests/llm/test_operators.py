@@ -81,6 +81,39 @@ def test_pii_base_spans_and_added_ones(spark):
     assert got[5]["spans"] == "email:5:31"
 
 
+def test_pii_classifier_finds_planted_spans_and_leaves_lookalikes(spark):
+    rng, true, false = random.Random(3), {}, {}
+    word = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    digits, both = "0123456789", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+
+    def luhn(ds, odd):  # with a last digit that is right, or off by ``odd``
+        n = [int(c) for c in ds[::-1]]
+        return ds + str((odd - sum(n[1::2]) - sum(2 * x - 9 * (x > 4) for x in n[::2])) % 10)
+
+    def iban(body, off):
+        check = (98 - int(f"{body}131400") % 97 + off) % 97
+        return f"DE{check:02d}{body}"
+    texts = []
+    for i in range(60):
+        card = lambda odd: luhn("4" + word(digits, 14), odd)
+        quads = lambda c: ".".join(c[j:j + 4] for j in range(0, 16, 4))
+        texts += [(true, f"card {quads(card(0))} of", "card"), (false, f"part {quads(card(3))} of", "card"),
+                  (true, f'token = "{word("0123456789abcdef", 40)}" in', "secret"), (false, f"commit {word('0123456789abcdef', 40)} in", "secret"),
+                  (true, f"api key {word(both, 28)}7aB in", "secret"), (true, f"IBAN {iban(word(digits, 18), 0)} at", "account"),
+                  (false, f"code {iban(word(digits, 18), 5)} at", "account"), (true, f"SSN 1{word('123456789', 2)}-{word('123456789', 2)}-{word('123456789', 4)} of", "identity"),
+                  (false, f"order 9{word('123456789', 2)}-00-{word('123456789', 4)} of", "identity"),
+                  (true, "mail bob [at] example [dot] com today", "email"), (true, "call (555) 123-4567 now", "phone")]
+    for i, (side, text, kind) in enumerate(texts):
+        side[i] = kind
+    got = as_dict(pii.digest(docs_of(spark, [(i, t, "s") for i, (_, t, _) in enumerate(texts)])))
+    kinds = lambda i: {x.split(":")[0] for x in got[i]["spans"].split(",") if x}
+    for kind in ("card", "secret", "account", "identity", "email", "phone"):
+        ids = [i for i, k in true.items() if k == kind]
+        assert sum(kind in kinds(i) for i in ids) >= 0.8 * len(ids), kind
+    assert sum(bool(kinds(i)) for i in false) <= 0.05 * len(false), [(texts[i][1], got[i]["spans"]) for i in false if kinds(i)][:5]
+    assert all(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] == 0 for r in got.values())
+
+
 def test_labeler_reliabilities_are_recovered():
     # three labelers of accuracy 0.95, 0.7, 0.6 over planted truths; the fourth abstains
     counts = Counter()
