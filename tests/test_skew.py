@@ -196,3 +196,32 @@ def test_polygon_with_hole_overlap_and_buffer(spark):
     assert near == {1, 2, 3, 4, 7}
     once = P.within_region(pts, e, 50.0)
     assert {r.site_id for r in once.collect()} == {r.site_id for r in P.within_region(once, e, 50.0).collect()} == {1, 3, 4}
+
+
+def test_evenly_dense_places_need_no_boxes(spark, monkeypatch):
+    """Every block of the radius is crowded: points look in smaller cells, so no point meets all places in reach."""
+    monkeypatch.setattr(X, "CELL_LIMIT", 100)
+    monkeypatch.setattr(X, "FINE", 20)
+
+    def boxes(*_a, **_k):
+        raise AssertionError("even density must not open boxes")
+    monkeypatch.setattr(X, "_pick_by_boxes", boxes)
+    r = random.Random(9)
+    si = [(i, float(r.randrange(-300, 300)), float(r.randrange(-300, 300))) for i in range(3000)]
+    ev = [(i, float(r.randrange(-280, 280)), float(r.randrange(-280, 280))) for i in range(300)] + [(300, 900.0, 0.0), (301, None, 0.0)]
+    e = spark.createDataFrame(ev, "event_id bigint, x double, y double")
+    s = spark.createDataFrame(si, "site_id bigint, x double, y double")
+    got = {r.event_id: r.site_id for r in X.nearest_within(e, s, 76.2, how="left").collect()}
+    want = {}
+    for a in ev:
+        best = min((d2(a, b), b[0]) for b in si) if a[1] is not None else (1e9, None)
+        want[a[0]] = best[1] if best[0] <= 76.2**2 else None
+    assert got == want
+
+
+def test_start_levels_follow_the_density_of_each_cell(spark):
+    r = random.Random(3)
+    pts = [(r.uniform(0, 100), r.uniform(0, 100)) for _ in range(3000)] + [(950.0 + i, 950.0) for i in range(10)]
+    spots = spark.createDataFrame(pts, "qx double, qy double")
+    lv = {(r.ux, r.uy): r.lv for r in X._start_levels(spots, 100.0, X.crowded_cells(spots, 100.0)).collect()}
+    assert 3 <= lv[1, 1] < lv[0, 0] and (9, 9) not in lv
