@@ -118,8 +118,10 @@ _POS = """pos AS (SELECT site_id, ra, rb, row_number() OVER (ORDER BY site_id) A
 def _draws(s, d):
     t = V.scored(s, d)
     a = K.ranked(t.select("site_id", "hit", "score_a"), [("score_a", True), ("site_id", False)], "ra")
-    b = K.ranked(t.select("site_id", "score_b"), [("score_b", True), ("site_id", False)], "rb")
-    return B.draws_of_positives(a.join(b.select("site_id", "rb"), "site_id"), "site_id", "hit", 200, ["ra", "rb"])
+    b = K.ranked(t.select("site_id", "hit", "score_b"), [("score_b", True), ("site_id", False)], "rb")
+    # only positives are drawn, so only they meet, and by a shuffle
+    pos = a.where("hit >= 1").join(b.where("hit >= 1").select("site_id", "rb").hint("merge"), "site_id")
+    return B.draws_of_positives(pos, "site_id", "hit", 200, ["ra", "rb"])
 
 
 @query("e6_recall_interval", sql("scored", """SELECT 'plain' AS variant, round(avg(v),6) AS mean, round(quantile_cont(v,0.025),6) AS lo, round(quantile_cont(v,0.975),6) AS hi FROM (SELECT b, count(*) FILTER (ra<=200)/max(np)::DOUBLE AS v FROM dr GROUP BY 1)
