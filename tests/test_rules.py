@@ -124,6 +124,39 @@ def test_route_order(spark):
     assert [(r.site_id, round(r.meters), round(r.along_m)) for r in got] == [("a", 0, 100), ("b", 22, 700)]
 
 
+def test_sites_along_crossing_paths_in_small_blocks(spark, monkeypatch):
+    """Paths that come back to a site, blocks smaller than a cell, turns shorter than a path, and a long path, against every pair."""
+    import math
+    import random
+    r = random.Random(4)
+    v = [(p, i, r.uniform(0, 400) + 40 * p, r.uniform(0, 400)) for p in range(12) for i in range(2 + p)] + [(99, i, 100.0, 100.0) for i in range(2)]
+    si = [(f"s{i}", float(r.randrange(0, 900)), float(r.randrange(-40, 440))) for i in range(300)]
+    path = spark.createDataFrame(v, "path_id int, seq int, x double, y double")
+    s = spark.createDataFrame([*si, ("none", None, 1.0)], "site_id string, x double, y double")
+    want = {}
+    for p in {q[0] for q in v}:
+        at, cum = [q for q in v if q[0] == p], 0.0
+        for a, b in zip(at[:-1], at[1:]):
+            dx, dy = b[2] - a[2], b[3] - a[3]
+            for i, x, y in si:
+                t = max(0.0, min(1.0, ((x - a[2]) * dx + (y - a[3]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+                d = math.hypot(x - a[2] - t * dx, y - a[3] - t * dy)
+                if d <= 35.0:
+                    want[p, i] = min(want.get((p, i), (1e9, 0, 0)), (round(d, 6), a[1], cum + t * math.hypot(dx, dy)))
+            cum += math.hypot(dx, dy)
+    for block, pairs, window in ((4096, 1_000_000, 100_000), (5, 3, 100_000), (5, 40, 11)):
+        monkeypatch.setattr(I, "ALONG_BLOCK", block, raising=False)
+        monkeypatch.setattr(I, "_PAIRS", pairs, raising=False)
+        monkeypatch.setattr(I, "PATH_WINDOW_ROWS", window)
+        out = I.sites_along(path, s, 35.0)
+        if window == 100_000:  # no pair of path and site is shuffled
+            assert "min_by" not in out._jdf.queryExecution().toString()
+        got = {(q.path_id, q.site_id): (q.meters, q.along_m) for q in out.collect()}
+        assert got.keys() == want.keys() and out.count() == len(want)
+        for k, w in want.items():
+            assert got[k] == pytest.approx((w[0], w[2]), abs=1e-5)
+
+
 def test_long_paths_measure_the_same(spark, monkeypatch):
     path = spark.createDataFrame([(p, i, float(i * (p + 1)), float(i % 3)) for p in range(2) for i in range(25)], "path_id int, seq int, x double, y double")
     a = {(r.path_id, r.seq): (r.nx, round(r.cum, 6)) for r in I.path_lengths(path).collect()}
