@@ -10,6 +10,7 @@ from junctura.functions.records import parsed_date
 from junctura.session import stage
 
 NEARBY_M = 250.0
+CELL_COUNTS = 256   # counts of one street and cell in one row
 
 
 def parse_counts(raw: DataFrame) -> DataFrame:
@@ -18,11 +19,13 @@ def parse_counts(raw: DataFrame) -> DataFrame:
     street, limits = T.parse_location(F.col("location"))
     lat, lng = F.col("lat").try_cast("double"), F.col("lng").try_cast("double")
     both = lat.isNotNull() & lng.isNotNull()
-    return raw.select(
+    row = raw.select(F.struct(
         street.alias("street"), limits.alias("limits"),
         F.coalesce(F.floor(F.col("adt_total").try_cast("double")), F.lit(0)).cast("bigint").alias("total"),
         F.coalesce("date", F.lit("")).alias("date"), F.when(both, lat).alias("lat"), F.when(both, lng).alias("lng"),
-        street.isNotNull().alias("parsed"))
+        street.isNotNull().alias("parsed")).alias("_r"))
+    # A generator: filters on the result are not pushed below it, where they would read every text again.
+    return row.select(F.inline(F.array("_r")))
 
 
 def site_streets(sites: DataFrame, sid: str = "site_id", name: str = "name") -> DataFrame:
@@ -45,31 +48,42 @@ def legs(sites: DataFrame, counts: DataFrame, sid: str = "site_id", max_m: float
     pairs with its corners.
     """
     st = site_streets(sites, sid)
-    c = counts.where("total > 0").withColumn("road", T.road_key(F.col("street"))).withColumn(
-        "yr", F.coalesce(T.year_of(F.col("date")), F.lit(0)))
+    c = counts.where("total > 0").select("street", "limits", "total", "date", "lat", "lng").withColumn("road", T.road_key(F.col("street")))
+    c = c.withColumn("yr", F.coalesce(T.year_of(F.col("date")), F.lit(0))).drop("street", "date")
+    c = stage(c, "counts")  # texts are read once, both rules go on from their keys
     pick = F.struct(F.col("yr"), F.col("total"), F.col("limits"))
+    by_limits = c.groupBy("road", "limits").agg(F.max(F.struct("yr", "total")).alias("_t")).select("road", "limits", "_t.*")
     by_cross = (
-        c.select("road", "yr", "total", "limits", F.explode(F.array_distinct(T.limits_keys(F.col("limits")))).alias("cross"))
+        by_limits.select("road", "yr", "total", "limits", F.explode(F.array_distinct(T.limits_keys(F.col("limits")))).alias("cross"))
         .where("cross <> ''").groupBy("road", "cross").agg(F.max(pick).alias("best"))
     )
     a = stage(st.join(by_cross, ["road", "cross"], "left"), "street_ends")
     found = a.where("best IS NOT NULL").withColumn("method", F.lit("limits"))
     rest = a.where("best IS NULL").drop("best")
-    # Cells in degrees: rows of one height, and in each row a width that holds max_m at its latitude.
-    dlat = max_m / 110_540.0
+    # Cells in degrees: rows of one height, and in each row a width that holds it at its latitude.
+    # A cell's counts are one array (a fuller cell gives several); the legs, the smaller side,
+    # look into every cell in their reach, and the nearest count is picked inside that row.
+    dlat, reach = 2 * max_m / 110_540.0, max_m * (1 + 1e-9)
     cell = lambda v, d: F.floor(v / d).cast("bigint")
-    widest = lambda ky: F.least(F.greatest(F.abs(ky), F.abs(ky + 1)) * dlat, F.lit(89.9))
-    width = lambda ky: F.lit(max_m) / (F.lit(111_320.0) * F.cos(F.radians(widest(ky))))
+    degrees = lambda m, lat: F.lit(m) / (F.lit(111_320.0) * F.cos(F.radians(F.least(lat, F.lit(89.9)))))
+    width = lambda ky: degrees(2 * max_m, F.greatest(F.abs(ky), F.abs(ky + 1)) * dlat)
+    span = lambda v, r, d: F.explode(F.sequence(cell(v - r, d), cell(v + r, d)))
     geo = c.where("lat IS NOT NULL").groupBy("road", "lat", "lng").agg(F.min_by(pick, F.struct("limits", "total", "yr")).alias("best"))
-    three = lambda: F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    geo = geo.withColumn("_i", three()).withColumn("ky", cell(F.col("lat"), dlat) + F.col("_i")).withColumn("_j", three()).withColumn(
-        "kx", cell(F.col("lng"), width(F.col("ky"))) + F.col("_j")).select("road", "ky", "kx", F.col("lat").alias("clat"), F.col("lng").alias("clng"), "best")
-    d = hypot_m(F.col("lon"), F.col("lat"), F.col("clng"), F.col("clat"))
+    geo = geo.withColumn("ky", cell(F.col("lat"), dlat)).withColumn("kx", cell(F.col("lng"), width(F.col("ky"))))
+    geo = stage(geo.select("road", "ky", "kx", F.struct("lat", "lng", "best").alias("q")), "count_spots")
+    keys = ["road", "ky", "kx"]
+    full = geo.groupBy(*keys).agg(F.ceil(F.count("*") / CELL_COUNTS).alias("_k")).where("_k > 1")
+    part = F.when(F.col("_k").isNotNull(), F.pmod(F.xxhash64("q.lat", "q.lng"), F.col("_k"))).otherwise(0)
+    blocks = geo.join(full, keys, "left").groupBy(*keys, part.alias("part")).agg(F.collect_list("q").alias("counts")).drop("part")
+    at = rest.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("ky", span(F.col("lat"), F.lit(reach / 110_540.0), F.lit(dlat)))
+    at = at.withColumn("kx", span(F.col("lon"), degrees(reach, F.abs("lat")), width(F.col("ky"))))
+    seen = F.filter(F.transform("counts", lambda q: F.struct(
+        hypot_m(F.col("lon"), F.col("lat"), q["lng"], q["lat"]).alias("d"), q["best"]["limits"].alias("limits"), q["best"]["total"].alias("total"), q["best"]["yr"].alias("yr"))),
+        lambda q: q["d"] <= max_m)
     near = (
-        rest.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("ky", cell(F.col("lat"), dlat)).withColumn("kx", cell(F.col("lon"), width(F.col("ky"))))
-        .join(geo, ["road", "ky", "kx"]).withColumn("d", d).where(F.col("d") <= max_m)
-        .groupBy(sid, "leg", "street").agg(F.min_by("best", F.struct(F.col("d"), F.col("best.limits"), F.col("best.total"))).alias("best"))
-        .withColumn("method", F.lit("nearby"))
+        at.join(blocks, keys).select(sid, "leg", "street", F.explode(F.slice(F.array_sort(seen), 1, 1)).alias("q"))
+        .groupBy(sid, "leg", "street").agg(F.min("q").alias("q"))
+        .select(sid, "leg", "street", F.struct("q.yr", "q.total", "q.limits").alias("best"), F.lit("nearby").alias("method"))
     )
     out = found.select(sid, "leg", "street", "best", "method").unionByName(near.select(sid, "leg", "street", "best", "method"))
     return out.select(sid, "leg", "street", F.col("best.total").alias("adt"),

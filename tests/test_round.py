@@ -130,3 +130,26 @@ def test_stream_equals_batch_after_each_increment(spark, tmp_path):
         want = TR.reports_by_pair(TR.parse_reports(spark.createDataFrame(seen, ", ".join(f"{c} string" for c in cols)), "2000-01-01"))
         assert sorted(map(tuple, SR.current(spark, table, last).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert SR.keep_current(SR.by_pair_and_span(SR.report_stream(spark, src), "2000-01-01", "1500 days"), table, state) is None
+
+
+def test_a_leg_takes_the_nearest_of_many_counts_on_its_street(spark, monkeypatch):
+    """More counts in a cell than one row holds, some on one spot, legs near the cells' edges."""
+    monkeypatch.setattr(TR, "CELL_COUNTS", 4)
+    r = random.Random(12)
+    rows = [("Maple St", f"L{i % 7} & M St", 10 + i % 5, f"20{i % 9:02d}-01-01", 32.7 + r.random() * 0.02, -117.2 + r.random() * 0.02) for i in range(200)]
+    rows += [("Maple St", f"L{i} & M St", 5, "2001-01-01", 32.71, -117.19) for i in range(6)] + [("Oak St", "L0 & M St", 9, "2001-01-01", 32.71, -117.19)]
+    sites = [(i, 32.7 + r.random() * 0.02, -117.2 + r.random() * 0.02, "Maple Street & Ninth Avenue") for i in range(60)]
+    got = TR.legs(spark.createDataFrame(sites, "site_id long, lat double, lon double, name string"),
+                  spark.createDataFrame(rows, "street string, limits string, total long, date string, lat double, lng double"), max_m=200.0)
+    got = {q.site_id: (q.adt, q.year, q.limits) for q in got.where("leg = 0").collect()}
+    for i, lat, lon, _ in sites:
+        d = [(math.hypot((lng - lon) * 111_320 * math.cos(math.radians(lat)), (la - lat) * 110_540), li, t, int(dt[:4])) for st, li, t, dt, la, lng in rows if st == "Maple St"]
+        d = [x for x in d if x[0] <= 200]
+        assert got.get(i) == ((min(d)[2], min(d)[3], min(d)[1]) if d else None)
+
+
+def test_count_texts_are_parsed_once(spark):
+    """Neither a filter above nor the second rule reads the texts again."""
+    raw = spark.createDataFrame([("Maple St btwn Oak Av _ Elm Av", "7", "2001-01-01", "32.7", "-117.2")], "location string, adt_total string, date string, lat string, lng string")
+    plan = TR.parse_counts(raw).where("parsed").where("total > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "Generate" in plan and "RLIKE" not in plan[:plan.index("Generate")]
