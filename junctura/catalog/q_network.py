@@ -7,6 +7,7 @@ from junctura.catalog.views import sql
 from junctura.functions import text as T
 from junctura.operators import polygons as PG
 from junctura.plans import infra as I, names as N
+from junctura.session import dealt
 
 _CLS = "CASE h WHEN 'motorway' THEN 1 WHEN 'trunk' THEN 2 WHEN 'primary' THEN 3 WHEN 'primary_link' THEN 3 WHEN 'secondary' THEN 4 WHEN 'tertiary' THEN 5 WHEN 'residential' THEN 6 WHEN 'unclassified' THEN 6 WHEN 'living_street' THEN 7 END"
 _LANES = "CASE WHEN lanes='2|1' THEN 1.5::DOUBLE ELSE try_cast(lanes AS DOUBLE) END"
@@ -53,7 +54,8 @@ def _(s, d):
 @query("s21_u5_way_edges", sql("", """WITH w AS (SELECT l_orderkey AS way_id, l_partkey AS ref, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem))
   SELECT way_id, src, dst, count(*) AS n FROM (SELECT way_id, ref AS src, nxt AS dst FROM w WHERE nxt IS NOT NULL UNION ALL SELECT way_id, nxt, ref FROM w WHERE nxt IS NOT NULL) GROUP BY ALL"""))
 def _(s, d):
-    li = V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    # dealt by way once: rows, ways and edges are then grouped where they lie
+    li = dealt(V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey").distinct()
     ways = li.groupBy(F.col("l_orderkey").alias("way_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda r: r["l_partkey"]).alias("refs"))
     return I.way_edges(ways, []).groupBy("way_id", "src", "dst").agg(F.count("*").alias("n"))
 

@@ -80,6 +80,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+#: Rows that one task groups at once.
+ROWS_PER_PART = 500_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = ROWS_PER_PART) -> DataFrame:
+    """Hashed by the keys into parts of about so many rows. Partitions that adaptive execution
+    merges by their bytes hold as many rows as compress well; these do not grow with the input."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged copy that nothing reads any more."""
     path = getattr(df, "_staged_at", None)

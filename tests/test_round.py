@@ -153,3 +153,11 @@ def test_count_texts_are_parsed_once(spark):
     raw = spark.createDataFrame([("Maple St btwn Oak Av _ Elm Av", "7", "2001-01-01", "32.7", "-117.2")], "location string, adt_total string, date string, lat string, lng string")
     plan = TR.parse_counts(raw).where("parsed").where("total > 0")._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan and "Generate" in plan and "RLIKE" not in plan[:plan.index("Generate")]
+
+
+def test_way_edges_group_a_bounded_number_of_rows_in_a_task(spark):
+    from junctura.session import dealt
+    df = spark.range(1000).select((F.col("id") % 300).alias("k"), "id")
+    d = dealt(df, "k", rows=100)
+    assert d.rdd.getNumPartitions() == 10 and d.groupBy("k").count().agg(F.sum("count")).first()[0] == 1000
+    assert "Exchange" not in d.distinct().groupBy("k").count()._jdf.queryExecution().executedPlan().toString().replace("Exchange hashpartitioning(k", "", 1)
