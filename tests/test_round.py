@@ -161,3 +161,17 @@ def test_way_edges_group_a_bounded_number_of_rows_in_a_task(spark):
     d = dealt(df, "k", rows=100)
     assert d.rdd.getNumPartitions() == 10 and d.groupBy("k").count().agg(F.sum("count")).first()[0] == 1000
     assert "Exchange" not in d.distinct().groupBy("k").count()._jdf.queryExecution().executedPlan().toString().replace("Exchange hashpartitioning(k", "", 1)
+
+
+def test_labels_read_the_roads_once(spark, monkeypatch):
+    """Frequencies, names and descriptions come from one written table of incident roads."""
+    from junctura.plans import names as N
+    seen = []
+    monkeypatch.setattr(N, "stage", lambda df, name="stage": (seen.append(name), spark.createDataFrame(df.collect(), df.schema))[1])
+    e = spark.createDataFrame([(1, 2, ["primary"], ["Oak Street"], None), (1, 1, ["service"], None, ["alley"]), (3, 1, ["residential"], ["Elm"], None)],
+                              "src long, dst long, highway array<string>, name array<string>, service array<string>")
+    m = spark.createDataFrame([(7, 1), (8, 2)], "site_id long, node long")
+    out = N.label_sites(m, e)
+    assert {r.site_id: r.label for r in out.collect()} == {7: "Elm & Oak Street", 8: "Oak Street"} and seen == ["incident", "named_roads"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("highway") == 0
+    assert sorted((r.node, r.name) for r in N.incident_names(e).where("name is null").collect()) == [(1, None), (1, None)]
