@@ -55,24 +55,35 @@ class ZippedCsvReader(DataSourceReader):
         if not part.path:
             return
         system, path = fs.FileSystem.from_uri(part.path)
-        kind = pa.map_(pa.string(), pa.string())
         with system.open_input_file(path) as raw, zipfile.ZipFile(raw) as bundle:
             names = [n for n in bundle.namelist() if n.rsplit("/", 1)[-1].lower() == part.member]
             if not names:
                 return
             with bundle.open(names[0]) as fh:
-                rows: list[dict] = []
-                for r in csv.DictReader(io.TextIOWrapper(fh, encoding=self.encoding, newline="")):
-                    rows.append({k.lstrip("﻿"): v for k, v in r.items() if k})
-                    if len(rows) == BATCH_ROWS:
-                        yield _batch(part.path, rows, kind)
-                        rows = []
-                if rows:
-                    yield _batch(part.path, rows, kind)
-
-
-def _batch(path: str, rows: list[dict], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([list(r.items()) for r in rows], kind)], ["path", "row"])
+                sheet = csv.reader(io.TextIOWrapper(fh, encoding=self.encoding, newline=""))
+                header = next(sheet, [])
+                at = {k.lstrip("\ufeff"): i for i, k in enumerate(header) if k}  # of equal names the last
+                keys, pick = pa.array([*at] * BATCH_ROWS, pa.string()), list(at.values())
+                flat, n = [], 0
+                for r in sheet:
+                    if not r:
+                        continue
+                    if len(r) < len(header):
+                        r += [None] * (len(header) - len(r))
+                    flat += [r[i] for i in pick]
+                    n += 1
+                    if n == BATCH_ROWS:
+                        yield _batch(part.path, keys, flat, n)
+                        flat, n = [], 0
+                if n:
+                    yield _batch(part.path, keys, flat, n)
+
+
+def _batch(path: str, keys: pa.Array, flat: list, n: int) -> pa.RecordBatch:
+    """``n`` rows whose values stand one after the other."""
+    wide = len(flat) // n
+    ends = pa.array(range(0, n * wide + 1, wide) if wide else [0] * (n + 1), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.MapArray.from_arrays(ends, keys.slice(0, len(flat)), pa.array(flat, pa.string()))], ["path", "row"])
 
 
 class ZippedCsv(DataSource):
@@ -96,7 +107,8 @@ def read_members(spark: SparkSession, pattern: str, member: str, encoding: str)
 
 def write_bundles(df: DataFrame, folder: str, member: str, by: str, encoding: str = "latin-1") -> int:
     """One zip for each task and value of ``by`` (``<value>-<task>.zip`` holding ``member``),
-    written as a stream; returns how many. ``folder`` must be shared by the executors."""
+    written as a stream; returns how many. ``folder`` must be shared by the executors. A value of
+    many rows is written, and later read, by several tasks, so their number follows the data."""
     cols = [c for c in df.columns if c != by]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,18 +125,20 @@ def write_bundles(df: DataFrame, folder: str, member: str, by: str, encoding: st
                 out[0].close()
 
         for b in batches:
-            for key, *row in zip(b.column(by).to_pylist(), *(b.column(c).to_pylist() for c in cols), strict=True):
-                if out is None or key != value:
+            keys, sides = b.column(by).to_pylist(), [b.column(c).to_pylist() for c in cols]
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            for lo, hi in zip(starts, starts[1:] + [len(keys)]):
+                if out is None or keys[lo] != value:
                     close()
-                    value = key
-                    made.append(f"{key}-{task}.zip")
+                    value = keys[lo]
+                    made.append(f"{value}-{task}.zip")
                     raw = system.open_output_stream(f"{base}/{made[-1]}")
                     out = raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
                     text = io.TextIOWrapper(out[1].open(member, "w", force_zip64=True), encoding=encoding, newline="")
                     sheet = csv.writer(text)
                     sheet.writerow(cols)
-                sheet.writerow(["" if v is None else v for v in row])
+                sheet.writerows(zip(*(c[lo:hi] for c in sides)))  # a null is written as nothing
         close()
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["file"])
 
-    return df.repartition(by).sortWithinPartitions(by).mapInArrow(write, "file string").count()
+    return df.hint("rebalance", by).sortWithinPartitions(by).mapInArrow(write, "file string").count()

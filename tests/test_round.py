@@ -175,3 +175,27 @@ def test_labels_read_the_roads_once(spark, monkeypatch):
     assert {r.site_id: r.label for r in out.collect()} == {7: "Elm & Oak Street", 8: "Oak Street"} and seen == ["incident", "named_roads"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("highway") == 0
     assert sorted((r.node, r.name) for r in N.incident_names(e).where("name is null").collect()) == [(1, None), (1, None)]
+
+
+def test_a_full_bundle_is_written_by_several_tasks(spark, tmp_path):
+    """One value with most rows; rows come back whole, nulls as empty text."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    df = spark.range(20_000, numPartitions=8).select(F.when(F.col("id") % 10 == 0, 2001).otherwise(2002).alias("bundle_year"), F.col("id").cast("string").alias("id"),
+                                                     F.when(F.col("id") % 3 == 0, F.md5(F.col("id").cast("string"))).alias("word"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        made = Z.write_bundles(df, f"file://{tmp_path}/b", "a.csv", "bundle_year")
+    finally:
+        spark.conf.set(key, before)
+    assert made > 2
+    back = E.map_columns(E.read_zipped_csv(spark, f"file://{tmp_path}/b/*.zip", "a.csv"), ["id", "word"])
+    assert back.exceptAll(df.fillna("", ["word"])).count() == 0 and back.count() == 20_000
+
+
+def test_ragged_rows_of_a_bundle(tmp_path):
+    import zipfile
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("a.csv", "ï»¿id,a,,a\n1,2,3,4\n\n5,6\n7,8,9,10,11\n".encode("latin-1"))
+    read = lambda: Z.ZippedCsvReader({"path": "", "member": "a.csv", "encoding": "utf-8"}).read(Z.Member(f"{tmp_path}/x.zip", "a.csv"))
+    assert [dict(r) for b in read() for r in b.column("row").to_pylist()] == [{"id": "1", "a": "4"}, {"id": "5", "a": None}, {"id": "7", "a": "10"}]
