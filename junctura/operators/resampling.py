@@ -52,6 +52,8 @@ def interval(per_replicate: DataFrame, metrics: list[str], keys: list[str] = ())
 
 #: Distinct scores whose weights of all replicates are in memory at once.
 _SCORES_AT_ONCE = 512
+#: Rows whose scores make one range.
+ROWS_PER_RANGE = 8_192
 _CUTS = np.array([math.ceil(c * 2**32) for c in POISSON1], np.uint64)
 
 
@@ -82,6 +84,32 @@ def _pooled(b: int):
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, score, y, weights) with neighbours of one key, score and label added up: a row each."""
+    names = ["key", "score", "y", "w"]
+    held = None  # the last cell, which the next rows may go on with
+
+    def out(cells: list[tuple], w: np.ndarray) -> pa.RecordBatch:
+        cols = list(zip(*cells, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()),
+                                           pa.array([x.astype("<u4").tobytes() for x in w], pa.binary())], names)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SCORES_AT_ONCE):
+            *ids, w = (c.to_pylist() for c in batch.slice(at, _SCORES_AT_ONCE).columns)
+            cells, m = list(zip(*ids, strict=True)), np.frombuffer(b"".join(w), "<u4").reshape(len(w), -1)
+            if held:
+                cells, m = [held[0], *cells], np.vstack([held[1], m])
+            first = [i for i, c in enumerate(cells) if not i or c != cells[i - 1]]
+            m = np.add.reduceat(m, first, axis=0)
+            cells = [cells[i] for i in first]
+            if len(cells) > 1:
+                yield out(cells[:-1], m[:-1])
+            held = cells[-1], m[-1]
+    if held:
+        yield out([held[0]], held[1][None])
+
+
 def _matrix(weights: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(weights), "<u4").reshape(len(weights), -1).astype(float)
 
@@ -92,11 +120,13 @@ def _range_totals(threshold: float):
         for batch in batches:
             for at in range(0, batch.num_rows, _SCORES_AT_ONCE):
                 part, key, y, w = (c.to_pylist() for c in batch.slice(at, _SCORES_AT_ONCE).columns)
-                m, keys = _matrix(w), np.array(key, object)
-                for k in set(key):
-                    mine = keys == k
-                    s = np.stack([m[mine].sum(0), m[mine & (np.array(y) >= threshold)].sum(0)])
-                    held[part[0], k] = held.get((part[0], k), 0) + s
+                m, cells = _matrix(w), list(zip(part, key, strict=True))  # a task may read several ranges
+                number = {c: k for k, c in enumerate(dict.fromkeys(cells))}
+                at_cell, hit = np.array([number[c] for c in cells]), np.array(y) >= threshold
+                for c, k in number.items():
+                    mine = at_cell == k
+                    s = np.stack([m[mine].sum(0), m[mine & hit].sum(0)])
+                    held[c] = held.get(c, 0) + s
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held])] + [
                 pa.array([v[i].tolist() for v in held.values()], pa.list_(pa.float64())) for i in (0, 1)], ["part", "key", "n", "p"])
@@ -166,8 +196,13 @@ def bootstrap_metrics(df: DataFrame, score: str, y: str, sid: str, b: int, *, th
     # a short row stands for b draws, so rows are dealt out by the work they make, not by their bytes
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = rows.repartition(tasks, "id").mapInArrow(_pooled(b), "key string, score double, y double, w binary")
-    ranged = stage(cells.repartitionByRange("key", F.desc("score")).withColumn("part", F.spark_partition_id()), "replicates")
+    made = "key string, score double, y double, w binary"
+    cells = rows.repartition(tasks, "id").mapInArrow(_pooled(b), made)
+    # a range is read whole by one task: there are as many as keep it at a bounded number of rows
+    parts = max(tasks, -(-rows.count() // ROWS_PER_RANGE))
+    order = ["key", F.desc("score")]
+    cells = cells.repartitionByRange(parts, *order).sortWithinPartitions(*order, "y").mapInArrow(_merged, made)
+    ranged = stage(cells.withColumn("part", F.spark_partition_id()), "replicates")
     per = ranged.select("part", "key", "y", "w").mapInArrow(_range_totals(threshold), "part int, key string, n array<double>, p array<double>")
     # ranges are put in order replicate by replicate: as many rows in a window as there are ranges
     each = per.select("part", "key", F.posexplode(F.arrays_zip("n", "p")).alias("b", "t")).select("part", "key", "b", F.col("t.n").alias("n"), F.col("t.p").alias("p"))

@@ -199,3 +199,20 @@ def test_ragged_rows_of_a_bundle(tmp_path):
         z.writestr("a.csv", "ï»¿id,a,,a\n1,2,3,4\n\n5,6\n7,8,9,10,11\n".encode("latin-1"))
     read = lambda: Z.ZippedCsvReader({"path": "", "member": "a.csv", "encoding": "utf-8"}).read(Z.Member(f"{tmp_path}/x.zip", "a.csv"))
     assert [dict(r) for b in read() for r in b.column("row").to_pylist()] == [{"id": "1", "a": "4"}, {"id": "5", "a": None}, {"id": "7", "a": "10"}]
+
+
+def test_bootstrap_ranges_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """A range is one task's: more rows make more ranges, and copies of a score one row."""
+    monkeypatch.setattr(B, "ROWS_PER_RANGE", 20)
+    monkeypatch.setattr(B, "_SCORES_AT_ONCE", 16)
+    seen = {}
+    real = B.stage
+    monkeypatch.setattr(B, "stage", lambda df, name="stage": seen.setdefault(name, real(df, name)))
+    r = random.Random(5)
+    rows = [(i, 0.5 if i % 3 == 0 else round(r.random(), 3), r.choice([0, 0, 0, 1, 2])) for i in range(400)]
+    got = {q.b: q for q in B.bootstrap_metrics(spark.createDataFrame(rows, "site_id long, s double, y int"), "s", "y", "site_id", 6, ks=(20,)).collect()}
+    ranges = [(q.part, q.score, q.y) for q in seen["replicates"].collect()]
+    assert len(ranges) == len({(s, y) for _, s, y in ranges}) == len({(s, y) for _, s, y in rows})
+    assert len({p for p, _, _ in ranges}) > 8 and max(sum(p == q for q, _, _ in ranges) for p, _, _ in ranges) <= 60
+    for b in range(6):
+        assert [got[b][c] for c in B.metric_names((20,))] == pytest.approx(plain_metrics(rows, b, 20), rel=1e-9)
