@@ -618,3 +618,18 @@ def test_url_filter_keeps_pages_with_different_refs_apart(spark):
     pages = spark.createDataFrame([(1, "http://a.org/p?ref=1&utm_source=x"), (2, "http://a.org/p?ref=2"), (3, "http://a.org/p?ref=1")], "page_id long, url string")
     keys = {r.page_id: r.k for r in pages.select("page_id", url_filter.page_key(F.col("url")).alias("k")).collect()}
     assert keys[1] == keys[3] != keys[2]
+
+
+def test_pipeline_stages_run_in_small_batches(spark, tmp_path, monkeypatch):
+    """Whole texts pass Python a bounded number at a time; the setting is put back."""
+    import corpus_pipeline
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    docs_of(spark, [(i, "a b c", "s") for i in range(4)]).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def look(s, docs, sf_dir):
+        seen.append(int(s.conf.get(key)))
+        return docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("toxicity", look), ("packing", look)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 4
+    assert seen[0] <= 1_000 and spark.conf.get(key) == before
