@@ -633,3 +633,18 @@ def test_pipeline_stages_run_in_small_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [("toxicity", look), ("packing", look)])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 4
     assert seen[0] <= 1_000 and spark.conf.get(key) == before
+
+
+def test_line_classes_meet_as_numbers(spark, monkeypatch):
+    """Digests as text made every band, pair and rare token several times as wide."""
+    seen, real = [], line_dedup.star_components
+
+    def stars(members, *a, **k):
+        seen.append(dict(members.dtypes))
+        return real(members, *a, **k)
+    monkeypatch.setattr(line_dedup, "star_components", stars)
+    line = "the quick brown fox jumps over the lazy dog near the river bank"
+    docs = spark.createDataFrame([(1, f"{line} today"), (2, f"{line} today"), (3, f"{line} todax"), (4, "short")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.line_no): (r.keep_doc, r.group_size, r.kept) for r in line_dedup.line_groups(docs).collect()}
+    assert got == {(1, 0): (1, 3, True), (2, 0): (1, 3, False), (3, 0): (1, 3, False), (4, 0): (4, 1, True)}
+    assert seen and seen[0]["id"] == "bigint"
