@@ -17,7 +17,7 @@ def stratified_folds(df: DataFrame, sid: str, stratum: str, k: int, seed: int, o
     r = ranked(h, [(stratum, False), ("_h", False), (sid, False)], "_r")
     first = r.groupBy(stratum).agg(F.min("_r").alias("_f"))
     dealt = r.join(first, stratum).select(sid, ((F.col("_r") - F.col("_f")) % k).cast("int").alias(out))
-    return df.join(dealt, sid)
+    return df.join(dealt.hint("merge"), sid)  # a row for each row: not through the driver
 
 
 def tile_blocks(df: DataFrame, tile: float, x: str = "x", y: str = "y", out: str = "block") -> DataFrame:

@@ -79,7 +79,7 @@ def rank_average(df: DataFrame, scores: list[str], sid: str, out: str = "ensembl
     acc = df.select(sid)
     for s in scores:
         r = with_total(ranked(df.select(sid, s), [(s, True), (sid, False)], "_r"), "_n")
-        acc = acc.join(r.select(sid, ((F.col("_r") - 1) / F.col("_n")).alias(f"_{s}")), sid)
+        acc = acc.join(r.select(sid, ((F.col("_r") - 1) / F.col("_n")).alias(f"_{s}")).hint("merge"), sid)
     total = sum((F.col(f"_{s}") for s in scores), F.lit(0.0))
     return acc.select(sid, (-total / len(scores)).alias(out))
 

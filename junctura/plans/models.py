@@ -245,8 +245,8 @@ def arms_over_seeds(df: DataFrame, features: list[str], label: str, sid: str, ba
     parts = _side_by_side([lambda seed=seed, split=split: held_out(seed, split) for seed in seeds for split in ("random", "spatial")])
     model = stage(reduce(DataFrame.unionByName, parts), "arm_scores")
     flat = base.select(F.explode(F.array(F.lit("random"), F.lit("spatial"))).alias("split"), F.lit("baseline").alias("arm"), F.lit(seeds[0]).alias("seed"), sid, label, F.col(baseline).cast("double").alias("score"))
-    first = [model.where((F.col("seed") == seeds[0]) & (F.col("split") == split)).select(sid, F.col("score").alias("m")).join(base.select(sid, label, F.col(baseline).alias("b")), sid) for split in ("random", "spatial")]
-    both = [rank_average(t, ["m", "b"], sid, "score").join(t.select(sid, label), sid).select(F.lit(split).alias("split"), F.lit("ensemble").alias("arm"), F.lit(seeds[0]).alias("seed"), sid, label, "score")
+    first = [model.where((F.col("seed") == seeds[0]) & (F.col("split") == split)).select(sid, F.col("score").alias("m")).join(base.select(sid, label, F.col(baseline).alias("b")).hint("merge"), sid) for split in ("random", "spatial")]
+    both = [rank_average(t, ["m", "b"], sid, "score").join(t.select(sid, label).hint("merge"), sid).select(F.lit(split).alias("split"), F.lit("ensemble").alias("arm"), F.lit(seeds[0]).alias("seed"), sid, label, "score")
             for split, t in zip(("random", "spatial"), first, strict=True)]
     return stage(reduce(DataFrame.unionByName, [model, flat, *both]), "arms_long")
 
@@ -265,12 +265,12 @@ def compare_arms(arms: DataFrame, label: str, sid: str, *, k: int, draws: int, r
     top = one.select(*keys, sid, F.row_number().over(w).alias("pos")).where(F.col("pos") <= k)  # limited before the shuffle
     held = one.where("hit = 1").join(top.select("split", "arm", sid, F.lit(1.0).alias("in_list")), ["split", "arm", sid], "left").fillna(0.0, ["in_list"])
     ref = held.where(F.col("arm") == reference).select("split", sid, F.col("in_list").alias("ref"))
-    paired = held.where(F.col("arm") != reference).join(ref, ["split", sid])
+    paired = held.where(F.col("arm") != reference).join(ref.hint("merge"), ["split", sid])
     pos = ranked(paired.select(sid).distinct(), [(sid, False)], "_i")
     n = pos.agg(F.count("*").alias("_n"))
     dealt = attach(replicates(pos.select(F.col("_i").alias("i")), draws), n)
     dealt = dealt.select("b", (hash_int(F.lit("pd"), F.col("b"), F.col("i")) % F.col("_n") + 1).alias("_i")).groupBy("b", "_i").agg(F.count("*").alias("times"))
-    d = paired.join(pos, sid).join(dealt, "_i").groupBy("split", "arm", "b").agg((F.sum(F.col("times") * (F.col("in_list") - F.col("ref"))) / F.sum("times")).alias("d"))
+    d = paired.join(pos.hint("merge"), sid).join(dealt.hint("merge"), "_i").groupBy("split", "arm", "b").agg((F.sum(F.col("times") * (F.col("in_list") - F.col("ref"))) / F.sum("times")).alias("d"))
     delta = d.groupBy("split", "arm").agg(F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.avg((F.col("d") > 0).cast("double")).alias("p_better"))
     adopt = delta.groupBy("arm").agg(F.min(F.col("lo") > 0).alias("adopt"))
     return level.join(delta, ["split", "arm"], "left").join(adopt, "arm", "left").select("split", "arm", "n_seeds", "recall", "recall_sd", "spearman_rho", "delta", "lo", "hi", "p_better", F.coalesce("adopt", F.lit(False)).alias("adopt"))
